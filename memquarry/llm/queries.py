@@ -6,6 +6,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memquarry.llm.near_duplicates import NearDuplicates
+from memquarry.llm.shared_spans import SharedSpans
 from memquarry.queries import Registry
 from memquarry.sources.tables import table
 
@@ -28,3 +29,31 @@ def p3_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of documents with similarity at least 0.6 on runs of three words."""
     found = NearDuplicates(table(spark, base, "documents"), n_words=3, threshold=0.6)
     return found.pairs().select(F.col("id_a").alias("doc_a"), F.col("id_b").alias("doc_b"))
+
+
+@R.query(_shingle_sql(5, 0.8) + """
+, sets AS (SELECT doc_id, hash(list_sort(list(sh))) AS h FROM s GROUP BY doc_id),
+classes AS (SELECT doc_id, min(doc_id) OVER (PARTITION BY h) AS class_id FROM sets),
+links AS (SELECT DISTINCT x.class_id AS a, y.class_id AS b FROM sim JOIN classes x ON x.doc_id = doc_a JOIN classes y ON y.doc_id = doc_b WHERE x.class_id <> y.class_id),
+deg AS (SELECT c, count(DISTINCT o) AS n FROM (SELECT a AS c, b AS o FROM links UNION ALL SELECT b, a FROM links) GROUP BY c)
+SELECT doc_id, class_id, coalesce(n, 0)::BIGINT AS n_links FROM classes LEFT JOIN deg ON c = class_id""")
+def p3_documents(spark: SparkSession, base: str) -> DataFrame:
+    """Every document with its class of equal texts and its number of similar classes
+    (runs of five words, similarity 0.8)."""
+    return NearDuplicates(table(spark, base, "documents")).documents().select(F.col("id").alias("doc_id"), "class_id", "n_links")
+
+
+def _shared_spans(spark: SparkSession, base: str) -> SharedSpans:
+    return SharedSpans({"documents": (table(spark, base, "documents"), "doc_id", "text", None), "hits": (table(spark, base, "hits"), "hit_id", "text", "doc_id")}, 300)
+
+
+@R.query()
+def p7_found(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of records of one kind that have at least 300 successive characters in common."""
+    return _shared_spans(spark, base).pairs().select(F.col("kind").alias("rec_kind"), F.col("id_a").alias("rec_a"), F.col("id_b").alias("rec_b"))
+
+
+@R.query()
+def p7_shared(spark: SparkSession, base: str) -> DataFrame:
+    """For each record of at least 300 characters, how much of its text occurs elsewhere."""
+    return _shared_spans(spark, base).shared_by_record().select(F.col("kind").alias("rec_kind"), F.col("id").alias("rec_id"), "n_linked", "n_copies", "shared_chars", "n_spans")

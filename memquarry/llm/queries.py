@@ -5,8 +5,10 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memquarry.llm import mixing, packing, splitting, tokens
 from memquarry.llm.near_duplicates import NearDuplicates
 from memquarry.llm.shared_spans import SharedSpans
+from memquarry.plans.scratch import written
 from memquarry.queries import Registry
 from memquarry.sources.tables import table
 
@@ -57,3 +59,65 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
 def p7_shared(spark: SparkSession, base: str) -> DataFrame:
     """For each record of at least 300 characters, how much of its text occurs elsewhere."""
     return _shared_spans(spark, base).shared_by_record().select(F.col("kind").alias("rec_kind"), F.col("id").alias("rec_id"), "n_linked", "n_copies", "shared_chars", "n_spans")
+
+
+DOC_LIMIT, DOC_OVERLAP = 4000, 200
+HIT_LIMIT, HIT_OVERLAP = 900, 80
+_TRIM = "trim({}, ' ' || chr(9) || chr(10) || chr(12) || chr(13))"
+
+
+def _pieces(spark: SparkSession, base: str) -> DataFrame:
+    docs = splitting.pieces(table(spark, base, "documents"), "documents", "doc_id", "text", DOC_LIMIT, DOC_OVERLAP)
+    return docs.unionAll(splitting.pieces(table(spark, base, "hits"), "hits", "hit_id", "text", HIT_LIMIT, HIT_OVERLAP))
+
+
+@R.query(f"""
+SELECT 'documents' AS rec_kind, doc_id AS rec_id FROM documents WHERE length({_TRIM.format("text")}) > {DOC_LIMIT}
+UNION SELECT 'hits', hit_id FROM hits WHERE length({_TRIM.format("text")}) > {HIT_LIMIT}""")
+def p2_found(spark: SparkSession, base: str) -> DataFrame:
+    """The items that come out in several pieces."""
+    return _pieces(spark, base).where("n_pieces > 1").select("rec_kind", "rec_id").distinct()
+
+
+@R.query()
+def p2_pieces(spark: SparkSession, base: str) -> DataFrame:
+    """All pieces of documents and hits; of repeated deliveries one."""
+    return _pieces(spark, base).dropDuplicates(["rec_kind", "rec_id", "piece_no"])
+
+
+CAPACITY = 2048
+
+
+def _sized(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents").select("doc_id", "source", tokens.n_tokens("text").cast("bigint").alias("size"))
+    return written(docs, "sizes")
+
+
+@R.query()
+def p8_packed(spark: SparkSession, base: str) -> DataFrame:
+    """Every document in containers of 2,048 tokens: doc_id, part, n_tokens, container."""
+    docs = table(spark, base, "documents").select("doc_id", tokens.n_tokens("text").alias("size"))
+    return packing.pack(docs, "doc_id", "size", CAPACITY).select(F.col("item").alias("doc_id"), "part", F.col("size").alias("n_tokens"), "container")
+
+
+@R.query()
+def p8_containers(spark: SparkSession, base: str) -> DataFrame:
+    """The containers with the room left in each."""
+    docs = table(spark, base, "documents").select("doc_id", tokens.n_tokens("text").alias("size"))
+    return packing.containers(packing.pack(docs, "doc_id", "size", CAPACITY), CAPACITY)
+
+
+@R.query()
+def p9_mixed(spark: SparkSession, base: str) -> DataFrame:
+    """Every use of a document in the mix, in its global order."""
+    docs = _sized(spark, base)
+    planned = written(mixing.plan(docs, table(spark, base, "mix_targets")), "plan")
+    return mixing.mix(docs, planned).select("place", "doc_id", "copy_no", "source", F.col("size").alias("n_tokens"))
+
+
+@R.query()
+def p9_shares(spark: SparkSession, base: str) -> DataFrame:
+    """The shares that the mix reaches, by source."""
+    docs = _sized(spark, base)
+    planned = written(mixing.plan(docs, table(spark, base, "mix_targets")), "plan")
+    return mixing.report(mixing.mix(docs, planned), planned)

@@ -8,6 +8,7 @@ from pyspark.sql import functions as F
 from memquarry.llm import mixing, packing, splitting, tokens
 from memquarry.llm.near_duplicates import NearDuplicates
 from memquarry.llm.shared_spans import SharedSpans
+from memquarry.llm.similar_vectors import SimilarVectors
 from memquarry.plans.scratch import written
 from memquarry.queries import Registry
 from memquarry.sources.tables import table
@@ -121,3 +122,21 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     docs = _sized(spark, base)
     planned = written(mixing.plan(docs, table(spark, base, "mix_targets")), "plan")
     return mixing.report(mixing.mix(docs, planned), planned)
+
+
+@R.query("""
+WITH best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY generation DESC NULLS LAST) AS r FROM vectors WHERE id IS NOT NULL),
+live AS (
+  SELECT id, tenant_id, index_name, coalesce(space, '') AS space, embedding::DOUBLE[] AS e FROM best
+  WHERE r = 1 AND NOT coalesce(tombstone, false) AND len(embedding) = 64
+    AND len(list_filter(embedding, lambda v: v IS NULL OR NOT isfinite(v))) = 0 AND len(list_filter(embedding, lambda v: v <> 0)) > 0),
+sims AS (
+  SELECT a.id AS x, b.id AS y, list_cosine_similarity(a.e, b.e) AS c FROM live a JOIN live b
+  ON a.tenant_id IS NOT DISTINCT FROM b.tenant_id AND a.index_name IS NOT DISTINCT FROM b.index_name AND a.space = b.space AND a.id <> b.id),
+ranked AS (SELECT *, row_number() OVER (PARTITION BY x ORDER BY c DESC, y) AS r FROM sims)
+SELECT DISTINCT least(x, y) AS id_a, greatest(x, y) AS id_b FROM ranked WHERE r <= 10 AND c >= 0.9""")
+def p5_found(spark: SparkSession, base: str) -> DataFrame:
+    """Pairs of live vectors of one collection with cosine at least 0.90 of which one is
+    among the 10 most similar of the other."""
+    found = SimilarVectors(table(spark, base, "vectors")).neighbours()
+    return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()

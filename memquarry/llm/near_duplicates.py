@@ -2,17 +2,18 @@
 
 One hash function orders each text's distinct shingles; the lowest ``k`` are its
 sketch. Two similar texts keep mostly the same values, so their sketches agree in
-stretches. The inverted lists hold runs of three neighbouring retained values:
+stretches. The inverted lists hold runs of four neighbouring retained values:
 single values of a corpus with much boilerplate give lists that grow with it, a
-run of three is shared by hardly any texts but similar ones. A text with few
+run of four is shared by hardly any texts but similar ones. A text with few
 shingles gets the runs of several orders made from the same hash, about
 ``MIN_VALUES`` in all, as one order would leave too few. Texts that share a run
 are candidates; the sketch of their union estimates the similarity, and what may
 reach the threshold is verified on the whole sets.
 
-The chance that a pair with similarity just 0.6 shares no run is about 0.1 %
-(no stretch of three among 80 values, each shared with probability 0.6), and it
-falls fast above that. Every reported similarity is exact.
+The chance that a pair with similarity just 0.6 shares no run is about 0.2 %
+(no stretch of four among 120 values, each shared with probability 0.6), and it
+falls fast above that. Every reported similarity is exact. Thresholds under 0.55
+would need shorter runs and are refused.
 
 Texts with equal sets are one class: only one text per class and task enters the
 lists, so that copies cost one list entry however many there are.
@@ -34,9 +35,12 @@ from memquarry.llm import textops
 from memquarry.plans.bloom import id_filter
 from memquarry.plans.scratch import written
 
-SKETCH = 64
-MIN_VALUES = 80
-_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9], dtype=np.uint64)
+SKETCH = 96
+MIN_VALUES = 120
+RUN = 4
+#: Sets of up to so many shingles also get shorter runs: (run, size).
+SHORT_RUNS = ((3, 5), (2, 3))
+_MULT = np.array([0x9E3779B97F4A7C15, 0xC2B2AE3D27D4EB4F, 0x165667B19E3779F9, 0x27D4EB2F165667C5], dtype=np.uint64)
 
 
 def _runs(doc: np.ndarray, value: np.ndarray, length: int, order: int) -> tuple[np.ndarray, np.ndarray]:
@@ -60,8 +64,8 @@ def _lowest(doc: np.ndarray, value: np.ndarray, k: int) -> np.ndarray:
 
 
 def sketch_runs(texts: list[str], n_words: int, k: int = SKETCH) -> tuple[np.ndarray, np.ndarray, np.ndarray, np.ndarray]:
-    """For each text: size of its shingle set, a hash of the set, and the runs of its
-    sketch as offsets and values."""
+    """For each text: size of its shingle set, a hash of the set, and the number of
+    runs of its sketch; then all runs, text by text."""
     doc, value = textops.shingles(texts, n_words)
     size = np.bincount(doc, minlength=len(texts))
     with np.errstate(over="ignore"):
@@ -69,64 +73,60 @@ def sketch_runs(texts: list[str], n_words: int, k: int = SKETCH) -> tuple[np.nda
         running = np.concatenate((np.zeros(1, np.uint64), np.cumsum(value, dtype=np.uint64)))
         set_id = textops.mix64(running[ends] - running[ends - size] + size.astype(np.uint64))
     docs, runs = [], []
-    if len(doc):
-        low = _lowest(doc, value, k)
-        d, r = _runs(doc[low], value[low], 3, 0)
-        docs.append(d)
-        runs.append(r)
-        few = (size == 2) | (size == 3)
-        order = 0
-        orders = -(-MIN_VALUES // np.maximum(size, 1))
-        while True:
-            if order:
-                more = (orders > order) & (size > 1)
-                pick = more[doc]
-                if not pick.any():
-                    break
+    orders = -(-MIN_VALUES // np.maximum(size, 1))
+    for order in range(int(orders[size > 1].max(initial=0))):
+        if order:
+            pick = ((orders > order) & (size > 1))[doc]
+            with np.errstate(over="ignore"):
                 d, v = doc[pick], textops.mix64(value[pick] ^ (np.uint64(order) * _MULT[0]))
-                by = np.lexsort((v, d))
-                d, v = d[by], v[by]
-                low = _lowest(d, v, k)
-                d, v = d[low], v[low]
-                dd, r = _runs(d, v, 3, order)
-                docs.append(dd)
-                runs.append(r)
-            else:
-                d, v = doc, value
-            small = few[d]
+            by = np.lexsort((v, d))
+            d, v = d[by], v[by]
+        else:
+            d, v = doc, value
+        low = _lowest(d, v, k)
+        parts = [_runs(d[low], v[low], RUN, order)]
+        for length, most in SHORT_RUNS:
+            small = size[d] <= most
             if small.any():
-                dd, r = _runs(d[small], v[small], 2, order)
-                docs.append(dd)
-                runs.append(r)
-            order += 1
+                parts.append(_runs(d[small], v[small], length, order))
+        for dd, r in parts:
+            docs.append(dd)
+            runs.append(r)
     d = np.concatenate(docs) if docs else np.zeros(0, np.int64)
     r = np.concatenate(runs) if runs else np.zeros(0, np.uint64)
     by = np.argsort(d, kind="stable")
-    offsets = np.concatenate(([0], np.cumsum(np.bincount(d, minlength=len(texts)))))
-    return size, set_id, offsets, r[by]
+    return size, set_id, np.bincount(d, minlength=len(texts)), r[by]
 
 
-def sketches(docs: DataFrame, n_words: int, k: int = SKETCH) -> DataFrame:
-    """(id, set_id, n, runs) of the documents (id, text); set_id is null for empty sets.
-    Of the texts with one set, a task lists the runs of the first only."""
+def list_entries(docs: DataFrame, n_words: int, k: int = SKETCH) -> DataFrame:
+    """The entries of the inverted lists of the documents (id, text): run, set_id, n
+    (size of the set), with null id; and for each document with a non-empty set one
+    more row with its id, under a key of its own. Of the texts with one set, a task
+    enters the runs of the first only."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
-            size, set_id, offsets, runs = sketch_runs(texts, n_words, k)
+            size, set_id, counts, runs = sketch_runs(texts, n_words, k)
             ids = set_id.view(np.int64)
-            keep = np.zeros(len(texts), bool)
+            fresh = np.zeros(len(texts), bool)
             for i, x in enumerate(ids.tolist()):
                 if size[i] and x not in seen:
                     seen.add(x)
-                    keep[i] = True
-            lengths = np.where(keep, np.diff(offsets), 0)
-            values = runs.view(np.int64)[np.repeat(keep, np.diff(offsets))]
-            lists = pa.ListArray.from_arrays(pa.array(np.concatenate(([0], np.cumsum(lengths))), pa.int32()), pa.array(values))
-            yield pa.RecordBatch.from_arrays([b.column(0), pa.array(ids, mask=size == 0), pa.array(size.astype(np.int32)), lists], names=["id", "set_id", "n", "runs"])
+                    fresh[i] = True
+            doc = np.repeat(np.arange(len(texts)), np.where(fresh, counts, 0))
+            filled = np.flatnonzero(size)
+            own = b.column(0).to_numpy()[filled]
+            row = np.concatenate((filled, doc))
+            key = np.concatenate((textops.mix64(own.view(np.uint64)), runs[np.repeat(fresh, counts)]))
+            id_of = np.concatenate((own, np.zeros(len(doc), np.int64)))
+            yield pa.RecordBatch.from_arrays(
+                [pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(size[row].astype(np.int32)), pa.array(id_of, mask=np.arange(len(row)) >= len(own))],
+                names=["run", "set_id", "n", "id"],
+            )
 
-    return docs.mapInArrow(work, "id bigint, set_id bigint, n int, runs array<bigint>")
+    return docs.mapInArrow(work, "run bigint, set_id bigint, n int, id bigint")
 
 
 def _verify(threshold: float, n_words: int, k: int):
@@ -164,13 +164,14 @@ class NearDuplicates:
     different texts; copies are not expanded unless :meth:`pairs` is asked for."""
 
     def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8, k: int = SKETCH) -> None:
+        if threshold < 0.55:
+            raise ValueError("the threshold must be at least 0.55")
         docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-        table = written(sketches(docs, n_words, k), "sketches")
-        self.classes = table.where(F.col("set_id").isNotNull()).select("id", "set_id")
-        entries = table.where(F.size("runs") > 0).select(F.explode("runs").alias("run"), "set_id", "n")
         w = Window.partitionBy("run")
-        shared = entries.withColumns({"low": F.min("set_id").over(w), "high": F.max("set_id").over(w)}).where("low < high").select("run", "set_id", "n").distinct()
-        shared = written(shared, "lists")
+        entries = list_entries(docs, n_words, k).withColumns({"low": F.min("set_id").over(w), "high": F.max("set_id").over(w)})
+        kept = written(entries.where(F.col("id").isNotNull() | (F.col("low") < F.col("high"))).select("run", "set_id", "n", "id").distinct(), "lists")
+        self.classes = kept.where(F.col("id").isNotNull()).select("id", "set_id")
+        shared = kept.where(F.col("id").isNull()).select("run", "set_id", "n")
         a = shared.select("run", F.col("set_id").alias("set_a"), F.col("n").alias("n_a"))
         b = shared.select("run", F.col("set_id").alias("set_b"), F.col("n").alias("n_b"))
         compatible = (F.col("set_a") < F.col("set_b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))

@@ -66,6 +66,10 @@ def _first_round(capacity: int, open_bins: int):
         for b in batches:
             rows = []
             for item, size in zip(b.column(0).to_pylist(), b.column(1).to_pylist()):
+                if not size:
+                    continue
+                if size < 0:
+                    raise ValueError(f"item {item} has size {size}")
                 part = 0
                 while size > capacity:
                     rows.append((item, part, capacity, packer.next, True))
@@ -98,7 +102,7 @@ def _merge_round(capacity: int, open_bins: int):
 
 def pack(items: DataFrame, item_col: str, size_col: str, capacity: int, open_bins: int = OPEN_BINS, merge_items: int = MERGE_ITEMS) -> DataFrame:
     """(item, part, size, container) for every item of positive size."""
-    sized = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(size_col).cast("bigint").alias("size")).where(F.col("size") != 0)
+    sized = items.select(F.col(item_col).cast("bigint").alias("item"), F.col(size_col).cast("bigint").alias("size"))
     placed = written(sized.mapInArrow(_first_round(capacity, open_bins), "item bigint, part int, size bigint, bin bigint, closed boolean"), "bins")
     left = placed.where(~F.col("closed")).groupBy("bin").agg(F.sum("size").alias("size"))
     tasks = -(-max(left.count(), 1) // merge_items)

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memquarry.llm import mixing, packing, splitting, tokens
+from memquarry.llm import harmful, mixing, packing, splitting, tokens
 from memquarry.llm.near_duplicates import NearDuplicates
 from memquarry.llm.shared_spans import SharedSpans
 from memquarry.llm.similar_vectors import SimilarVectors
@@ -140,3 +140,22 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     among the 10 most similar of the other."""
     found = SimilarVectors(table(spark, base, "vectors")).neighbours()
     return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
+
+
+def _harmful_scores(spark: SparkSession, base: str) -> DataFrame:
+    docs = table(spark, base, "documents")
+    model = harmful.fit_on(docs, table(spark, base, "doc_labels"))
+    return harmful.score(docs, model, ["doc_id", "source"])
+
+
+@R.query()
+def p10_found(spark: SparkSession, base: str) -> DataFrame:
+    """Documents with abusive, hateful or sexually explicit language."""
+    return _harmful_scores(spark, base).where("flagged").select("doc_id")
+
+
+@R.query()
+def p10_rates(spark: SparkSession, base: str) -> DataFrame:
+    """Documents, flagged documents and their share by source."""
+    by = _harmful_scores(spark, base).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("flagged").alias("n_flagged"), F.avg("score").alias("mean_score"))
+    return by.withColumn("rate", F.col("n_flagged") / F.col("n_docs"))

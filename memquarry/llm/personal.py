@@ -109,11 +109,23 @@ def _any_of(words) -> str:
 
 
 _ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + "]")
-_DIGIT_RUN = re.compile(rf"\b{_any_of(DIGIT_WORDS)}(?:[\s,.-]{{1,3}}(?:double |triple )?{_any_of(DIGIT_WORDS)}){{5,}}\b")
+_DIGIT_RUN = re.compile(rf"{_any_of(DIGIT_WORDS)}(?:[\s,.-]{{1,3}}(?:double |triple )?{_any_of(DIGIT_WORDS)}){{5,}}\b")
 _DIGIT_WORD = re.compile(r"[^\W\d_]+")
 _AT = re.compile(rf"\s*[\[({{<]\s*(?:{AT_WORDS}|a)\s*[\])}}>]\s*|(?:&#64;|%40)|\s+(?:{AT_WORDS})\s+(?=[\w-]+(?:\s+[\w-]+)?\s*(?:[\[({{]\s*(?:{DOT_WORDS})\s*[\])}}]|\s(?:{DOT_WORDS})\s))")
 _DOT = re.compile(rf"\s*[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*|\s+(?:{DOT_WORDS})\s+")
-_HINT = re.compile(rf"[\[({{<]\s*(?:{AT_WORDS}|a)\s*[\])}}>]|&#64;|%40|\s(?:{DOT_WORDS})\s")
+#: One of these stands in every text in which an "at" is disguised.
+_HINTS = ("at)", "at]", "at}", "at>", "at )", "at ]", "ät)", "ät]", "(a)", "[a]", "{a}", "arroba", "arobase", "klammeraffe", "chez", "&#64;", "%40", *(f"{c}{w}{d}" for w in DOT_WORDS.split("|") for c, d in ((" ", " "), ("(", ")"), ("[", "]"))))
+
+
+def _odd(text: str) -> bool:
+    """Whether there may be look-alikes or invisible characters."""
+    if text.isascii():
+        return False
+    try:
+        text.encode("latin-1")
+    except UnicodeEncodeError:
+        return _ODD.search(text) is not None
+    return "\xad" in text
 
 
 class Normal:
@@ -122,13 +134,16 @@ class Normal:
     def __init__(self, text: str) -> None:
         self.text, self.at, self.by = text, [0], [0]  # normal offsets, source offsets
         self.spelled: list[tuple[int, int]] = []
-        if not text.isascii() and _ODD.search(text):
+        self.numbers: list[tuple[int, int]] = []
+        if _odd(text):
             self._rewrite([(m.start(), m.end(), LOOKALIKES.get(m[0], "")) for m in _ODD.finditer(self.text)])
         low = self.text.lower()
         if len(low) != len(self.text):  # a letter whose small form is longer
             low = "".join(c.lower() if len(c.lower()) == 1 else c for c in self.text)
         edits = []
         for m in _DIGIT_RUN.finditer(low):
+            if m.start() and low[m.start() - 1].isalnum():
+                continue
             digits, times = "", 1
             for w in _DIGIT_WORD.findall(m[0]):
                 if w in ("double", "triple"):
@@ -136,7 +151,7 @@ class Normal:
                 else:
                     digits, times = digits + str(DIGIT_WORDS[w]) * times, 1
             edits.append((m.start(), m.end(), digits))
-        if _HINT.search(low):
+        if any(h in low for h in _HINTS):
             for m in _AT.finditer(low):
                 edits.append((m.start(), m.end(), "@"))
                 # The dots that follow, as far as the address may reach.
@@ -147,8 +162,10 @@ class Normal:
                         past = d.end()
                     else:
                         break
+        self.low = low
         if edits:
             self._rewrite(sorted(edits), True)
+            self.low = self.text.lower() if len(self.text.lower()) == len(self.text) else "".join(c.lower() if len(c.lower()) == 1 else c for c in self.text)
 
     def _rewrite(self, edits: list[tuple[int, int, str]], mark: bool = False) -> None:
         out, at, by, last, size = [], [0], [self.source(0)], 0, 0
@@ -199,30 +216,46 @@ _PHONE = re.compile(
     rf"){_EXT}(?![\w/])(?![.\-,]\d)",
     re.IGNORECASE,
 )
-_CUED = re.compile(r"\b(?:tel|tél|telefon|teléfono|téléphone|phone|mobile|mobil|móvil|call|fax|llame al|joindre le|handy)\b\.?:?\s*(?:is |unter |at )?(\d{7,12})\b", re.IGNORECASE)
+_NUMBER = re.compile(r"[\d+(][\d .()/+\-]{5,}\d")
+_CUE = re.compile(r"\b(?:tel|tél|telefon|teléfono|téléphone|phone|mobile|mobil|móvil|call|fax|llame al|joindre le|handy)\b\.?:?\s*(?:is |unter |at )?$")
 _MONEY = re.compile(r"(?:EUR|USD|GBP|INR|CHF|€|\$|£)\s?$")
 _MONEY_AFTER = re.compile(r"\s?(?:EUR|USD|GBP|INR|CHF|€|\$|£)")
 _ID = re.compile(r"\b(?:" + "|".join(ID_WORDS) + r")(?:\s*(?:number|n[°ºo]\.?|nr\.?|num\.?|número|numéro|#|:|=|-|is|ist|es|est)){0,3}\s*", re.IGNORECASE)
 _ID_VALUE = re.compile(r"[A-Z]{0,3}\d*[A-Z]?\d*(?:[ .\-/](?:\d+[A-Z]{0,2}|[A-Z]\d*)\b){0,7}")
-_SSN = re.compile(r"(?<![\w\-])\d{3}-\d{2}-\d{4}(?![\w\-])|\b[A-Z]{2} ?\d{2} ?\d{2} ?\d{2} ?[A-D]\b")
+_PLAIN_ID = re.compile(r"\d{3}-\d{2}-\d{4}$")
+_INSURED = re.compile(r"[A-Z][A-Z] ?\d\d ?\d\d ?\d\d ?[A-D](?!\w)")
+#: One of these stands in whatever the patterns for numbered documents match.
+_ID_HINTS = ("ssn", "social security", "social insurance", "tax id", "tax payer", "itin", "insurance", "ni n", "nino", "passport", "licence", "license", "identity card", "id card", "steuer-", "steuerid", "steuernummer", "versicherungs", "ausweis", "reisepass", "führerschein", "nir", "sociale", "fiscal", "identit", "passeport", "permis", "dni", "d.n.i", "nie", "n.i.e", "nif", "n.i.f", "pasaporte", "seguridad social", "conducir")
 _TOWN = r"(?:,?\s+(?:apt\.?|flat|suite|unit)\s*\w+)?(?:,?\s+(?-i:(?:Port |Bad |Saint-|San |St\. )?[A-ZÀ-Þ][\w'’-]+)(?=,?\s+(?:\d{5}|[a-z]{1,2}\d{1,2}[a-z]?\s?\d[a-z]{2})\b))?(?:,?\s+(?:\d{5}(?:\s+(?-i:[A-ZÀ-Þ][\w'’-]+))?|(?-i:[A-Z]{1,2}\d{1,2}[A-Z]?\s?\d[A-Z]{2}))\b)?"
-_ADDRESS = re.compile(
-    rf"(?:\b(?:flat|apt\.?|unit|suite)\s*\d+\w?,\s*)?(?<![\w.])\d{{1,5}}[a-z]?(?:-\d{{1,4}})?,?\s+(?:(?-i:[A-ZÀ-Þ0-9])[\w'’.-]*\s+){{1,4}}{STREETS['en']}\b\.?{_TOWN}"
-    rf"|(?<![\w.])\d{{1,4}}(?:\s?(?:bis|ter|quater))?,?\s+{STREETS['fr']}\s+(?:(?:de la|de l['’]|des|de|du|d['’])\s?)?(?-i:[A-ZÀ-Þ])[\w'’-]+{_TOWN}"
-    rf"|\b{STREETS['es']}\s*(?:(?:de la|de los|de las|del|de)\s+)?(?-i:[A-ZÀ-Þ])[\w'’-]+(?:\s+(?-i:[A-ZÀ-Þ])[\w'’-]+)?,?\s*(?:n[.º°úu]*(?:mero)?\s*)?\d{{1,4}}\b(?:,\s*\d+\.?[ºª]\s*\w?)?{_TOWN}",
+def _cases(pattern: str) -> str:
+    words = [w for w in pattern[3:-1].split("|")]
+    return "(?:" + "|".join(sorted({v for w in words for v in (w, w.title(), w.upper())}, reverse=True)) + ")"
+
+
+_NUMBERED = re.compile(
+    rf"\d+(?:[A-Za-z]|\s?(?:bis|ter|quater))?(?:-\d{{1,4}})?,?\s+(?:(?:(?:[A-ZÀ-Þ][\w'’.-]*|\d+(?:st|nd|rd|th))\s+){{1,4}}{_cases(STREETS['en'])}\b\.?"
+    rf"|{_cases(STREETS['fr'])}\s+(?:(?:de la|de l['’]|des|de|du|d['’])\s?)?[A-ZÀ-Þ][\w'’-]+)"
+)
+_FLAT = re.compile(r"(?:flat|apt\.?|unit|suite)\s*\d+\w?,\s*$", re.IGNORECASE)
+_REST = re.compile(_TOWN, re.IGNORECASE)
+_STREET_ES = re.compile(
+    rf"{STREETS['es']}\s*(?:(?:de la|de los|de las|del|de)\s+)?(?-i:[A-ZÀ-Þ])[\w'’-]+(?:\s+(?-i:[A-ZÀ-Þ])[\w'’-]+)?,?\s*(?:n[.º°úu]*(?:mero)?\s*)?\d{{1,4}}\b(?:,\s*\d+\.?[ºª]\s*\w?)?{_TOWN}",
     re.IGNORECASE,
 )
-_ADDRESS_DE = re.compile(rf"{STREETS['de']}\s+\d{{1,4}}\s?[a-z]?\b(?:,?\s+\d{{5}}\s+[^\W\d_][\w-]*)?", re.IGNORECASE)
+_ES_HINTS = ("calle", "c/", "avda", "avenida", "plaza", "pza", "paseo", "camino", "carretera", "ronda", "travesía")
+_DE_HINTS = ("straße", "strasse", "str.", "weg", "gasse", "platz", "allee", "ring", "ufer", "damm", "chaussee", "steig")
+_NUMBER_DE = re.compile(r"\s+\d{1,4}(?:\s?[A-Za-z])?\b(?:,?\s+\d{5}\s+[^\W\d_][\w-]*)?")
 _NAME = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]+)?"
 _SUR = rf"(?:(?:von|van|de|del|di|du|la|le|der|zu|O['’]|Mc|Mac)\s?)*{_NAME}"
 _FIRST = _any_of(sorted(set(GIVEN + MORE_GIVEN)))
-_PERSON = re.compile(
-    rf"\b(?:(?:{_any_of(TITLES)})\b\.?\s+(?:{_any_of(TITLES)}\.?\s+)?(?:{_NAME}\s+)?(?:[A-Z]\.\s?)?({_SUR})"
-    rf"|M\.\s+(?:{_NAME}\s+)?(?:[A-Z]\.\s?)?({_SUR})|D\.ª?\s+(?:{_FIRST}\s+(?:[A-Z]\.\s?)?)({_SUR})"
-    rf"|{_FIRST}(?:-{_FIRST})?\s+(?:[A-Z]\.\s?)?({_SUR})"
-    rf"|({_NAME}),\s+{_FIRST}(?:-{_FIRST})?\b(?!-\d)(?:\s+[A-Z]\.)?(?!\s+[a-z]*\s*{COMPANY}))"
-)
-_LOUD = re.compile(rf"\b{_any_of(sorted({w.upper() for w in GIVEN + MORE_GIVEN}))}\s+(?:[A-Z]\.\s)?([A-ZÀ-Þ]{{3,}}(?:-[A-ZÀ-Þ]{{3,}})?)\b")
+_LEAD = re.compile(_any_of(sorted({*GIVEN, *MORE_GIVEN, *TITLES, "M.", "D."} | {w.upper() for w in GIVEN + MORE_GIVEN})))
+_ALL_GIVEN = {*GIVEN, *MORE_GIVEN}
+_AFTER_TITLE = re.compile(rf"\.?\s+(?:(?:{_any_of(TITLES)})\.?\s+)?(?:{_NAME}\s+)?(?:[A-Z]\.\s?)?({_SUR})")
+_AFTER_D = re.compile(rf"\s+{_FIRST}\s+(?:[A-Z]\.\s?)?({_SUR})")
+_AFTER_GIVEN = re.compile(rf"(?:-{_FIRST})?\s+(?:[A-Z]\.\s?)?({_SUR})")
+_AFTER_LOUD = re.compile(r"\s+(?:[A-Z]\.\s)?([A-ZÀ-Þ]{3,}(?:-[A-ZÀ-Þ]{3,})?)(?!\w)")
+_BEFORE_COMMA = re.compile(rf"(?<![\w-]){_NAME},\s$")
+_INITIAL = re.compile(r"\s+[A-Z]\.(?=\s)")
 _FIRM = re.compile(rf"(?:\s+[A-Z]\w+)?,?\s+{COMPANY}")
 _DIGITS = re.compile(r"\d")
 
@@ -237,50 +270,99 @@ def _emails(t: str) -> Iterator[tuple[int, int]]:
         at = t.find("@", at + 1)
 
 
-def _id_numbers(t: str) -> Iterator[tuple[int, int]]:
-    for m in _ID.finditer(t):
-        v = _ID_VALUE.match(t, m.end())
-        if v and len(_DIGITS.findall(v[0])) >= 5:
-            yield v.span()
-    for m in _SSN.finditer(t):
-        yield m.span()
+def _hits(low: str, words: tuple[str, ...]) -> Iterator[tuple[int, int]]:
+    """Where any of the words stands, first and past."""
+    for w in words:
+        i = low.find(w)
+        while i >= 0:
+            yield i, i + len(w)
+            i = low.find(w, i + 1)
+
+
+def _id_numbers(n: Normal) -> Iterator[tuple[int, int]]:
+    t, seen = n.text, set()
+    for i, j in _hits(n.low, _ID_HINTS):
+        for m in _ID.finditer(t, max(0, i - 32), min(len(t), j + 48)):
+            if m.end() not in seen:
+                seen.add(m.end())
+                v = _ID_VALUE.match(t, m.end())
+                if v and len(_DIGITS.findall(v[0])) >= 5:
+                    yield v.span()
+    for m in _INSURED.finditer(t):
+        if not (m.start() and t[m.start() - 1].isalnum()):
+            yield m.span()
+    for a, b in n.numbers:
+        m = _PLAIN_ID.search(t, a, b)
+        if m and (m.start() == a or not (t[m.start() - 1].isalnum() or t[m.start() - 1] == "-")) and not t[b : b + 1].isalnum() and t[b : b + 1] != "-":
+            yield m.span()
 
 
 def _phones(n: Normal) -> Iterator[tuple[int, int]]:
     t = n.text
-    for m in _PHONE.finditer(t):
-        if not (_MONEY.search(t, max(0, m.start() - 5), m.start()) or _MONEY_AFTER.match(t, m.end())):
-            yield m.span()
-    for m in _CUED.finditer(t):
-        yield m.span(1)
+    for a, b in n.numbers:
+        found = False
+        for m in _PHONE.finditer(t, a, min(len(t), b + 16)):
+            if m.start() >= b:
+                break
+            if not (_MONEY.search(t, max(0, m.start() - 5), m.start()) or _MONEY_AFTER.match(t, m.end())):
+                found = True
+                yield m.span()
+        if not found and 7 <= b - a <= 12 and t[a:b].isdigit() and _CUE.search(n.low, max(0, a - 24), a):
+            yield a, b
     yield from n.spelled
 
 
-def _addresses(t: str) -> Iterator[tuple[int, int]]:
-    for m in _ADDRESS.finditer(t):
-        yield m.span()
-    for m in _ADDRESS_DE.finditer(t):
-        first = m.start()
-        while first and (t[first - 1].isalpha() or t[first - 1] == "-"):
-            first -= 1
-        if t[first].isupper():
-            yield first, m.end()
+def _addresses(n: Normal) -> Iterator[tuple[int, int]]:
+    t = n.text
+    for m in _NUMBERED.finditer(t):
+        a = m.start()
+        if a and (t[a - 1].isalnum() or t[a - 1] in "._"):
+            continue
+        flat = _FLAT.search(t, max(0, a - 16), a)
+        yield (flat.start() if flat else a), _REST.match(t, m.end()).end()
+    for i, _ in _hits(n.low, _ES_HINTS):
+        if not (i and t[i - 1].isalnum()) and (m := _STREET_ES.match(t, i)):
+            yield m.span()
+    for i, j in _hits(n.low, _DE_HINTS):
+        if t[j : j + 1].isspace() and (m := _NUMBER_DE.match(t, j)):
+            while i and (t[i - 1].isalpha() or t[i - 1] == "-"):
+                i -= 1
+            if t[i].isupper():
+                yield i, m.end()
 
 
-def _persons(t: str) -> Iterator[tuple[int, int]]:
-    for p in (_PERSON, _LOUD):
-        for m in p.finditer(t):
-            surname = next(g for g in m.groups() if g)
-            if surname.lower() not in NOT_SURNAMES and not _FIRM.match(t, m.end()):
-                yield m.span()
+def _persons(n: Normal) -> Iterator[tuple[int, int]]:
+    t = n.text
+    for lead in _LEAD.finditer(t):
+        a, b = lead.span()
+        word = lead[0]
+        if a and (t[a - 1].isalnum() or t[a - 1] == "-") or (word[-1] != "." and b < len(t) and (t[b].isalnum() or t[b] == "_")):
+            continue
+        given = word in _ALL_GIVEN
+        if given:
+            m = _AFTER_GIVEN.match(t, b)
+        elif word == "D.":
+            m = _AFTER_D.match(t, b)
+        elif word == "M." or not word.isupper():
+            m = _AFTER_TITLE.match(t, b)
+        else:
+            m = _AFTER_LOUD.match(t, b)
+        if m and m[1].split()[-1].lower() not in NOT_SURNAMES and not _FIRM.match(t, m.end()):
+            yield a, m.end()
+        elif given and t[a - 2 : a - 1] == "," and not (t[b : b + 1] == "-" and t[b + 1 : b + 2].isdigit()):
+            before = _BEFORE_COMMA.search(t, max(0, a - 48), a)
+            if before and before[0].rstrip(", \n").lower() not in NOT_SURNAMES and not _FIRM.match(t, b):
+                more = _INITIAL.match(t, b)
+                yield before.start(), more.end() if more else b
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
     """(first, past, kind) of the spans in the source text, in order, none overlapping."""
     n = Normal(text)
     t = n.text
+    n.numbers = [m.span() for m in _NUMBER.finditer(t)]
     taken: list[tuple[int, int, str]] = []
-    for kind, spans in (("email", _emails(t)), ("id_number", _id_numbers(t)), ("phone", _phones(n)), ("address", _addresses(t)), ("person", _persons(t))):
+    for kind, spans in (("email", _emails(t)), ("id_number", _id_numbers(n)), ("phone", _phones(n)), ("address", _addresses(n)), ("person", _persons(n))):
         before = list(taken)
         for a, b in spans:
             if not any(x < b and a < y for x, y, _ in before) and not any(x < b and a < y for x, y, k in taken if k == kind):

@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memquarry.llm import harmful, mixing, packing, splitting, tokens
+from memquarry.llm import harmful, mixing, packing, personal, splitting, tokens
 from memquarry.llm.near_duplicates import NearDuplicates
 from memquarry.llm.shared_spans import SharedSpans
 from memquarry.llm.similar_vectors import SimilarVectors
@@ -159,3 +159,21 @@ def p10_rates(spark: SparkSession, base: str) -> DataFrame:
     """Documents, flagged documents and their share by source."""
     by = _harmful_scores(spark, base).groupBy("source").agg(F.count(F.lit(1)).alias("n_docs"), F.count_if("flagged").alias("n_flagged"), F.avg("score").alias("mean_score"))
     return by.withColumn("rate", F.col("n_flagged") / F.col("n_docs"))
+
+
+def _scanned(spark: SparkSession, base: str, with_text: bool) -> DataFrame:
+    docs = personal.scan(table(spark, base, "documents"), "documents", "doc_id", "text", with_text)
+    return docs.unionAll(personal.scan(table(spark, base, "notes"), "notes", "note_id", "text", with_text))
+
+
+@R.query()
+def p6_found(spark: SparkSession, base: str) -> DataFrame:
+    """The kinds of personal information in each record."""
+    found = _scanned(spark, base, False).select("rec_kind", "rec_id", F.explode(F.array_distinct(F.transform("spans", lambda s: s["kind"]))).alias("pii_kind"))
+    return found.distinct()
+
+
+@R.query()
+def p6_redacted(spark: SparkSession, base: str) -> DataFrame:
+    """Every text with typed placeholders, and how many there are; of repeated deliveries one."""
+    return _scanned(spark, base, True).select("rec_kind", "rec_id", "text", F.size("spans").alias("n_spans")).dropDuplicates(["rec_kind", "rec_id"])

@@ -160,11 +160,14 @@ class ChangeStore:
         """One run from all: repeats go, and so do changes before the last SET,
         DELETE, VADD or VTOMBSTONE of their key. These last ones stay, as a change
         that arrives late may lie before them."""
-        all_changes = self.changes()
-        last = all_changes.groupBy(*KEY).agg(F.max(F.when(F.col("type") != EXPIRE, _at())).alias("base"))
-        last = last.select(*[F.col(c).alias(f"b_{c}") for c in KEY], "base")
+        # A key, an entry of an index and an index may have the same names.
+        what = F.when(F.col("type").isin(VADD, VTOMBSTONE), 1).when(F.col("type") == DELETE_INDEX, 2).otherwise(0)
+        all_changes = self.changes().withColumn("what", what)
+        names = ("what", *KEY)
+        last = all_changes.groupBy(*names).agg(F.max(F.when(F.col("type") != EXPIRE, _at())).alias("base"))
+        last = last.select(*[F.col(c).alias(f"b_{c}") for c in names], "base")
         same = F.lit(True)
-        for c in KEY:
+        for c in names:
             same = same & F.col(c).eqNullSafe(F.col(f"b_{c}"))
         kept = all_changes.join(last, same).where(F.col("base").isNull() | (_at() >= F.col("base"))).select(*RUN_COLUMNS)
         repeat = ["tenant_id", "seq", "effect_no", "key", "space", "id", "type"]

@@ -86,9 +86,9 @@ def mix(docs: DataFrame, planned: DataFrame, seed: int = 7) -> DataFrame:
     """Every use of a document: all columns of ``docs`` (source, doc_id, size and others),
     copy_no from 0 and place, the key of the global order; ordered by place."""
     u = (F.shiftrightunsigned(F.xxhash64(F.lit(seed), F.col("doc_id")), 11).cast("double") + 0.5) / float(1 << 53)
-    counted = docs.where(F.col("size") > 0).join(planned.select("source", "thresholds"), "source")
-    uses = F.size(F.filter("thresholds", lambda t: t <= F.col("_u")))
-    copies = counted.withColumn("_u", u).withColumn("_n", uses).where("_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_u", "_n", "thresholds")
+    counted = docs.where(F.col("size") > 0).join(planned.select("source", F.col("thresholds").alias("_thresholds")), "source")
+    uses = F.size(F.filter("_thresholds", lambda t: t <= F.col("_u")))
+    copies = counted.withColumn("_u", u).withColumn("_n", uses).where("_n > 0").withColumn("copy_no", F.explode(F.sequence(F.lit(0), F.col("_n") - 1))).drop("_u", "_n", "_thresholds")
     return copies.withColumn("place", F.xxhash64(F.lit(seed + 1), "doc_id", "copy_no")).orderBy("place", "doc_id", "copy_no")
 
 

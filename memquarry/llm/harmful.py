@@ -130,8 +130,8 @@ class Model:
 
     def logits(self, x: np.ndarray, starts: np.ndarray) -> np.ndarray:
         """Per sentence: the strongest answer of each filter, or 0, and the linear layer.
-        Sentences begin at rows ``starts``, multiples of FOLD, and end with at least GAP
-        zero rows; x ends with GAP more."""
+        A sentence's rows begin at ``starts``, multiples of FOLD, with GAP zero rows, so
+        that no filter sees two sentences; x ends with GAP more."""
         n = len(x) - GAP
         answers = []
         for w, c in zip(WIDTHS, self.conv):
@@ -164,7 +164,7 @@ def _laid_out(table: np.ndarray, ids: np.ndarray) -> tuple[np.ndarray, np.ndarra
     starts = np.cumsum(rows) - rows
     x = np.zeros((int(rows.sum()) + GAP, DIM), np.float32)
     kept = ids[word]
-    x[np.arange(len(kept)) + np.repeat(starts - (np.cumsum(lengths) - lengths), lengths)] = table[kept]
+    x[np.arange(len(kept)) + np.repeat(starts + GAP - (np.cumsum(lengths) - lengths), lengths)] = table[kept]
     return x, starts, begin
 
 
@@ -303,7 +303,7 @@ class _Adam:
         rows = int((lengths + GAP).sum())
         within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
         word = corpus.ids[np.repeat(corpus.starts[part], lengths) + within] - 1
-        place = np.repeat(starts, lengths) + within
+        place = np.repeat(starts + GAP, lengths) + within
         sizes = corpus.sizes[word]
         bag = np.repeat(np.arange(len(word)), sizes)
         first = np.cumsum(sizes) - sizes
@@ -358,17 +358,20 @@ class _Adam:
         model.out_bias -= self.rate * (bm[0] / fix1) / (np.sqrt(bm[1] / fix2) + 1e-8)
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float = 0.0) -> float:
-    """The threshold with the best F1; of a range of equals the middle."""
+def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float = 0.0, slack: float = 0.005) -> float:
+    """The threshold nearest to 0 of those whose F1 is within ``slack`` of the best: a
+    few wrong labels shall not decide."""
     order = np.argsort(-scores)
-    s, y = scores[order], labels[order]
+    s, y = scores[order].astype(np.float64), labels[order]
     if not y.any() or y.all():
         return default
-    tp = np.cumsum(y)
-    f1 = 2 * tp / (np.arange(len(y)) + 1 + y.sum())
-    top = np.flatnonzero(f1 >= f1.max() - 1e-9)[-1]
-    below = s[top + 1] if top + 1 < len(s) else s[top] - 2
-    return float((s[top] + below) / 2)
+    f1 = 2 * np.cumsum(y) / (np.arange(len(y)) + 1 + y.sum())
+    good = np.flatnonzero(f1 >= f1.max() - slack)
+    low = np.append(s[1:], s[-1] - 2)[good]
+    # Between each score and the next lower one, the middle, or 0 if it lies well inside.
+    middle = (s[good] + np.maximum(low, s[good] - 4)) / 2
+    inside = (s[good] > 0.2) & (low < -0.2)
+    return float(min(np.where(inside, 0.0, middle), key=abs))
 
 
 def language(code: str | None) -> str:

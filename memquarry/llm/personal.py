@@ -76,7 +76,7 @@ ID_WORDS = [
     r"passport(?: number| no\.?)?", r"driv(?:er'?s?|er’s|ing) licen[cs]e(?: number| no\.?)?", r"identity card(?: number| no\.?)?", r"id card(?: number| no\.?)?",
     r"steuer-?id(?:entifikationsnummer|-nr\.?)?", r"steuernummer", r"sozialversicherungs(?:nummer|-nr\.?)", r"rentenversicherungsnummer", r"(?:personal)?ausweis(?:nummer|-nr\.?| nr\.?)", r"reisepass(?:nummer|-nr\.?)?", r"führerschein(?:nummer|-nr\.?)?",
     r"nir\b", r"num[ée]ro de s[ée]curit[ée] sociale", r"n[°o] de s[ée]curit[ée] sociale", r"s[ée]curit[ée] sociale", r"num[ée]ro fiscal", r"carte (?:nationale )?d['’]identit[ée]", r"passeport", r"permis de conduire",
-    r"d\.?n\.?i\.?\b", r"n\.?i\.?e\.?\b", r"n\.?i\.?f\.?\b", r"pasaporte", r"(?:n[úu]mero de (?:la )?)?seguridad social", r"(?:permiso|carn[ée]) de conducir",
+    r"d\.?n\.?i\b\.?", r"n\.?i\.?e\b\.?", r"n\.?i\.?f\b\.?", r"pasaporte", r"(?:n[úu]mero de (?:la )?)?seguridad social", r"(?:permiso|carn[ée]) de conducir",
 ]
 STREETS = {
     "en": r"(?:street|st|road|rd|lane|ln|avenue|ave|boulevard|blvd|drive|close|court|way|square|sq|place|terrace|crescent|gardens|grove|mews|parkway|highway)",
@@ -169,22 +169,37 @@ class Normal:
 
     def _rewrite(self, edits: list[tuple[int, int, str]], mark: bool = False) -> None:
         out, at, by, last, size = [], [0], [self.source(0)], 0, 0
+        old = list(zip(self.at, self.by))
+        k = 0
+
+        def keep(until: int) -> None:
+            """Copies a stretch, with the places where the text had been rewritten before."""
+            nonlocal k, size
+            out.append(self.text[last:until])
+            while k < len(old) and old[k][0] <= until:
+                if old[k][0] >= last:
+                    at.append(size + old[k][0] - last)
+                    by.append(old[k][1])
+                k += 1
+            size += until - last
+
         for first, past, new in edits:
             if first < last:
                 continue
-            out.append(self.text[last:first])
-            size += first - last
+            keep(first)
             if mark and new.isdigit() and 7 <= len(new) <= 15:
                 self.spelled.append((size, size + len(new)))
-            for i, c in enumerate(new):
+            for i in range(len(new)):
                 at.append(size + i)
                 by.append(self.source(first + min(i, past - first - 1)))
             out.append(new)
             size += len(new)
+            last = past
             at.append(size)
             by.append(self.source(past))
-            last = past
-        out.append(self.text[last:])
+            while k < len(old) and old[k][0] <= past:
+                k += 1
+        keep(len(self.text))
         self.text, self.at, self.by = "".join(out), at, by
 
     def source(self, i: int) -> int:
@@ -207,6 +222,7 @@ _EXT = r"(?:\s*(?:ext\.?|extension|x|durchwahl|poste)\s*\d{1,5}\b)?"
 _PHONE = re.compile(
     r"(?<![\w+.,/#-])(?:"
     r"\(?\+\d{1,3}\)?[ .\-/]?(?:\(\d{1,4}\)[ .\-/]?)?\d(?:[ .\-/]?\d){5,12}"
+    r"|(?<!\d[ ])00[1-9]\d{0,2}[ .\-/]?(?:\(0\)[ .\-/]?)?\d(?:[ .\-/]?\d){6,12}"
     r"|(?<!\d[ ])(?:\([2-9]\d{2}\) ?|[2-9]\d{2}[.\- ])[2-9]\d{2}[.\- ]\d{4}"
     r"|(?<!\d[ ])0\d{2}[ \-]\d{4}[ \-]\d{4}|(?<!\d[ ])0\d{3}[ \-]\d{3}[ \-]\d{4}|(?<!\d[ ])0[1-9]\d{3}[ \-]\d{6}"
     r"|(?<!\d[ ])\(0\d{1,4}\) ?\d{3,5}[ \-/]?\d{2,6}"
@@ -251,6 +267,9 @@ _FIRST = _any_of(sorted(set(GIVEN + MORE_GIVEN)))
 _LEAD = re.compile(_any_of(sorted({*GIVEN, *MORE_GIVEN, *TITLES, "M.", "D."} | {w.upper() for w in GIVEN + MORE_GIVEN})))
 _ALL_GIVEN = {*GIVEN, *MORE_GIVEN}
 _AFTER_TITLE = re.compile(rf"\.?\s+(?:(?:{_any_of(TITLES)})\.?\s+)?(?:{_NAME}\s+)?(?:[A-Z]\.\s?)?({_SUR})")
+_TITLE_ONLY = re.compile(rf"\.?\s+(?:(?:{_any_of(TITLES)})\.?\s+)?(?:[A-Z]\.\s?)?({_SUR})")
+_D_ONLY = re.compile(rf"\s+({_SUR})")
+_BEFORE_D = re.compile(r"(?:[:(,]|\b(?:según|a|de|con|por|para|y|e))\s+$")
 _AFTER_D = re.compile(rf"\s+{_FIRST}\s+(?:[A-Z]\.\s?)?({_SUR})")
 _AFTER_GIVEN = re.compile(rf"(?:-{_FIRST})?\s+(?:[A-Z]\.\s?)?({_SUR})")
 _AFTER_LOUD = re.compile(r"\s+(?:[A-Z]\.\s)?([A-ZÀ-Þ]{3,}(?:-[A-ZÀ-Þ]{3,})?)(?!\w)")
@@ -342,9 +361,11 @@ def _persons(n: Normal) -> Iterator[tuple[int, int]]:
         if given:
             m = _AFTER_GIVEN.match(t, b)
         elif word == "D.":
-            m = _AFTER_D.match(t, b)
+            m = _AFTER_D.match(t, b) or (_BEFORE_D.search(n.low, max(0, a - 8), a) and _D_ONLY.match(t, b))
         elif word == "M." or not word.isupper():
             m = _AFTER_TITLE.match(t, b)
+            if m and m[1].split()[-1].lower() in NOT_SURNAMES:
+                m = _TITLE_ONLY.match(t, b)
         else:
             m = _AFTER_LOUD.match(t, b)
         if m and m[1].split()[-1].lower() not in NOT_SURNAMES and not _FIRM.match(t, m.end()):

@@ -44,7 +44,7 @@ GAP = max(WIDTHS) - 1
 CACHE = 200_000
 
 #: A word written letter by letter.
-_SPACED = re.compile(rb"(?<= )[a-z](?: [a-z]){3,}(?= )")
+_SPACED = re.compile(rb"(?<= )(?:[a-z]|\xc3[\x80-\xbf])(?: (?:[a-z]|\xc3[\x80-\xbf])){3,}(?= )")
 #: A break between sentences, as a word.
 BREAK = b"."
 _BREAKS = ".!?:;\n\r\x0b\x0c"
@@ -266,7 +266,7 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 10,
     corpus, labels = _Corpus(texts), np.asarray(labels)
     n_out = len(WIDTHS) * FILTERS
     model = Model(
-        rng.normal(0, 0.5, (BUCKETS, DIM)).astype(np.float32),
+        rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32),
         [rng.normal(0, 1 / np.sqrt(w * DIM), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
         np.zeros(n_out, np.float32),
         rng.normal(0, 0.3, n_out).astype(np.float32),
@@ -358,7 +358,7 @@ class _Adam:
         model.out_bias -= self.rate * (bm[0] / fix1) / (np.sqrt(bm[1] / fix2) + 1e-8)
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float = 0.0, slack: float = 0.005) -> float:
+def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float = 0.0, slack: float = 0.015) -> float:
     """The threshold nearest to 0 of those whose F1 is within ``slack`` of the best: a
     few wrong labels shall not decide."""
     order = np.argsort(-scores)

@@ -50,7 +50,14 @@ def _shared_spans(spark: SparkSession, base: str) -> SharedSpans:
     return SharedSpans({"documents": (table(spark, base, "documents"), "doc_id", "text", None), "hits": (table(spark, base, "hits"), "hit_id", "text", "doc_id")}, 300)
 
 
-@R.query()
+_P7_SQL = """
+WITH recs AS (SELECT 'documents' AS k, doc_id AS id, doc_id AS g, text FROM documents UNION SELECT 'hits', hit_id, doc_id, text FROM hits),
+w AS (SELECT DISTINCT k, id, g, hash(substring(text, i, 300)) AS h FROM (SELECT k, id, g, text, unnest(range(1, length(text) - 298)) AS i FROM recs WHERE length(text) >= 300)),
+shared AS (SELECT k, h FROM w GROUP BY k, h HAVING count(*) > 1), s AS (SELECT w.* FROM w JOIN shared USING (k, h))
+SELECT DISTINCT a.k AS rec_kind, a.id AS rec_a, b.id AS rec_b FROM s a JOIN s b ON a.k = b.k AND a.h = b.h AND a.id < b.id AND a.g <> b.g"""
+
+
+@R.query(_P7_SQL)
 def p7_found(spark: SparkSession, base: str) -> DataFrame:
     """Pairs of records of one kind that have at least 300 successive characters in common."""
     return _shared_spans(spark, base).pairs().select(F.col("kind").alias("rec_kind"), F.col("id_a").alias("rec_a"), F.col("id_b").alias("rec_b"))

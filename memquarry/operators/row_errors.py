@@ -33,6 +33,12 @@ class Rule:
     broken: Column
 
 
+def _once(c: Column) -> Column:
+    """The same value by way of a generator: the optimiser does not copy the expression
+    into each of its uses, so it is evaluated once a row."""
+    return F.explode(F.array(c))
+
+
 def parse(records: DataFrame, raw: str, fields: list[str]) -> DataFrame:
     """Adds ``_parts`` (the record's fields as text, null where quoting is broken)
     and one nullable text column per field, trimmed."""
@@ -43,7 +49,7 @@ def parse(records: DataFrame, raw: str, fields: list[str]) -> DataFrame:
         parts,
         lambda p: F.when(F.startswith(p, F.lit('"')), F.replace(F.substring(p, F.lit(2), F.length(p) - 2), F.lit('""'), F.lit('"'))).otherwise(p),
     )
-    out = records.withColumn("_parts", F.when(sound, unquoted))
+    out = records.withColumn("_parts", _once(F.when(sound, unquoted)))
     return out.withColumns({f: trimmed(F.try_element_at("_parts", F.lit(i + 1))) for i, f in enumerate(fields)})
 
 
@@ -59,7 +65,7 @@ def with_errors(records: DataFrame, raw: str, fields: list[str], rules: list[Rul
         .when(F.coalesce(F.size("_parts"), F.lit(0)) != len(fields), F.array(F.lit("column_count")))
         .otherwise(found)
     )
-    return parsed.withColumn("errors", errors).drop("_parts")
+    return parsed.withColumn("errors", _once(errors)).drop("_parts")
 
 
 def split(checked: DataFrame) -> tuple[DataFrame, DataFrame]:

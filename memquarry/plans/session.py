@@ -27,3 +27,26 @@ def local_session(cores: int | str = "*", shuffle_partitions: int = 8, memory: s
     spark = builder.getOrCreate()
     spark.sparkContext.setLogLevel("ERROR")
     return spark
+
+
+_shipped: set[str] = set()
+
+
+def ship_package(spark: SparkSession) -> None:
+    """Gives the executors this package, once per application, so that functions run
+    there wherever the driver found it."""
+    import atexit
+    import shutil
+    import tempfile
+    from pathlib import Path
+
+    app = spark.sparkContext.applicationId
+    if app in _shipped:
+        return
+    _shipped.add(app)
+    package = Path(__file__).resolve().parents[1]
+    # Executors that start later fetch the archive too: it stays as long as the driver.
+    folder = tempfile.mkdtemp(prefix="memquarry-package-")
+    atexit.register(shutil.rmtree, folder, ignore_errors=True)
+    shutil.copytree(package, f"{folder}/tree/{package.name}", ignore=shutil.ignore_patterns("__pycache__"))
+    spark.sparkContext.addPyFile(shutil.make_archive(f"{folder}/{package.name}", "zip", f"{folder}/tree"))

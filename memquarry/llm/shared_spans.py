@@ -10,6 +10,11 @@ windows of the full length, at every position around it, in both texts.
 The cover is a perfect difference set (a line of the projective plane over a prime
 field): q + 1 of q*q + q + 1 remainders, the fewest possible.
 
+A passage shorter than a span but longer than a window may stand in very many texts.
+Pairs are not made from an anchor that more than ``HOT`` texts share; instead, the
+windows of the full length around it are hashed, which is linear in the texts, and
+those that are shared make the pairs. Windows with the same set of texts count once.
+
 Records with the same text are one class: a task lists the windows of a text once,
 and lists are reduced to classes before pairs are made. Pairs are between classes;
 they are expanded to records only where all pairs are asked for.
@@ -34,6 +39,8 @@ from memquarry.plans.bloom import id_filter
 from memquarry.plans.scratch import written
 
 MAX_KINDS = 16
+#: Texts that may share one anchor before its pairs are made from whole spans.
+HOT = 256
 
 
 @lru_cache(maxsize=None)
@@ -117,6 +124,36 @@ def _list_anchors(min_chars: int):
     return work
 
 
+def _windows_around(min_chars: int):
+    """(window, id) of all windows of the full length around the given anchors of each text."""
+    q, window = plan(min_chars)
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        cover = _Cover(q)
+        for b in batches:
+            for kind, rep, text, wanted in zip(*(b.column(i).to_pylist() for i in range(4))):
+                cp, off = textops.codepoints([text])
+                p = textops.prefix_hashes(cp)
+                _, start, h = _anchors(p, off, cover, window)
+                h = h & np.uint64(0xFFFFFFFFFFFFFFFF - MAX_KINDS + 1) | np.uint64(kind)
+                s = _starts_around(start[np.isin(h, np.array(wanted, np.int64).view(np.uint64))], len(text), min_chars, window)
+                w = textops.span_hashes(p, s, s + min_chars) & np.uint64(0xFFFFFFFFFFFFFFFF - MAX_KINDS + 1) | np.uint64(kind)
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), rep))], names=["anchor", "id"])
+
+    return work
+
+
+def _starts_around(at: np.ndarray, size: int, min_chars: int, window: int) -> np.ndarray:
+    """Starts of the windows of the full length that hold an anchor at one of the places."""
+    n = size - min_chars + 1
+    if n <= 0 or not len(at):
+        return np.zeros(0, np.int64)
+    mark = np.zeros(n + 1, np.int32)
+    np.add.at(mark, np.minimum(np.maximum(at - (min_chars - window), 0), n), 1)
+    np.add.at(mark, np.minimum(at + 1, n), -1)
+    return np.flatnonzero(np.cumsum(mark[:n]) > 0)
+
+
 def shared_windows(a: str, b: str, min_chars: int, cover: _Cover, window: int, cache: dict | None = None) -> tuple[np.ndarray, np.ndarray]:
     """The starts in ``a`` and in ``b`` of windows of ``min_chars`` that the other has too."""
 
@@ -139,14 +176,7 @@ def shared_windows(a: str, b: str, min_chars: int, cover: _Cover, window: int, c
 
     def around(r) -> tuple[np.ndarray, np.ndarray]:
         p, start, h, _ = r
-        at = start[np.isin(h, common)]
-        n = len(p) - min_chars
-        if n <= 0:
-            return none, none.astype(np.uint64)
-        mark = np.zeros(n + 1, np.int32)
-        np.add.at(mark, np.minimum(np.maximum(at - (min_chars - window), 0), n), 1)
-        np.add.at(mark, np.minimum(at + 1, n), -1)
-        s = np.flatnonzero(np.cumsum(mark[:n]) > 0)
+        s = _starts_around(start[np.isin(h, common)], len(p) - 1, min_chars, window)
         return s, textops.span_hashes(p, s, s + min_chars)
 
     (sa, ha), (sb, hb) = around(ra), around(rb)
@@ -220,7 +250,16 @@ class SharedSpans:
         kind_of = F.col("anchor").bitwiseAND(MAX_KINDS - 1)
         reps = self.members.select("kind", "id", "rep").distinct()
         lists = written(shared.withColumn("kind", kind_of).join(reps, ["kind", "id"]).select("anchor", "kind", "rep").distinct(), "anchors")
-        a, b = lists.select("anchor", "kind", F.col("rep").alias("id_a")), lists.select("anchor", F.col("rep").alias("id_b"))
+        hot = lists.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
+        hot_of = written(lists.join(hot, "anchor", "left_semi").groupBy("kind", "rep").agg(F.collect_list("anchor").alias("anchors")), "hot")
+        texts_of_hot = records.where(id_filter(hot_of, "rep")("id")).select("kind", F.col("id").alias("rep"), "text")
+        around = texts_of_hot.join(hot_of, ["kind", "rep"]).select("kind", "rep", "text", "anchors").mapInArrow(_windows_around(min_chars), "anchor bigint, id bigint")
+        whole = around.withColumns({"low": F.min("id").over(w), "high": F.max("id").over(w)}).where("low < high").select("anchor", kind_of.alias("kind"), F.col("id").alias("rep")).distinct()
+        whole = written(whole, "windows")
+        member = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "rep"))
+        once = whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), member(1).alias("x"), member(2).alias("y")).groupBy("n", "x", "y").agg(F.min("anchor").alias("anchor")).select("anchor")
+        keyed = lists.join(hot, "anchor", "left_anti").select("anchor", "kind", "rep").unionAll(whole.join(once, "anchor", "left_semi").select("anchor", "kind", "rep"))
+        a, b = keyed.select("anchor", "kind", F.col("rep").alias("id_a")), keyed.select("anchor", F.col("rep").alias("id_b"))
         pairs = a.join(b, "anchor").where("id_a < id_b").select("kind", "id_a", "id_b").distinct()
         groups = self.members.groupBy("kind", "rep").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"))
         ga = groups.select("kind", F.col("rep").alias("id_a"), F.col("g0").alias("a0"), F.col("g1").alias("a1"))

@@ -50,6 +50,22 @@ def test_pairs_equal_all_windows(spark, n):
     assert {(r.id_a, r.id_b) for r in found.pairs().collect()} == truth(rows, n)
 
 
+@pytest.mark.parametrize("hot", [3, 15])
+def test_a_passage_in_most_texts(spark, monkeypatch, hot):
+    """A passage shorter than a span in most texts makes no pairs; longer ones still do."""
+    from memquarry.llm import shared_spans as m
+
+    monkeypatch.setattr(m, "HOT", hot)
+    rows = corpus(300, 300)
+    common = "".join(chr(400 + i) for i in range(260))
+    rng = random.Random(6)
+    rows = [(i, g, t[:200] + common + t[200:] if i % 3 else t + t[:1] + common + str(i % 7) * (60 if i % 2 else 20)) for i, g, t in rows]
+    rng.shuffle(rows)
+    found = SharedSpans({"r": (spark.createDataFrame(rows, "id long, grp long, text string").repartition(3), "id", "text", "grp")}, 300)
+    want = truth(rows, 300)
+    assert len(want) > 20 and {(r.id_a, r.id_b) for r in found.pairs().collect()} == want
+
+
 def test_spans_are_whole(spark):
     a, b, c = "A" + "xyz" * 5, "".join(chr(300 + i) for i in range(500)), "tail"
     rows = [(1, a + b + c), (2, "other" + b), (3, b[:250] + "?" + b[250:])]

@@ -149,6 +149,13 @@ def p5_found(spark: SparkSession, base: str) -> DataFrame:
     return found.select(F.least("id", "other").alias("id_a"), F.greatest("id", "other").alias("id_b")).distinct()
 
 
+@R.query()
+def p5_neighbours(spark: SparkSession, base: str) -> DataFrame:
+    """The 10 most similar live vectors of the collection, or all others of a smaller one,
+    whatever their cosine, for the ids divisible by 20."""
+    return SimilarVectors(table(spark, base, "vectors")).complete(F.col("id") % 20 == 0)
+
+
 def _harmful_scores(spark: SparkSession, base: str) -> DataFrame:
     docs = table(spark, base, "documents")
     model = harmful.fit_on(docs, table(spark, base, "doc_labels"))

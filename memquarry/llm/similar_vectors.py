@@ -10,6 +10,10 @@ is ranked again with the vectors themselves. A pair with cosine 0.9 has the
 chance of about 0.31 to be found by one table and of 0.99 by twelve; closer pairs
 have more. Cosines reported are exact.
 
+That gives the neighbours above a cosine. ``complete`` gives every vector its k: those
+for which the index has fewer are compared with their whole collection, exactly, in
+blocks of queries and rows.
+
 The index of a collection is divided into cells by the leading bits of the
 substring, more of them the larger the collection, so that a cell stays small; a
 code whose leading bits differ in one bit from a cell's visits it. A cell that is
@@ -31,7 +35,7 @@ from collections.abc import Iterator
 import numpy as np
 import pyarrow as pa
 import pyarrow.compute
-from pyspark.sql import DataFrame, Window
+from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memquarry.plans.bloom import id_filter
@@ -44,6 +48,8 @@ SAMPLE = 4096
 CELL, UNIT = 8192, 32768
 #: Pairs compared at once.
 CHUNK = 1 << 20
+#: Queries and rows of a unit of the exact pass.
+SCAN = 1 << 17
 
 
 def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11, rounds: int = 20) -> np.ndarray:
@@ -278,17 +284,119 @@ class SimilarVectors:
     def neighbours(self) -> DataFrame:
         """(id, other, cosine, place): for each vector its at most ``k`` most similar with
         cosine >= min_cosine, place from 1."""
-        k, members = self.k, written(self.members, "members")
+        members = written(self.members, "members")
+        return self._placed(self._links(), members, members)
+
+    def complete(self, wanted: Column | None = None) -> DataFrame:
+        """(id, other, cosine, place): for each vector (``wanted``: a condition on ``id``) its
+        ``k`` most similar, or all others of a smaller collection, whatever their cosine."""
+        members = written(self.members, "members")
+        mine = members if wanted is None else members.where(wanted)
+        indexed = written(self._placed(self._links(), members, mine), "indexed")
+        full = indexed.where(F.col("place") == self.k).select("id")
+        short = mine.join(full, "id", "left_anti")
+        scanned = self._scanned(members, short.select("rep").distinct())
+        return indexed.join(full, "id", "left_semi").unionAll(self._placed(scanned, members, short))
+
+    def _links(self) -> DataFrame:
+        return self.edges.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("to"), "cosine").unionAll(self.edges.select("rep_b", "rep_a", "cosine"))
+
+    def _placed(self, links: DataFrame, members: DataFrame, mine: DataFrame) -> DataFrame:
+        """The best of ``links`` (rep, to, cosine) and of the own class for each of ``mine``."""
+        k = self.k
         classes = members.groupBy("rep").agg(F.count(F.lit(1)).alias("n"))
-        both = self.edges.select(F.col("rep_a").alias("rep"), F.col("rep_b").alias("to"), "cosine").unionAll(self.edges.select("rep_b", "rep_a", "cosine"))
-        both = both.unionAll(classes.where("n > 1").select("rep", F.col("rep").alias("to"), F.lit(1.0).alias("cosine")))
+        both = links.unionAll(classes.where("n > 1").select("rep", F.col("rep").alias("to"), F.lit(1.0).alias("cosine")))
         # Of a class, only its first k + 1 ids can be among the k of a vector.
         heads = members.withColumn("r", F.row_number().over(Window.partitionBy("rep").orderBy("id"))).where(F.col("r") <= k + 1).select(F.col("rep").alias("to"), F.col("id").alias("other"))
         by = Window.partitionBy("rep").orderBy(F.desc("cosine"), "other")
         best = both.join(heads, "to").withColumn("r", F.row_number().over(by)).where(F.col("r") <= k + 1).select("rep", "other", "cosine")
-        each = members.select("rep", "id").join(best, "rep").where(F.col("id") != F.col("other"))
-        mine = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
-        return each.withColumn("place", F.row_number().over(mine)).where(F.col("place") <= k).select("id", "other", "cosine", "place")
+        each = mine.select("rep", "id").join(best, "rep").where(F.col("id") != F.col("other"))
+        own = Window.partitionBy("id").orderBy(F.desc("cosine"), "other")
+        return each.withColumn("place", F.row_number().over(own)).where(F.col("place") <= k).select("id", "other", "cosine", "place")
+
+    def _scanned(self, members: DataFrame, reps: DataFrame) -> DataFrame:
+        """(rep, to, cosine): of each block of its collection the k classes most similar to
+        each of ``reps``."""
+        rows = members.where(F.col("id") == F.col("rep")).select("id", "coll").join(reps.select(F.col("rep").alias("id"), F.lit(True).alias("asks")), "id", "left")
+        rows = written(rows.select("id", "coll", F.coalesce("asks", F.lit(False)).alias("asks")), "classes")
+        blocks = [F.ceil(F.col(c) / SCAN).cast("int").alias(c) for c in ("q", "r")]
+        sizes = rows.groupBy("coll").agg(F.count_if("asks").alias("q"), F.count(F.lit(1)).alias("r")).where("q > 0 AND r > 1").select("coll", *blocks)
+        at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
+        asked = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda j: F.struct(at("q").alias("qb"), j.alias("rb"), F.lit(0).alias("side")))
+        searched = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda i: F.struct(i.alias("qb"), at("r").alias("rb"), F.lit(1).alias("side")))
+        units = (
+            rows.join(sizes, "coll")
+            .join(self._live(self.vectors).select("id", "embedding"), "id")
+            .withColumn("u", F.explode(F.when(F.col("asks"), F.concat(asked, searched)).otherwise(searched)))
+            .select("coll", "u.qb", "u.rb", "u.side", "id", "embedding")
+        )
+        parts = units.repartition("coll", "qb", "rb").sortWithinPartitions("coll", "qb", "rb", "side")
+        return written(parts.mapInArrow(_scan(self.dim, self.k), "rep bigint, to bigint, cosine double"), "scanned")
+
+
+class _Best:
+    """The k most similar of the rows seen so far, for a block of queries."""
+
+    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
+        self.ids, self.x, self.k = ids, x, k
+        self.cosine = np.full((len(ids), k), -np.inf)
+        self.other = np.full((len(ids), k), np.iinfo(np.int64).max)
+
+    def see(self, ids: np.ndarray, x: np.ndarray) -> None:
+        step = max(1, CHUNK // max(len(ids), 1))
+        for first in range(0, len(self.ids), step):
+            past = min(first + step, len(self.ids))
+            # Rounded, so that equal cosines stay equal in any block.
+            s = np.round(self.x[first:past] @ x.T, 12) + 0.0
+            s[self.ids[first:past, None] == ids[None, :]] = -np.inf
+            least = self.cosine[first:past, -1]
+            if self.k < len(ids) and np.isneginf(least).any():
+                least = np.maximum(least, np.partition(s, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
+            q, r = np.nonzero((s >= least[:, None]) & (s > -np.inf))
+            if not len(q):
+                continue
+            met = np.unique(q)
+            q_all = np.concatenate((np.repeat(met, self.k), q))
+            c_all = np.concatenate((self.cosine[first + met].ravel(), s[q, r]))
+            o_all = np.concatenate((self.other[first + met].ravel(), ids[r]))
+            order = np.lexsort((o_all, -c_all, q_all))
+            begin = np.searchsorted(q_all[order], met)
+            take = order[begin[:, None] + np.arange(self.k)]
+            self.cosine[first + met], self.other[first + met] = c_all[take], o_all[take]
+
+    def batch(self) -> pa.RecordBatch:
+        q, c = np.nonzero(self.cosine > -np.inf)
+        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.other[q, c]), pa.array(self.cosine[q, c])], names=["rep", "to", "cosine"])
+
+
+def _scan(dim: int, k: int):
+    """Reads rows sorted by unit, its queries first, and gives each query's best in the unit."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        current, asking, best = None, [], None
+        for b in batches:
+            key = np.stack([b.column(i).to_numpy() for i in range(4)], 1)
+            ids = b.column(4).to_numpy()
+            _, x = _unit(b.column(5), dim)
+            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
+            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
+                if j <= i:
+                    continue
+                *unit, side = key[i].tolist()
+                if unit != current:
+                    if best is not None:
+                        yield best.batch()
+                    current, asking, best = unit, [], None
+                if side == 0:
+                    asking.append((ids[i:j], x[i:j]))
+                elif asking:
+                    if best is None:
+                        best = _Best(np.concatenate([a for a, _ in asking]), np.concatenate([a for _, a in asking]), k)
+                    best.see(ids[i:j], x[i:j])
+        if best is not None:
+            yield best.batch()
+
+    return work
 
 
 def _cosines(dim: int):

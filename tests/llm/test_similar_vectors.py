@@ -100,3 +100,35 @@ def test_pairs_below_the_cosine_stay_out(spark, cosine):
     rows = [("t", "a", None, i, [float(v) for v in x[i]], 1, False) for i in range(len(x))]
     got, n = found(spark, rows, min_cosine=cosine)
     assert all(r.cosine >= cosine for r in n) and got <= truth(rows, 10, cosine)
+
+
+def ranks(rows, k):
+    x = np.array([np.array(r[4], np.float32).astype(float) for r in rows])
+    x /= np.linalg.norm(x, axis=1, keepdims=True)
+    s = np.round(x @ x.T, 12)
+    return {
+        r[3]: [rows[j][3] for j in sorted((j for j in range(len(rows)) if j != i and rows[j][:2] == r[:2]), key=lambda j: (-s[i, j], rows[j][3]))[:k]]
+        for i, r in enumerate(rows)
+    }
+
+
+@pytest.mark.parametrize("block", [1 << 17, 60])
+def test_every_vector_gets_its_k(spark, monkeypatch, block):
+    from memquarry.llm import similar_vectors as m
+
+    monkeypatch.setattr(m, "SCAN", block)
+    rng = np.random.default_rng(13)
+    x = clustered(rng, 200)
+    x[7] = x[3] = x[1]
+    rows = [("t", "small" if i < 5 else "large", None, i, [float(v) for v in x[i]], 1, False) for i in range(len(x))]
+    want = ranks(rows, 10)
+    df = spark.createDataFrame([(*r, "c", 1) for r in rows], SCHEMA).repartition(3)
+    found = SimilarVectors(df)
+    got = {}
+    for r in sorted(found.complete().collect(), key=lambda r: (r.id, r.place)):
+        got.setdefault(r.id, []).append(r.other)
+    assert got.keys() == want.keys() and all(len(got[i]) == len(want[i]) for i in want)
+    assert sum(len(set(got[i]) & set(want[i])) for i in want) >= 0.99 * sum(map(len, want.values()))
+    assert got[0] == want[0] and len(got[0]) == 4
+    some = {(r.id, r.other) for r in found.complete(m.F.col("id") % 20 == 0).collect()}
+    assert some == {(i, o) for i, others in got.items() if i % 20 == 0 for o in others}

@@ -8,8 +8,9 @@ sentence's score. A document has the score of its worst sentence.
 
 Labels are for documents, so training looks for the sentence: at first the one
 whose words are most typical of documents labelled harmful, then the one that the
-model itself finds worst. Thresholds are set by language on labelled documents
-held out from training, where a language has enough of them, else on all.
+model itself finds worst. Thresholds are set by language on cross-fitted scores of
+all labelled documents; the fewer harmful ones a language has, the nearer its
+threshold is to the overall one.
 
 The fit uses at most ``MAX_LABELLED`` labelled documents of at most ``MAX_CHARS``
 characters, chosen by a hash of their id; every document is scored, on its whole
@@ -378,27 +379,44 @@ def language(code: str | None) -> str:
     return (code or "").strip().lower().replace("_", "-").split("-")[0][:2]
 
 
-def fit(texts: list[str], labels: list[int], langs: list[str | None], seed: int = 5, min_for_language: int = 25) -> Model:
-    """Trains on four fifths and sets the thresholds on the rest; a language's own
-    threshold needs ``min_for_language`` harmful documents among those held out."""
+def cross_scores(texts: list[str], y: np.ndarray, seed: int, folds: int) -> np.ndarray:
+    """For every text the score of a model trained without its fold. Folds have equal
+    shares of each label."""
+    rng = np.random.default_rng(seed)
+    fold = np.empty(len(y), np.int64)
+    for kind in (0, 1):
+        at = rng.permutation(np.flatnonzero(y == kind))
+        fold[at] = np.arange(len(at)) % folds
+    scores = np.empty(len(y))
+    for f in range(folds):
+        model = train([t for t, g in zip(texts, fold) if g != f], y[fold != f], seed)
+        scores[fold == f] = Scorer(model).scores([t for t, g in zip(texts, fold) if g == f])
+    return scores
+
+
+def thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str | None], prior: int = 25) -> dict[str, float]:
+    """The overall threshold, under ``''``, and one for every language: its own best one,
+    drawn to the overall one as if by ``prior`` harmful documents more. A language with
+    labels of one kind only has the overall one."""
+    lang = np.array([language(c) for c in langs])
+    overall = best_threshold(scores, y)
+    out = {"": overall}
+    for code in sorted(set(lang.tolist()) - {""}):
+        mine = lang == code
+        n = int(y[mine].sum())
+        out[code] = (n * best_threshold(scores[mine], y[mine], overall) + prior * overall) / (n + prior)
+    return out
+
+
+def fit(texts: list[str], labels: list[int], langs: list[str | None], seed: int = 5, folds: int = 3) -> Model:
+    """Trains on all texts and sets the thresholds on scores of models that did not see
+    the text. With one document of a kind no such model can be trained and they are 0."""
     y = np.asarray(labels)
     if not (0 < y.sum() < len(y)):
         raise ValueError("labels of both kinds are needed")
-    pick = np.random.default_rng(seed).random(len(y)) < 0.2
-    if pick.sum() < 20 or not 0 < y[pick].sum() < pick.sum() or not 0 < y[~pick].sum() < (~pick).sum():
-        model = train(texts, y, seed)
-        model.thresholds = {"": 0.0}
-        return model
-    model = train([t for t, h in zip(texts, pick) if not h], y[~pick], seed)
-    held = [t for t, h in zip(texts, pick) if h]
-    scores, truth = Scorer(model).scores(held), y[pick]
-    lang = np.array([language(c) for c, h in zip(langs, pick) if h])
-    overall = best_threshold(scores, truth)
-    model.thresholds = {"": overall}
-    for code in set(lang.tolist()) - {""}:
-        mine = lang == code
-        if truth[mine].sum() >= min_for_language:
-            model.thresholds[code] = best_threshold(scores[mine], truth[mine], overall)
+    model = train(texts, y, seed)
+    folds = min(folds, int(y.sum()), int((y == 0).sum()))
+    model.thresholds = thresholds(cross_scores(texts, y, seed, folds), y, langs) if folds > 1 else {"": 0.0}
     return model
 
 

@@ -77,3 +77,20 @@ def test_table(spark, corpus):
     with pytest.raises(ValueError):
         H.fit_on(docs, lab.where("toxic = 0"))
     assert H.score(docs.limit(0), H.fit_on(docs, lab), ["doc_id"]).count() == 0
+
+
+def test_every_language_has_its_threshold(corpus):
+    texts, labels = corpus
+    langs = ["de-DE" if i % 6 == 0 else "it" if i % 6 == 1 and not y else "en" for i, y in enumerate(labels[:300])]
+    found = H.fit(texts[:300], labels[:300], langs).thresholds
+    assert found.keys() == {"", "en", "de", "it"} and found["it"] == pytest.approx(found[""])
+    few = H.fit(texts[:12], [1, 0, 1] + [0] * 9, ["en"] * 12).thresholds
+    assert few.keys() == {"", "en"}
+
+
+def test_few_labels_of_a_language_move_its_threshold_less():
+    scores = np.array([5.0, 4.0, -3.0, -4.0] * 50 + [2.0, -6.0, -8.0, -9.0] * 2)
+    y = np.array([1, 1, 0, 0] * 50 + [1, 1, 0, 0] * 2)
+    few = H.thresholds(scores, y, ["en"] * 200 + ["de"] * 8)
+    many = H.thresholds(np.append(scores, np.tile(scores[-8:], 40)), np.append(y, np.tile(y[-8:], 40)), ["en"] * 200 + ["de"] * 328)
+    assert few[""] > few["de"] > many["de"] > H.best_threshold(scores[-8:], y[-8:]) - 1e-9

@@ -111,6 +111,19 @@ def retry_backoff(spark: SparkSession, base: str) -> DataFrame:
     return T.due_jobs(jobs, F.lit(5000)).select("event_id", "next_wait_ms")
 
 
+_JOBS = "WITH j AS (SELECT event_id, epoch_us(ts) AS us, least(30000, 100 * 2 ** least(user_id % 12, 30))::BIGINT AS wait FROM events WHERE event_type = 'error')\n"
+
+
+@R.query(_JOBS + "SELECT event_id, wait AS next_wait_ms FROM j WHERE us + wait * 1000 <= (SELECT max(epoch_us(ts)) FROM events)")
+def retry_due(spark: SparkSession, base: str) -> DataFrame:
+    """The failed events whose wait is over at the newest event's time, over the whole table."""
+    e = table(spark, base, "events")
+    attempt = F.col("user_id") % 12
+    now = e.agg(F.max(micros("ts"))).first()[0]
+    jobs = e.where("event_type = 'error'").select("event_id", (micros("ts") + T.backoff_ms(attempt) * 1000).alias("run_at"), attempt.alias("attempt"))
+    return T.due_jobs(jobs, F.lit(now).cast("bigint")).select("event_id", "next_wait_ms")
+
+
 @R.query()
 def rate_limit(spark: SparkSession, base: str) -> DataFrame:
     """Events a day that pass a token bucket of 1 per 20,000 s with a burst of 3, by user."""

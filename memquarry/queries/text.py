@@ -5,7 +5,7 @@ from __future__ import annotations
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-from memquarry.operators import row_errors
+from memquarry.operators import leaks, row_errors
 from memquarry.operators import text as X
 from memquarry.operators import vectors as S
 from memquarry.queries import Registry
@@ -193,6 +193,18 @@ def leak_probe(spark: SparkSession, base: str) -> DataFrame:
     return h.join(n, "head").groupBy("tenant_id").agg(F.count(F.lit(1)).alias("heads"), F.count_if(F.col("n") > 1).alias("leaked"))
 
 
+@R.query(f"""WITH t AS (SELECT DISTINCT tenant_id, lower(text) AS text FROM hits WHERE tenant_id IS NOT NULL AND text IS NOT NULL),
+h AS (SELECT DISTINCT tenant_id, left(trim(text, {_BLANK}), 80) AS head FROM t WHERE trim(text, {_BLANK}) <> ''), n AS (SELECT DISTINCT length(head) AS n FROM h),
+w AS (SELECT DISTINCT tenant_id, substr(text, i, n) AS head FROM (SELECT tenant_id, text, n, unnest(range(1, length(text) - n + 2)) AS i FROM t, n WHERE length(text) >= n)),
+o AS (SELECT head, min(tenant_id) AS a, max(tenant_id) AS b FROM w WHERE head IN (SELECT head FROM h) GROUP BY head)
+SELECT tenant_id, count(*) AS heads, count_if(a <> tenant_id OR b <> tenant_id)::BIGINT AS leaked FROM h JOIN o USING (head) GROUP BY tenant_id""")
+def leak_anywhere(spark: SparkSession, base: str) -> DataFrame:
+    """Per tenant, how many of the heads of its texts stand anywhere in a text of another
+    tenant: the first 80 characters, or the whole of a shorter text; case does not count."""
+    found = leaks.leaked_heads(table(spark, base, "hits"), "tenant_id", "text")
+    return found.groupBy(F.col("tenant").alias("tenant_id")).agg(F.count(F.lit(1)).alias("heads"), F.count_if("leaked").alias("leaked"))
+
+
 @R.query("SELECT k AS code, count(*) AS n FROM (SELECT json_extract_string(CASE WHEN event_id % 10 = 0 THEN left(props, 3) ELSE props END, '$.k') AS k FROM (SELECT *, CASE WHEN event_id % 10 = 0 THEN NULL ELSE props END AS p FROM events) WHERE p IS NOT NULL) WHERE k::INT <= 20 GROUP BY k UNION ALL SELECT 'malformed', count(*) FROM events WHERE event_id % 10 = 0")
 def log_code_counts(spark: SparkSession, base: str) -> DataFrame:
     """Codes of a log of JSON lines, of which each tenth is cut off: counts of the listed

@@ -8,9 +8,11 @@ sentence's score. A document has the score of its worst sentence.
 
 Labels are for documents, so training looks for the sentence: at first the one
 whose words are most typical of documents labelled harmful, then the one that the
-model itself finds worst. Thresholds are set by language on cross-fitted scores of
-all labelled documents; the fewer harmful ones a language has, the nearer its
-threshold is to the overall one.
+model itself finds worst. Of harmless documents all sentences that are not rejected
+clearly are learned, a tenth of the others, and fragments of both. Labels that
+models fitted without the document contradict are left out. Thresholds are set by
+language on cross-fitted scores of the other labelled documents; the fewer harmful
+ones a language has, the nearer its threshold is to the overall one.
 
 The fit uses at most ``MAX_LABELLED`` labelled documents of at most ``MAX_CHARS``
 characters, chosen by a hash of their id; every document is scored, on its whole
@@ -41,6 +43,8 @@ DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
 #: Sentences are filled up with zero rows to a multiple of FOLD, which the maximum folds.
 FOLD = 8
 GAP = max(WIDTHS) - 1
+#: Sentences of harmless documents with a lower logit are learned well enough.
+REJECTED = -4.0
 #: Words kept with their embeddings by a worker; beyond it the store is emptied.
 CACHE = 200_000
 
@@ -75,7 +79,7 @@ def features(word: bytes) -> list[int]:
     if w == "0":
         return [zlib.crc32(b"0") % BUCKETS]
     around = f"^{w}$"
-    parts = [w, *(around[i : i + 3] for i in range(len(around) - 2))][:24]
+    parts = [w, *(around[i : i + 3] for i in range(len(around) - 2))]
     return [zlib.crc32(p.encode("utf-8", "surrogatepass")) % BUCKETS for p in parts]
 
 
@@ -262,12 +266,19 @@ class _Corpus:
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 10, batch: int = 128) -> Model:
-    """Fits the classifier to labelled documents (1 harmful, 0 not)."""
+    """Fits the classifier to labelled documents (1 harmful, 0 not).
+
+    Buckets that no labelled text fills stay zero, so an unknown word adds nothing. In
+    each epoch a harmful document gives its worst sentence; of all sentences of the
+    others come those that the model does not yet reject clearly and a tenth of the rest."""
     rng = np.random.default_rng(seed)
     corpus, labels = _Corpus(texts), np.asarray(labels)
     n_out = len(WIDTHS) * FILTERS
+    emb = np.zeros((BUCKETS, DIM), np.float32)
+    met = np.unique(corpus.buckets)
+    emb[met] = rng.normal(0, 0.1, (len(met), DIM))
     model = Model(
-        rng.normal(0, 0.1, (BUCKETS, DIM)).astype(np.float32),
+        emb,
         [rng.normal(0, 1 / np.sqrt(w * DIM), (w, DIM, FILTERS)).astype(np.float32) for w in WIDTHS],
         np.zeros(n_out, np.float32),
         rng.normal(0, 0.3, n_out).astype(np.float32),
@@ -275,16 +286,25 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 10,
     )
     adam = _Adam(model)
     by_odds = corpus.typical(labels)
+    harmful = labels[corpus.owner] == 1
     weight = float(np.sqrt((labels == 0).sum() / max((labels == 1).sum(), 1)))
     for epoch in range(epochs):
         value = by_odds + rng.random(len(by_odds)) * 1e-3 if epoch < 3 else corpus.logits(model)
         order = np.lexsort((-value, corpus.owner))
-        place = np.arange(len(order)) - np.searchsorted(corpus.owner, corpus.owner)
-        harmful = labels[corpus.owner[order]] == 1
-        # The worst sentence of a harmful document; of others the worst and some more.
-        picked = order[np.where(harmful, place == 0, (place < 1) | (rng.random(len(order)) < 0.03))]
-        for part in np.array_split(rng.permutation(picked), max(1, len(picked) // batch)):
-            adam.step(corpus, part, labels[corpus.owner[part]].astype(np.float32), weight, rng)
+        worst = np.zeros(len(order), bool)
+        worst[order[np.searchsorted(corpus.owner, np.unique(corpus.owner))]] = True
+        some = rng.random(len(order)) < 0.1
+        hard = value > REJECTED if epoch >= 3 else worst
+        picked = np.flatnonzero(np.where(harmful, worst, hard | some))
+        starts, lengths, y = corpus.starts[picked], corpus.lengths[picked], harmful[picked]
+        # What is harmless stays so when it is cut: fragments, many of a single word.
+        cut = rng.permutation(picked[~y])[: len(picked) // 2]
+        size = np.ceil(corpus.lengths[cut] * rng.random(len(cut)) ** 3).astype(np.int64)
+        at = corpus.starts[cut] + ((corpus.lengths[cut] - size + 1) * rng.random(len(cut)) * (rng.random(len(cut)) < 0.5)).astype(np.int64)
+        starts, lengths = np.concatenate((starts, at)), np.concatenate((lengths, np.maximum(size, 1)))
+        y = np.concatenate((y, np.zeros(len(cut), bool))).astype(np.float32)
+        for part in np.array_split(rng.permutation(len(y)), max(1, len(y) // batch)):
+            adam.step(corpus, starts[part], lengths[part], y[part], weight, rng)
     return model
 
 
@@ -297,13 +317,13 @@ class _Adam:
         self.moments = [(np.zeros_like(p), np.zeros_like(p)) for p in self.params]
         self.bias_moment = [0.0, 0.0]
 
-    def step(self, corpus: _Corpus, part: np.ndarray, y: np.ndarray, weight: float, rng: np.random.Generator) -> None:
+    def step(self, corpus: _Corpus, begin: np.ndarray, lengths: np.ndarray, y: np.ndarray, weight: float, rng: np.random.Generator) -> None:
+        """One batch: spans of the corpus's words with their labels."""
         model = self.model
-        lengths = np.minimum(corpus.lengths[part], 120)
         starts = np.cumsum(lengths + GAP) - (lengths + GAP)
         rows = int((lengths + GAP).sum())
         within = np.arange(int(lengths.sum())) - np.repeat(np.cumsum(lengths) - lengths, lengths)
-        word = corpus.ids[np.repeat(corpus.starts[part], lengths) + within] - 1
+        word = corpus.ids[np.repeat(begin, lengths) + within] - 1
         place = np.repeat(starts + GAP, lengths) + within
         sizes = corpus.sizes[word]
         bag = np.repeat(np.arange(len(word)), sizes)
@@ -313,7 +333,7 @@ class _Adam:
         share = ((rng.random(len(word)) > 0.15) / sizes).astype(np.float32)[:, None]
         x = np.zeros((rows + GAP, DIM), np.float32)
         x[place] = np.add.reduceat(model.emb[flat], first, axis=0) * share
-        owner = np.repeat(np.arange(len(part)), lengths + GAP)
+        owner = np.repeat(np.arange(len(y)), lengths + GAP)
         tops, where = [], []
         for w, c in zip(WIDTHS, model.conv):
             z = x[:rows] @ c[0]
@@ -329,7 +349,7 @@ class _Adam:
         mask = (rng.random(a.shape) > 0.2).astype(np.float32) / 0.8
         h = np.maximum(a, 0) * mask
         p = 1 / (1 + np.exp(-np.clip(h @ model.out + model.out_bias, -30, 30)))
-        g = ((p - y) * np.where(y > 0, weight, 1.0) / len(part)).astype(np.float32)
+        g = ((p - y) * np.where(y > 0, weight, 1.0) / len(y)).astype(np.float32)
         da = g[:, None] * model.out * mask * (a > 0)
         grads: list = [None]
         dx = np.zeros_like(x)
@@ -408,15 +428,31 @@ def thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str | None], prior
     return out
 
 
+def doubtful(scores: np.ndarray, y: np.ndarray, margin: float = 2.0) -> np.ndarray:
+    """Labels that models fitted without the document contradict by more than ``margin``
+    beyond the best threshold. One such label teaches a neutral sentence as harmful, or
+    an insult as harmless."""
+    cut = best_threshold(scores, y)
+    return np.where(y == 1, scores < cut - margin, scores > cut + margin)
+
+
 def fit(texts: list[str], labels: list[int], langs: list[str | None], seed: int = 5, folds: int = 3) -> Model:
-    """Trains on all texts and sets the thresholds on scores of models that did not see
-    the text. With one document of a kind no such model can be trained and they are 0."""
+    """Trains on all texts whose label is not doubtful and sets the thresholds on scores of
+    models that did not see the text. With one document of a kind no such model can be
+    trained and they are 0."""
     y = np.asarray(labels)
     if not (0 < y.sum() < len(y)):
         raise ValueError("labels of both kinds are needed")
-    model = train(texts, y, seed)
     folds = min(folds, int(y.sum()), int((y == 0).sum()))
-    model.thresholds = thresholds(cross_scores(texts, y, seed, folds), y, langs) if folds > 1 else {"": 0.0}
+    if folds < 2:
+        model = train(texts, y, seed)
+        model.thresholds = {"": 0.0}
+        return model
+    keep = np.flatnonzero(~doubtful(cross_scores(texts, y, seed, folds), y))
+    if 0 < y[keep].sum() < len(keep):
+        texts, y, langs = [texts[i] for i in keep], y[keep], [langs[i] for i in keep]
+    model = train(texts, y, seed)
+    model.thresholds = thresholds(cross_scores(texts, y, seed + 1, folds), y, langs)
     return model
 
 

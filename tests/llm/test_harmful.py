@@ -94,3 +94,32 @@ def test_few_labels_of_a_language_move_its_threshold_less():
     few = H.thresholds(scores, y, ["en"] * 200 + ["de"] * 8)
     many = H.thresholds(np.append(scores, np.tile(scores[-8:], 40)), np.append(y, np.tile(y[-8:], 40)), ["en"] * 200 + ["de"] * 328)
     assert few[""] > few["de"] > many["de"] > H.best_threshold(scores[-8:], y[-8:]) - 1e-9
+
+
+def test_unknown_words_and_fragments_have_no_say(model):
+    s = H.Scorer(model)
+    odd = ["zyxqvu", "qwzzk pfjjx", "n", "la", "eur", "x1x", "this", "the", "unless", "the parties", "please send"]
+    assert (s.scores(odd) < model.thresholds[""]).all()
+    assert len({round(float(z), 4) for z in s.scores(["zyxqvw", "qwzjk pfjxx jqqz"])}) == 1
+
+
+def test_a_word_is_read_to_its_end():
+    long = "donaudampfschifffahrtsgesellschaft"
+    assert H.features(f"{long}idiot".encode())[-1] == H.features(b"idiot")[-1]
+
+
+def test_training_reads_whole_sentences(corpus):
+    texts, labels = corpus
+    late = ["review of the annex " * 60 + t.replace(".", "") for t in texts[:300]]
+    model = H.train(late, np.array(labels[:300]))
+    right = (H.Scorer(model).scores(late) > 0) == (np.array(labels[:300]) == 1)
+    assert right.mean() > 0.95
+
+
+def test_contradicted_labels_are_left_out(corpus):
+    texts, labels = corpus
+    y = np.array(labels[:600])
+    wrong = np.random.default_rng(3).choice(600, 12, replace=False)
+    y[wrong] = 1 - y[wrong]
+    dropped = np.flatnonzero(H.doubtful(H.cross_scores(texts[:600], y, 1, 3), y))
+    assert np.isin(wrong, dropped).mean() > 0.7 and len(np.setdiff1d(dropped, wrong)) <= 6

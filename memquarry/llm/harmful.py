@@ -27,16 +27,15 @@ from __future__ import annotations
 import re
 import unicodedata
 import zlib
-from collections import Counter
 from collections.abc import Iterator
 from dataclasses import dataclass, field
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
-MAX_LABELLED = 4000
+MAX_LABELLED = 5000
 MAX_CHARS = 50_000
 BUCKETS = 1 << 15
 DIM, FILTERS, WIDTHS = 16, 16, (1, 2, 3)
@@ -45,6 +44,8 @@ FOLD = 8
 GAP = max(WIDTHS) - 1
 #: Sentences of harmless documents with a lower logit are learned well enough.
 REJECTED = -4.0
+#: The share of harmful documents that thresholds are set for.
+SHARE = 0.05
 #: Words kept with their embeddings by a worker; beyond it the store is emptied.
 CACHE = 200_000
 
@@ -253,16 +254,24 @@ class _Corpus:
     def typical(self, labels: np.ndarray) -> np.ndarray:
         """For every sentence the word most typical of harmful documents, as log odds of
         the shares of documents of each label that hold the word."""
-        counts = (Counter(), Counter())
+        names = {}
+        form = np.array([names.setdefault(n, len(names)) for n in self.normal], np.int64)
         doc_of = np.repeat(self.owner, self.lengths)
-        words = self.ids[self.ids > 0]
-        pairs = np.unique(np.stack((doc_of, words), 1), axis=0)
-        for d, w in pairs.tolist():
-            counts[int(labels[d])][self.normal[w - 1]] += 1
+        pairs = np.unique(doc_of * max(len(names), 1) + form[self.ids[self.ids > 0] - 1])
+        docs, held = np.divmod(pairs, max(len(names), 1))
+        c1, c0 = (np.bincount(held[labels[docs] == kind], minlength=len(names)) for kind in (1, 0))
         n0, n1 = max(int((labels == 0).sum()), 1), max(int((labels == 1).sum()), 1)
-        odds = {w: float(np.log((counts[1][w] + 0.1) / (n1 + 0.2)) - np.log((counts[0][w] + 0.3) / (n0 + 0.6))) for w in set(self.normal)}
-        by_id = np.array([-10.0, *(odds[w] for w in self.normal)])
-        return np.maximum.reduceat(by_id[self.ids], self.starts)
+        odds = np.log((c1 + 0.1) / (n1 + 0.2)) - np.log((c0 + 0.3) / (n0 + 0.6))
+        return np.maximum.reduceat(np.concatenate(([-10.0], odds[form]))[self.ids], self.starts)
+
+    def worst(self, value: np.ndarray) -> np.ndarray:
+        """Whether a sentence has the largest value of its document, the first of equals."""
+        _, first = np.unique(self.owner, return_index=True)
+        top = np.flatnonzero(value == np.repeat(np.maximum.reduceat(value, first), np.diff(np.append(first, len(value)))))
+        _, at = np.unique(self.owner[top], return_index=True)
+        out = np.zeros(len(value), bool)
+        out[top[at]] = True
+        return out
 
 
 def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 10, batch: int = 128) -> Model:
@@ -289,11 +298,12 @@ def train(texts: list[str], labels: np.ndarray, seed: int = 5, epochs: int = 10,
     harmful = labels[corpus.owner] == 1
     weight = float(np.sqrt((labels == 0).sum() / max((labels == 1).sum(), 1)))
     for epoch in range(epochs):
-        value = by_odds + rng.random(len(by_odds)) * 1e-3 if epoch < 3 else corpus.logits(model)
-        order = np.lexsort((-value, corpus.owner))
-        worst = np.zeros(len(order), bool)
-        worst[order[np.searchsorted(corpus.owner, np.unique(corpus.owner))]] = True
-        some = rng.random(len(order)) < 0.1
+        if epoch < 3:
+            value = by_odds + rng.random(len(by_odds)) * 1e-3
+        elif epoch % 2:
+            value = corpus.logits(model)
+        worst = corpus.worst(value)
+        some = rng.random(len(value)) < 0.1
         hard = value > REJECTED if epoch >= 3 else worst
         picked = np.flatnonzero(np.where(harmful, worst, hard | some))
         starts, lengths, y = corpus.starts[picked], corpus.lengths[picked], harmful[picked]
@@ -379,39 +389,57 @@ class _Adam:
         model.out_bias -= self.rate * (bm[0] / fix1) / (np.sqrt(bm[1] / fix2) + 1e-8)
 
 
-def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float = 0.0, slack: float = 0.015) -> float:
-    """The threshold nearest to 0 of those whose F1 is within ``slack`` of the best: a
-    few wrong labels shall not decide."""
+def best_threshold(scores: np.ndarray, labels: np.ndarray, default: float = 0.0, slack: float = 0.01, share: float = SHARE) -> float:
+    """The middle of the thresholds whose F1 is within ``slack`` of the best: a few wrong
+    labels shall not decide. Labels are sought out, so harmless documents are rarer among
+    them than elsewhere; they count as if ``share`` of all documents were harmful."""
     order = np.argsort(-scores)
-    s, y = scores[order].astype(np.float64), labels[order]
+    s, y = np.maximum(scores[order].astype(np.float64), -40), labels[order]
     if not y.any() or y.all():
         return default
-    f1 = 2 * np.cumsum(y) / (np.arange(len(y)) + 1 + y.sum())
+    hits = np.cumsum(y)
+    false = (np.arange(len(y)) + 1 - hits) * max(1.0, y.sum() / (len(y) - y.sum()) * (1 - share) / share)
+    f1 = 2 * hits / (hits + false + y.sum())
     good = np.flatnonzero(f1 >= f1.max() - slack)
     low = np.append(s[1:], s[-1] - 2)[good]
-    # Between each score and the next lower one, the middle, or 0 if it lies well inside.
-    middle = (s[good] + np.maximum(low, s[good] - 4)) / 2
-    inside = (s[good] > 0.2) & (low < -0.2)
-    return float(min(np.where(inside, 0.0, middle), key=abs))
+    return float((s[good[0]] + max(low[-1], s[good[0]] - 12)) / 2)
 
 
 def language(code: str | None) -> str:
     return (code or "").strip().lower().replace("_", "-").split("-")[0][:2]
 
 
-def cross_scores(texts: list[str], y: np.ndarray, seed: int, folds: int) -> np.ndarray:
-    """For every text the score of a model trained without its fold. Folds have equal
-    shares of each label."""
+def folds_of(y: np.ndarray, seed: int, folds: int) -> np.ndarray:
+    """A fold for every label; folds have equal shares of each label."""
     rng = np.random.default_rng(seed)
     fold = np.empty(len(y), np.int64)
     for kind in (0, 1):
         at = rng.permutation(np.flatnonzero(y == kind))
         fold[at] = np.arange(len(at)) % folds
-    scores = np.empty(len(y))
-    for f in range(folds):
-        model = train([t for t, g in zip(texts, fold) if g != f], y[fold != f], seed)
-        scores[fold == f] = Scorer(model).scores([t for t, g in zip(texts, fold) if g == f])
-    return scores
+    return fold
+
+
+def held_out(texts: list[str], y: np.ndarray, fold: np.ndarray, f: int, seed: int, epochs: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """For the texts of a fold the scores of a model trained without it, and a hash of the
+    worst sentence of each; -inf and 0 for texts without words."""
+    model = train([t for t, g in zip(texts, fold) if g != f], y[fold != f], seed, epochs)
+    corpus = _Corpus([t for t, g in zip(texts, fold) if g == f])
+    logits = corpus.logits(model)
+    score, worst = np.full(int((fold == f).sum()), -np.inf), np.zeros(int((fold == f).sum()), np.int64)
+    for i in np.flatnonzero(corpus.worst(logits)).tolist():
+        d = corpus.owner[i]
+        words = corpus.ids[corpus.starts[i] : corpus.starts[i] + corpus.lengths[i]]
+        score[d], worst[d] = logits[i], zlib.crc32(" ".join(corpus.normal[w - 1] for w in words).encode("utf-8", "surrogatepass"))
+    return score, worst
+
+
+def cross_scores(texts: list[str], y: np.ndarray, seed: int, folds: int, run=map, epochs: int = 10) -> tuple[np.ndarray, np.ndarray]:
+    """``held_out`` of every text; ``run`` maps over the folds."""
+    fold = folds_of(y, seed, folds)
+    score, worst = np.empty(len(y)), np.empty(len(y), np.int64)
+    for f, (s, w) in enumerate(run(lambda f: held_out(texts, y, fold, f, seed, epochs), range(folds))):
+        score[fold == f], worst[fold == f] = s, w
+    return score, worst
 
 
 def thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str | None], prior: int = 25) -> dict[str, float]:
@@ -428,18 +456,22 @@ def thresholds(scores: np.ndarray, y: np.ndarray, langs: list[str | None], prior
     return out
 
 
-def doubtful(scores: np.ndarray, y: np.ndarray, margin: float = 2.0) -> np.ndarray:
+def doubtful(scores: np.ndarray, y: np.ndarray, worst: np.ndarray, margin: float = 2.0) -> np.ndarray:
     """Labels that models fitted without the document contradict by more than ``margin``
     beyond the best threshold. One such label teaches a neutral sentence as harmful, or
-    an insult as harmless."""
+    an insult as harmless. A document whose worst sentence is also that of others, most
+    of which are labelled harmless too, is no such case: it only treats the subject."""
     cut = best_threshold(scores, y)
-    return np.where(y == 1, scores < cut - margin, scores > cut + margin)
+    _, group = np.unique(worst, return_inverse=True)
+    n, bad = np.bincount(group), np.bincount(group, weights=y)
+    agreed = ((n > 1) & (2 * bad < n))[group]
+    return np.where(y == 1, scores < cut - margin, (scores > cut + margin) & ~agreed)
 
 
-def fit(texts: list[str], labels: list[int], langs: list[str | None], seed: int = 5, folds: int = 3) -> Model:
+def fit(texts: list[str], labels: list[int], langs: list[str | None], seed: int = 5, folds: int = 2, run=map) -> Model:
     """Trains on all texts whose label is not doubtful and sets the thresholds on scores of
     models that did not see the text. With one document of a kind no such model can be
-    trained and they are 0."""
+    trained and they are 0. ``run`` maps a function over numbers, elsewhere if it likes."""
     y = np.asarray(labels)
     if not (0 < y.sum() < len(y)):
         raise ValueError("labels of both kinds are needed")
@@ -448,11 +480,17 @@ def fit(texts: list[str], labels: list[int], langs: list[str | None], seed: int
         model = train(texts, y, seed)
         model.thresholds = {"": 0.0}
         return model
-    keep = np.flatnonzero(~doubtful(cross_scores(texts, y, seed, folds), y))
+    scores, worst = cross_scores(texts, y, seed, min(folds + 1, int(y.sum()), int((y == 0).sum())), run, epochs=8)
+    keep = np.flatnonzero(~doubtful(scores, y, worst))
     if 0 < y[keep].sum() < len(keep):
         texts, y, langs = [texts[i] for i in keep], y[keep], [langs[i] for i in keep]
-    model = train(texts, y, seed)
-    model.thresholds = thresholds(cross_scores(texts, y, seed + 1, folds), y, langs)
+    fold = folds_of(y, seed + 1, folds)
+    # The folds again and, as one more task, the model in use.
+    *parts, model = run(lambda f: held_out(texts, y, fold, f, seed + 1) if f < folds else train(texts, y, seed), range(folds + 1))
+    scores = np.empty(len(y))
+    for f, (s, _) in enumerate(parts):
+        scores[fold == f] = s
+    model.thresholds = thresholds(scores, y, langs)
     return model
 
 
@@ -463,10 +501,28 @@ def labelled(docs: DataFrame, labels: DataFrame) -> DataFrame:
     return some.join(docs.where(F.length("text") <= MAX_CHARS).select("doc_id", "text", "lang"), "doc_id").select("doc_id", "text", "lang", (F.col("share") > 0.5).cast("int").alias("toxic"))
 
 
+def _on_executors(spark: SparkSession):
+    """A map whose calls are tasks of the cluster: what trainings there are run side by side."""
+    from pyspark.serializers import CPickleSerializer
+
+    def run(f, numbers: range) -> list:
+        pack = CPickleSerializer()
+
+        def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                for i in b.column(0).to_pylist():
+                    yield pa.RecordBatch.from_arrays([pa.array([i]), pa.array([pack.dumps(f(i))], pa.binary())], names=["i", "made"])
+
+        done = spark.range(numbers.start, numbers.stop, 1, len(numbers)).mapInArrow(work, "i bigint, made binary").collect()
+        return [pack.loads(bytes(r["made"])) for r in sorted(done)]
+
+    return run
+
+
 def fit_on(docs: DataFrame, labels: DataFrame) -> Model:
     """The classifier for these documents (doc_id, text, lang) and labels (doc_id, toxic)."""
     rows = labelled(docs, labels).orderBy("doc_id").toArrow().to_pydict()
-    return fit(rows["text"], rows["toxic"], rows["lang"])
+    return fit(rows["text"], rows["toxic"], rows["lang"], run=_on_executors(docs.sparkSession))
 
 
 def score(docs: DataFrame, model: Model, keep: list[str]) -> DataFrame:

@@ -12,9 +12,10 @@ from dataclasses import dataclass, field
 from pyspark.sql import DataFrame
 from pyspark.sql import functions as F
 
-from memquarry.operators import keyspace, vectors
-from memquarry.operators.change_store import DELETE, SET, VADD, VTOMBSTONE, ChangeStore
+from memquarry.operators import ivf, keyspace, vectors
+from memquarry.operators.change_store import DELETE, SET, VADD, VTOMBSTONE, ChangeStore, merge
 from memquarry.operators.text import embed_text
+from memquarry.plans.scratch import written
 
 CHANGE = "tenant_id string, seq bigint, effect_no int, ts_ns bigint, type int, key string, space string, id string, value string, vector array<float>, expires_at bigint"
 MAX_ID, MAX_DIM, MAX_BATCH = 512, 4096, 1000
@@ -37,6 +38,8 @@ class Memory:
     now_ns: int = 0
     next_seq: int = 1
     _waiting: list[tuple] = field(default_factory=list)
+    _states: dict[tuple, DataFrame] = field(default_factory=dict)
+    _cells: dict[tuple[str, str], ivf.CellIndex] = field(default_factory=dict)
 
     # Writes collect until ``commit``, which appends them as one run: one frame each.
     def _effect(self, kind: int, key: str, space: str | None = None, id_: str | None = None, value: str | None = None, vector: list[float] | None = None, expires_at: int = 0) -> None:
@@ -76,16 +79,20 @@ class Memory:
         if self._waiting:
             self.store.append(self.store.spark.createDataFrame(self._waiting, CHANGE))
             self._waiting = []
+            self._states.clear()
+            self._cells.clear()
 
     # Reads
     def state(self, as_of_ns: int | None = None) -> DataFrame:
-        from memquarry.operators.change_store import merge
-
+        """The tenant's state, folded once per commit and time and read from then on."""
         self.commit()
-        log = self.store.changes().where(F.col("tenant_id") == self.tenant)
-        if as_of_ns is not None:
-            log = log.where(F.col("ts_ns") <= as_of_ns)
-        return merge(log, self.now_ns, payload=True)
+        at = (self.now_ns, as_of_ns)
+        if at not in self._states:
+            log = self.store.changes().where(F.col("tenant_id") == self.tenant)
+            if as_of_ns is not None:
+                log = log.where(F.col("ts_ns") <= as_of_ns)
+            self._states[at] = written(merge(log, self.now_ns, payload=True).withColumn("row", F.monotonically_increasing_id()), "state")
+        return self._states[at]
 
     def keys(self, pattern: str = "*") -> DataFrame:
         return keyspace.matching(self.state().where("vector IS NULL"), pattern).select("key", "value", "expires_at")
@@ -95,34 +102,48 @@ class Memory:
 
     def index(self, name: str, space: str = "", as_of_ns: int | None = None) -> DataFrame:
         rows = self.state(as_of_ns).where((F.col("key") == name) & (F.col("space") == space) & F.col("vector").isNotNull())
-        return rows.select("id", F.col("vector").alias("embedding"))
+        return rows.select("id", F.col("vector").alias("embedding"), "row")
+
+    def build_index(self, name: str, dim: int, space: str = "", cells: int | None = None) -> ivf.CellIndex:
+        """An index of cells over an index's vectors; searches with EF look into that many of
+        its cells until the next commit."""
+        rows = self.index(name, space).select(F.col("row").alias("id"), "embedding")
+        self._cells[name, space] = ivf.CellIndex.build(rows, dim, cells)
+        return self._cells[name, space]
 
     def documents(self, prefix: str) -> DataFrame:
         docs = self.state().where(F.startswith("key", F.lit(prefix + ":")) & F.col("vector").isNull())
         return docs.select(F.substring("key", len(prefix) + 2, 1 << 30).alias("id"), F.col("value").alias("doc"))
 
-    def _search(self, rows: DataFrame, query: list[float], k: int, min_score: float | None, leave_out: str | None = None) -> DataFrame:
-        """Ids are text here: rows get a number in their order for the kernel."""
-        rows = rows if leave_out is None else rows.where(F.col("id") != leave_out)
-        coded = rows.withColumn("_n", F.xxhash64("id"))
-        hits = vectors.search(coded.select(F.col("_n").alias("id"), "embedding"), [(0, query)], k, min_score)
-        named = hits.join(coded.select(F.col("_n").alias("_m"), F.col("id").alias("name")), F.col("id") == F.col("_m"))
+    def _search(self, rows: DataFrame, query: list[float], k: int, min_score: float | None, leave_out: str | None = None, probed: tuple[str, str, int] | None = None) -> DataFrame:
+        """Ids are text here: the kernel sees the number of the row in the stored state."""
+        cells = self._cells.get(probed[:2]) if probed else None
+        if cells is not None:
+            hits = cells.search([(-1, query)], k + (leave_out is not None), probed[2], min_score)
+        else:
+            kept = rows if leave_out is None else rows.where(F.col("id") != leave_out)
+            hits = vectors.search(kept.select(F.col("row").alias("id"), "embedding"), [(-1, query)], k, min_score)
+        named = hits.withColumnRenamed("id", "row").join(rows.select("row", F.col("id").alias("name")), "row")
+        if leave_out is not None:
+            named = named.where(F.col("name") != leave_out)
         return named.select(F.col("name").alias("id"), "score").orderBy(F.desc("score"), "id").limit(k)
 
-    def recall(self, index: str, query: str | list[float], k: int = 4, min_score: float | None = None, contains: str | None = None, space: str = "", with_docs: str | None = None, as_of_ns: int | None = None) -> DataFrame:
+    def recall(self, index: str, query: str | list[float], k: int = 4, min_score: float | None = None, contains: str | None = None, space: str = "", with_docs: str | None = None, as_of_ns: int | None = None, ef: int | None = None) -> DataFrame:
         q = embed_text(query) if isinstance(query, str) else query
         rows = self.index(index, space, as_of_ns)
         if contains is not None:
             rows = vectors.containing(rows, self.documents(f"doc:{index}"), contains)
-        hits = self._search(rows, q, k, min_score)
+        # A filter or another time is not what the cells were made for: those searches are exact.
+        probed = (index, space, ef) if ef and contains is None and as_of_ns is None else None
+        hits = self._search(rows, q, k, min_score, probed=probed)
         return hits if with_docs is None else vectors.with_documents(hits, self.documents(with_docs)).orderBy(F.desc("score"), "id")
 
-    def similar(self, index: str, id_: str, k: int = 4, min_score: float | None = None, space: str = "") -> DataFrame:
+    def similar(self, index: str, id_: str, k: int = 4, min_score: float | None = None, space: str = "", ef: int | None = None) -> DataFrame:
         rows = self.index(index, space)
         found = rows.where(F.col("id") == id_).first()
         if found is None:
             raise KeyError(f"vector id not found: {id_}")
-        return self._search(rows, found["embedding"], k, min_score, leave_out=id_)
+        return self._search(rows, found["embedding"], k, min_score, leave_out=id_, probed=(index, space, ef) if ef else None)
 
     def fuse(self, index: str, queries: dict[str, list[float]], k: int = 4, weights: list[float] | None = None, min_score: float | None = None) -> DataFrame:
         w = weights or [1.0] * len(queries)
@@ -140,8 +161,9 @@ class Memory:
     def run(self, command: str | list[str]) -> DataFrame:
         """A search command: VSEARCH index f… k, VSIM index id k, VFUSE index (SPACE s f…)… k,
         each with flags in any order behind (WITHDOCS p, FILTER_CONTAINS s, MIN_SCORE x,
-        EF n, SPACE s, AS_OF ns; WEIGHTS w,… for VFUSE). EF is read and has no effect, as
-        the search is exact; AS_OF holds for VSEARCH only, as other commands ignore it."""
+        EF n, SPACE s, AS_OF ns; WEIGHTS w,… for VFUSE). EF is the number of cells to look
+        into where ``build_index`` has made them; other searches are exact. AS_OF holds for
+        VSEARCH only, as other commands ignore it."""
         words = command.split() if isinstance(command, str) else list(command)
         name = words[0].upper() if words else ""
         if name not in ("VSEARCH", "VSIM", "VFUSE"):
@@ -157,11 +179,11 @@ class Memory:
         if "EF" in flags and int(flags["EF"]) < 1 or "AS_OF" in flags and int(flags["AS_OF"]) <= 0:
             raise ValueError("EF and AS_OF must be positive")
         k, least = int(rest[-1]), float(flags["MIN_SCORE"]) if "MIN_SCORE" in flags else None
-        space = flags.get("SPACE", "")
+        space, ef = flags.get("SPACE", ""), int(flags["EF"]) if "EF" in flags else None
         if name == "VSIM":
-            out = self.similar(index, rest[0], k, least, space)
+            out = self.similar(index, rest[0], k, least, space, ef)
         elif name == "VSEARCH":
-            return self.recall(index, [float(x) for x in rest[:-1]], k, least, flags.get("FILTER_CONTAINS"), space, flags.get("WITHDOCS"), int(flags["AS_OF"]) if "AS_OF" in flags else None)
+            return self.recall(index, [float(x) for x in rest[:-1]], k, least, flags.get("FILTER_CONTAINS"), space, flags.get("WITHDOCS"), int(flags["AS_OF"]) if "AS_OF" in flags else None, ef)
         else:
             queries: dict[str, list[float]] = {}
             current: str | None = None

@@ -7,6 +7,9 @@ are inclusive and cut to what is there.
 
 from __future__ import annotations
 
+import json
+
+import pandas as pd
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
@@ -37,6 +40,46 @@ def pushed(rows: DataFrame, key: str, order: str, left: Column) -> DataFrame:
     return rows.withColumn("pos", F.row_number().over(w) - 1)
 
 
+def popped(rows: DataFrame, key: str, left: int, right: int = 0) -> DataFrame:
+    """LPOP and RPOP: adds ``end``, \"left\" or \"right\" for the elements (with ``pos``) that
+    the pops return, null for what stays. Pops from the left come first."""
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    out = rows.join(sizes, key)
+    end = F.when(F.col("pos") < left, "left").when(F.col("pos") >= F.col("_n") - right, "right")
+    return out.withColumn("end", end).drop("_n")
+
+
+def element_set(rows: DataFrame, key: str, index: int, value: str, new: Column) -> DataFrame:
+    """LSET: the element at an index of each list, from the end if negative, replaced;
+    shorter lists stay as they are."""
+    if index >= 0:
+        return rows.withColumn(value, F.when(F.col("pos") == index, new).otherwise(F.col(value)))
+    sizes = rows.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
+    return rows.join(sizes, key).withColumn(value, F.when(F.col("pos") == F.col("_n") + index, new).otherwise(F.col(value))).drop("_n")
+
+
+# Commands that count -------------------------------------------------------------
+
+
+def added_counts(commands: DataFrame, keys: list[str], order: str, *per: str) -> DataFrame:
+    """(per..., added): how many elements (``keys``) each command of HSET, SADD, ZADD or
+    GEOADD made new, commands being the rows of equal ``per``: those in which an element
+    comes first. The first place of an element is an aggregate, so elements may be hot."""
+    first = commands.groupBy(*keys).agg(F.min_by(F.struct(*per), order).alias("_c"))
+    n = first.groupBy(*[F.col(f"_c.{p}").alias(p) for p in per]).agg(F.count(F.lit(1)).alias("added"))
+    return commands.select(*per).distinct().join(n, list(per), "left").select(*per, F.coalesce("added", F.lit(0)).cast("bigint").alias("added"))
+
+
+def removed(rows: DataFrame, gone: DataFrame, keys: list[str]) -> DataFrame:
+    """What HDEL, SREM or ZREM leaves."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_anti")
+
+
+def removed_counts(rows: DataFrame, gone: DataFrame, keys: list[str], key: str) -> DataFrame:
+    """(key, removed): how many of the named elements were there."""
+    return rows.join(gone.select(*keys).distinct(), keys, "left_semi").groupBy(key).agg(F.count(F.lit(1)).alias("removed"))
+
+
 # Sets ---------------------------------------------------------------------------
 
 
@@ -63,6 +106,18 @@ def sample(sets: DataFrame, key: str, member: str, n: int, seed: int) -> DataFra
     return sets.select(key, member).distinct().withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= n).drop("_r")
 
 
+def members_after(log: DataFrame, key: str, member: str, order: str, is_add: Column) -> DataFrame:
+    """The members of each key after a log of SADD and SREM: those whose last command adds."""
+    last = log.groupBy(key, member).agg(F.max_by(is_add, order).alias("_in"))
+    return last.where("_in").select(key, member)
+
+
+def spop(sets: DataFrame, key: str, member: str, n: int, seed: int) -> DataFrame:
+    """The members with ``popped``: n of each key by ``sample``, which the set loses."""
+    out = sample(sets, key, member, n, seed).withColumn("popped", F.lit(True))
+    return sets.select(key, member).distinct().join(out, [key, member], "left").withColumn("popped", F.coalesce("popped", F.lit(False)))
+
+
 # Sorted sets --------------------------------------------------------------------
 
 
@@ -77,6 +132,12 @@ def reverse_range(zset: DataFrame, key: str, member: str, score: str, start: int
     return ranged(placed(zset, key, F.desc(score), F.desc(member)), key, start, stop)
 
 
+def scores_of(zset: DataFrame, key: str, member: str, score: str, wanted: list) -> DataFrame:
+    """(key, member, score): ZSCORE of the wanted members of every key, null where missing."""
+    asked = zset.select(key).distinct().withColumn(member, F.explode(F.array(*[F.lit(w) for w in wanted])))
+    return asked.join(zset.where(F.col(member).isin(wanted)).select(key, member, score), [key, member], "left")
+
+
 # Bitmaps ------------------------------------------------------------------------
 
 
@@ -104,6 +165,12 @@ def get_bits(bits: DataFrame, key: str, offset: str, wanted: list[int]) -> DataF
     return keys.join(bits.select(key, offset).distinct().withColumn("_b", F.lit(1)), [key, offset], "left").select(key, offset, F.coalesce("_b", F.lit(0)).alias("bit"))
 
 
+def set_bits(log: DataFrame, key: str, offset: str, order: str, bit: str) -> DataFrame:
+    """SETBIT: the log with ``old``, the bit that each command replaced (0 at first)."""
+    before = F.lag(bit, 1, 0).over(Window.partitionBy(key, offset).orderBy(order))
+    return log.withColumn("old", before)
+
+
 # Geo ----------------------------------------------------------------------------
 
 #: The radius that distances are computed with, and unit factors.
@@ -119,6 +186,18 @@ def distance(lon1: Column, lat1: Column, lon2: Column, lat2: Column, unit: str =
     return F.lit(2.0 * RADIUS_M) * F.asin(F.sqrt(F.least(h, F.lit(1.0)))) * UNITS[unit]
 
 
+#: Fixed value: bits of each coordinate in a geo score.
+GEO_BITS = 26
+
+
+def geo_score(lon: Column, lat: Column) -> Column:
+    """The score that orders points: both coordinates as fractions of their range, cut to 26
+    bits; the latitude counts half. Every score is exact in a double."""
+    cells = 1 << GEO_BITS
+    part = lambda x, low, width: F.least(F.floor((x - low) / width * cells), F.lit(cells - 1)) / F.lit(float(cells))
+    return part(lon, -180, 360) + part(lat, -90, 180) / 2
+
+
 def radius_join(points: DataFrame, centres: DataFrame, radius_m: float, cell_deg: float | None = None) -> DataFrame:
     """(centre, member, metres) of all points (member, lon, lat) within the radius of a
     centre (centre, lon, lat): an equi-join on cells of latitude and longitude that are
@@ -152,6 +231,41 @@ def json_path(doc: Column, path: str) -> Column:
     return F.get_json_object(doc, "$" if path in (".", "$") else "$." + path)
 
 
+def _steps(path: str) -> list[str]:
+    return [p for p in path.removeprefix("$").split(".") if p]
+
+
+def json_set(doc: Column, path: str, value: Column) -> Column:
+    """JSON.SET: the document with a JSON value at a dotted path of objects. Steps that are
+    missing or no objects become objects; a null document is an empty one; a value or
+    document that cannot be read gives null. Keys come in sorted order, as they are stored.
+    There is no built-in for it, so documents pass through Arrow in batches."""
+    steps = _steps(path)
+
+    @F.pandas_udf("string")
+    def put(docs: pd.Series, values: pd.Series) -> pd.Series:
+        out = []
+        for d, v in zip(docs, values):
+            try:
+                root, new = {} if d is None else json.loads(d), json.loads(v)
+                if steps:
+                    at = root
+                    for p in steps[:-1]:
+                        at[p] = at = at[p] if isinstance(at.get(p), dict) else {}
+                    at[steps[-1]] = new
+                out.append(json.dumps(root if steps else new, separators=(",", ":"), sort_keys=True, ensure_ascii=False))
+            except (TypeError, ValueError, AttributeError):
+                out.append(None)
+        return pd.Series(out, dtype=object)
+
+    return put(doc, value)
+
+
+def json_deleted(docs: DataFrame, key: str, keys: list) -> DataFrame:
+    """JSON.DEL: the documents without those of the given keys, whole."""
+    return docs.where(~F.col(key).isin(keys))
+
+
 def json_type(doc: Column) -> Column:
     """object, array, string, number, boolean or null."""
     t = F.btrim(doc)
@@ -164,6 +278,31 @@ def json_type(doc: Column) -> Column:
 # Streams ------------------------------------------------------------------------
 
 
+def entry_ids(entries: DataFrame, key: str, ms: str, *order: str) -> DataFrame:
+    """XADD with ``*``: adds ``id``, the millisecond and the number of the entry within it
+    in its stream, from 0."""
+    w = Window.partitionBy(key, ms).orderBy(*order)
+    return entries.withColumn("id", F.concat_ws("-", F.col(ms).cast("string"), (F.row_number().over(w) - 1).cast("string")))
+
+
+def lengths(entries: DataFrame, key: str) -> DataFrame:
+    """XLEN of every stream."""
+    return entries.groupBy(key).agg(F.count(F.lit(1)).alias("len"))
+
+
+def last_entries(entries: DataFrame, key: str, order: str, count: int) -> DataFrame:
+    """XREVRANGE with COUNT: the newest entries of each stream with ``back`` from 0."""
+    w = Window.partitionBy(key).orderBy(F.desc(order))
+    return entries.withColumn("back", F.row_number().over(w) - 1).where(F.col("back") < count)
+
+
+def consumers(delivered: DataFrame, acked: DataFrame, ids: list[str], group: str, consumer: str, entry: str) -> DataFrame:
+    """(group, consumer, n_pending, first, last): what each consumer of a group was given
+    (one row per entry) and nobody has acknowledged."""
+    open_ = pending(delivered, acked, *ids)
+    return open_.groupBy(group, consumer).agg(F.count(F.lit(1)).alias("n_pending"), F.min(entry).alias("first"), F.max(entry).alias("last"))
+
+
 def stream_range(entries: DataFrame, first: str, last: str, id_col: str = "id") -> DataFrame:
     """Entries with first <= id <= last, ids compared as text; ``-`` and ``+`` are open ends."""
     out = entries

@@ -87,6 +87,64 @@ def first_set(log: DataFrame, key: str, order: str, value: str) -> DataFrame:
     return log.groupBy(key).agg(F.min_by(value, order).alias(value), F.min(order).alias(order), F.count(F.lit(1)).alias("attempts"))
 
 
+def conditional_sets(log: DataFrame, key: str, order: str, op: str, value: str) -> DataFrame:
+    """Adds ``applied`` to a log of SET, NX (only if the key is absent), XX (only if it is
+    there) and DEL. After SET and NX a key is there whatever came before, after DEL it is
+    not, and XX leaves that as it is: so only the last row that is not XX decides."""
+    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
+    there = F.coalesce(F.last(F.when(F.col(op) != "XX", F.col(op) != "DEL"), ignorenulls=True).over(before), F.lit(False))
+    return log.withColumn("_there", there).withColumn("applied", F.when(F.col(op) == "NX", ~F.col("_there")).when(F.col(op) == "SET", F.lit(True)).otherwise(F.col("_there"))).drop("_there")
+
+
+def set_state(log: DataFrame, key: str, order: str, op: str, value: str) -> DataFrame:
+    """(key, value) once the applied sets and deletions are done."""
+    done = conditional_sets(log, key, order, op, value).where("applied")
+    last = done.groupBy(key).agg(F.max_by(F.struct(op, value), order).alias("_v"))
+    return last.where(F.col(f"_v.{op}") != "DEL").select(key, f"_v.{value}")
+
+
+def flushed(log: DataFrame, db: str, order: str, is_flush: Column, everywhere: Column | None = None) -> DataFrame:
+    """The rows that outlive FLUSHDB (``is_flush``: of its own database) and FLUSHALL
+    (``everywhere``: of all): those after the last of either. The flushes come to one row
+    per database before they meet the log."""
+    per = log.where(is_flush).groupBy(db).agg(F.max(order).alias("_f"))
+    out = log.where(~is_flush).join(per, db, "left").where(F.col("_f").isNull() | (F.col(order) > F.col("_f"))).drop("_f")
+    if everywhere is None:
+        return out
+    top = log.where(everywhere).agg(F.max(order).alias("_f"))
+    return out.where(~everywhere).crossJoin(F.broadcast(top)).where(F.col("_f").isNull() | (F.col(order) > F.col("_f"))).drop("_f")
+
+
+def idle_seconds(log: DataFrame, key: str, us: str, now_us: Column) -> DataFrame:
+    """(key, idle, refcount): OBJECT IDLETIME, whole seconds since the last access, and
+    OBJECT REFCOUNT, which is always 1."""
+    return log.groupBy(key).agg(F.floor((now_us - F.max(us)) / 1000000).cast("bigint").alias("idle"), F.lit(1).alias("refcount"))
+
+
+def history_at(log: DataFrame, version: str, at: int) -> DataFrame:
+    """All versions at or before a version."""
+    return log.where(F.col(version) <= at)
+
+
+def collected(log: DataFrame, version: str, least: int) -> DataFrame:
+    """The versions that a collection of those below ``least`` leaves."""
+    return log.where(F.col(version) >= least)
+
+
+def watch_results(watches: DataFrame, log: DataFrame, key: str, version: str) -> DataFrame:
+    """(txn, aborted, moved): a transaction that watched (txn, key, seen, at) is aborted if a
+    watched key got a version above ``seen`` up to its EXEC at version ``at``.
+
+    Watches and writes of a key are walked once from the newest on; the write met last is
+    the first one after a watch. No watch meets all writes of its key."""
+    wide = watches.select(key, F.col("seen").alias("_p"), F.lit(0).alias("_w"), "txn", "at")
+    wide = wide.unionByName(log.select(key, F.col(version).alias("_p"), F.lit(1).alias("_w")), allowMissingColumns=True)
+    w = Window.partitionBy(key).orderBy(F.desc("_p"), "_w").rowsBetween(Window.unboundedPreceding, -1)
+    after = F.last(F.when(F.col("_w") == 1, F.col("_p")), ignorenulls=True).over(w)
+    per = wide.withColumn("_m", F.coalesce(after <= F.col("at"), F.lit(False))).where("_w = 0").groupBy("txn", key).agg(F.bool_or("_m").alias("_m"))
+    return per.groupBy("txn").agg(F.bool_or("_m").alias("aborted"), F.count_if("_m").alias("moved"))
+
+
 def renamed(kv: DataFrame, old: str, new: str, key: str = "key") -> DataFrame:
     """RENAME: ``old`` takes the place of ``new``; its deadline goes with it."""
     return kv.where(F.col(key) != new).withColumn(key, F.when(F.col(key) == old, F.lit(new)).otherwise(F.col(key)))

@@ -2,9 +2,9 @@
 
 from __future__ import annotations
 
-import binascii
 from collections.abc import Iterator
 
+import numpy as np
 import pandas as pd
 from pyspark.sql import Column, DataFrame, SparkSession, Window
 from pyspark.sql import functions as F
@@ -50,20 +50,42 @@ def allowed(key: Column, patterns: list[str]) -> Column:
     return out
 
 
-def _slot(key: str) -> int:
-    a = key.find("{")
-    b = key.find("}", a + 1) if a >= 0 else -1
-    return binascii.crc_hqx((key[a + 1 : b] if b > a + 1 else key).encode(), 0) % SLOTS
+def _crc_table() -> np.ndarray:
+    """CRC-16 of every byte (polynomial 0x1021, from 0)."""
+    c = np.arange(256, dtype=np.uint32) << 8
+    for _ in range(8):
+        c = np.where(c & 0x8000, c << 1 ^ 0x1021, c << 1) & 0xFFFF
+    return c
+
+
+def crc16(keys: list[bytes]) -> np.ndarray:
+    """CRC-16 of many keys at once, a byte of all of them in each step."""
+    n = np.array([len(k) for k in keys], np.int64)
+    order = np.argsort(-n, kind="stable")
+    n, keys, table = n[order], [keys[i] for i in order.tolist()], _crc_table()
+    flat = np.frombuffer(b"".join(keys), np.uint8)
+    start, crc = np.cumsum(n) - n, np.zeros(len(n), np.uint32)
+    for i in range(int(n[0]) if len(n) else 0):
+        m = int(np.searchsorted(-n, -i, side="left"))  # keys longer than i
+        crc[:m] = (crc[:m] << 8 ^ table[crc[:m] >> 8 ^ flat[start[:m] + i]]) & 0xFFFF
+    out = np.empty_like(crc)
+    out[order] = crc
+    return out
 
 
 def hash_slot(key: str) -> Column:
-    """The slot of a key: CRC-16 of the key, or of what stands in its first braces."""
+    """The slot of a key: CRC-16 of the key, or of its tag, which stands between the first
+    closing brace that has an opening one before it and the last such opening one; an empty
+    tag does not count. Distinct keys of a batch are hashed once."""
+    tag = F.regexp_extract(F.col(key), r"^[^{]*\{(?:[^{}]*\{)*([^{}]*)\}", 1)
 
     @F.pandas_udf("int")
-    def slot(keys: pd.Series) -> pd.Series:
-        return keys.map(lambda k: None if k is None else _slot(k)).astype("Int32")
+    def slot(tags: pd.Series) -> pd.Series:
+        codes, names = pd.factorize(tags)
+        found = (crc16([n.encode() for n in names]) % SLOTS).astype(np.int64)
+        return pd.Series(np.append(found, 0)[codes]).where(codes >= 0).astype("Int32")
 
-    return slot(key)
+    return slot(F.when(tag != "", tag).otherwise(F.col(key)))
 
 
 def slot_ranges(spark: SparkSession, nodes: list[str]) -> DataFrame:
@@ -85,14 +107,14 @@ def ring_owner(keys: DataFrame, key: str, nodes: list[str], virtual: int = 64) -
     The ring has nodes * virtual points, a parameter's size; a key finds its place in
     them by binary search within the task."""
     import hashlib
-    from bisect import bisect_left
 
     ring = sorted((int.from_bytes(hashlib.sha256(f"{n}-v{i}".encode()).digest()[:4], "big"), n) for n in nodes for i in range(virtual))
-    points = [h for h, _ in ring]
+    points, owners = np.array([h for h, _ in ring], np.int64), np.array([n for _, n in ring], object)
 
     @F.pandas_udf("string")
     def find(h: pd.Series) -> pd.Series:
-        return h.map(lambda x: None if pd.isna(x) else ring[bisect_left(points, int(x)) % len(ring)][1])
+        at = np.searchsorted(points, h.fillna(0).to_numpy(np.int64)) % len(points)
+        return pd.Series(owners[at]).where(h.notna().to_numpy(), None)
 
     return keys.withColumn("node", find(F.conv(F.substring(F.sha2(F.col(key), 256), 1, 8), 16, 10).cast("bigint")))
 
@@ -144,3 +166,27 @@ def rate_limited(requests: DataFrame, client: str, us: str, rate: float, burst:
 def due_jobs(jobs: DataFrame, now: Column) -> DataFrame:
     """Jobs whose time has come, with the wait after their next failure."""
     return jobs.where(F.col("run_at") <= now).withColumn("next_wait_ms", backoff_ms(F.col("attempt")))
+
+
+def dead_letters(attempts: DataFrame, job: str, order: str, failed: Column, most: int, keep: int) -> DataFrame:
+    """(job, failures, at): the jobs that failed more than ``most`` times since they last
+    went through, in the dead-letter queue, which keeps the newest ``keep``. That is its
+    capacity, not a cut of the input."""
+    ok = attempts.where(~failed).groupBy(job).agg(F.max(order).alias("_ok"))
+    since = attempts.where(failed).join(ok, job, "left").where(F.col("_ok").isNull() | (F.col(order) > F.col("_ok")))
+    dead = since.groupBy(job).agg(F.count(F.lit(1)).alias("failures"), F.max(order).alias("at")).where(F.col("failures") > most)
+    return dead.orderBy(F.desc("at"), job).limit(keep)
+
+
+def admitted(accesses: DataFrame, key: str, window: Column, n_windows: int) -> DataFrame:
+    """(key, count): access counts that are halved (in whole numbers) at the end of each
+    window, ``window`` counting from 0. A key sends a count per window, not its accesses."""
+    per = accesses.groupBy(key, window.cast("int").alias("_w")).agg(F.count(F.lit(1)).alias("_n"))
+    counts = per.groupBy(key).agg(F.map_from_entries(F.collect_list(F.struct("_w", "_n"))).alias("_c"))
+    fold = F.aggregate(F.sequence(F.lit(0), F.lit(n_windows - 1)), F.lit(0).cast("bigint"), lambda a, w: F.floor(a / 2).cast("bigint") + F.coalesce(F.try_element_at("_c", w), F.lit(0)))
+    return counts.select(key, fold.alias("count"))
+
+
+def least_recent(accesses: DataFrame, key: str, order: str, capacity: int) -> DataFrame:
+    """(key, last): what a cache of ``capacity`` keys holds that evicts the least recently used."""
+    return accesses.groupBy(key).agg(F.max(order).alias("last")).orderBy(F.desc("last"), key).limit(capacity)

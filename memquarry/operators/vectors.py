@@ -13,6 +13,7 @@ or not finite are left out; k <= 0 gives nothing.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
@@ -93,11 +94,6 @@ def stored(rows: DataFrame, ids: list[int]) -> list[tuple[int, list[float]]]:
     return [(i, found[i]) for i in ids]
 
 
-def query_set(rows: DataFrame, every: int = 20) -> list[tuple[int, list[float]]]:
-    """The stated query set: the rows whose id is divisible by ``every``."""
-    return [(r["id"], r["embedding"]) for r in rows.where((F.col("id") % every == 0) & F.col("embedding").isNotNull()).select("id", "embedding").toLocalIterator()]
-
-
 def with_documents(hits: DataFrame, docs: DataFrame) -> DataFrame:
     """Each hit with its document (id, doc), null where there is none. Joined after the cut."""
     return hits.join(docs, "id", "left")
@@ -135,6 +131,47 @@ def generations(log: DataFrame) -> DataFrame:
     return log.withColumn("_c", changed).groupBy("id").agg(F.max_by("live", "seq").alias("live"), (F.sum("_c") + 1).cast("bigint").alias("generation"))
 
 
+# Migrations --------------------------------------------------------------------------
+
+
+@dataclass(frozen=True)
+class Migration:
+    """VMIGRATE: a live index (id, embedding) and a shadow that is filled beside it.
+
+    ``start`` opens an empty shadow; ``add`` fills it, of an id the last row (``seq``)
+    holds; searches see ``live`` until ``swap`` puts the shadow in its place, which an
+    empty shadow cannot; ``cancel`` drops the shadow."""
+
+    live: DataFrame
+    shadow: DataFrame | None = None
+
+    def start(self) -> "Migration":
+        if self.shadow is not None:
+            raise ValueError("a migration is under way")
+        return Migration(self.live, self.live.select("id", "embedding").limit(0).withColumn("seq", F.lit(0).cast("bigint")))
+
+    def add(self, rows: DataFrame) -> "Migration":
+        """``rows``: id, embedding, seq."""
+        if self.shadow is None:
+            raise ValueError("no migration is under way")
+        return Migration(self.live, self.shadow.unionByName(rows.select("id", "embedding", "seq")))
+
+    def swap(self) -> "Migration":
+        if self.shadow is None or self.shadow.isEmpty():
+            raise ValueError("the shadow index is empty")
+        return Migration(self.shadow.groupBy("id").agg(F.max_by("embedding", "seq").alias("embedding")))
+
+    def cancel(self) -> "Migration":
+        return Migration(self.live)
+
+
+def upserted(live: DataFrame, batch: DataFrame) -> DataFrame:
+    """VADD_BATCH: the rows (id, embedding) with those of the batch (id, embedding, pos) in
+    their place; of an id given twice the last holds."""
+    new = batch.groupBy("id").agg(F.max_by("embedding", "pos").alias("embedding"))
+    return live.join(new.select("id"), "id", "left_anti").select("id", "embedding").unionByName(new)
+
+
 def recall(found: DataFrame, exact: DataFrame, k: int) -> DataFrame:
     """(query, recall): the share of the k exact hits that were found."""
     hit = exact.join(found.select("query", "id", F.lit(1).alias("_f")), ["query", "id"], "left")

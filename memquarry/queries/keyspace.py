@@ -129,6 +129,79 @@ def setnx_first(spark: SparkSession, base: str) -> DataFrame:
     return K.first_set(_log(spark, base), "key", "seq", "value")
 
 
+_OPS = """WITH log AS (SELECT 'user:' || user_id AS key, event_id AS seq, CASE event_type WHEN 'click' THEN 'XX' WHEN 'view' THEN 'NX' WHEN 'error' THEN 'DEL' ELSE 'SET' END AS op, printf('%.4f', value) AS value FROM events),
+b AS (SELECT *, coalesce(last_value(CASE WHEN op <> 'XX' THEN op <> 'DEL' END IGNORE NULLS) OVER (PARTITION BY key ORDER BY seq ROWS BETWEEN UNBOUNDED PRECEDING AND 1 PRECEDING), false) AS there FROM log),
+a AS (SELECT * FROM b WHERE op = 'SET' OR op = 'NX' AND NOT there OR op IN ('XX', 'DEL') AND there)
+"""
+
+
+@R.query(_OPS + "SELECT key, value FROM (SELECT * FROM a QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC) = 1) WHERE op <> 'DEL'")
+def set_nx_xx(spark: SparkSession, base: str) -> DataFrame:
+    """A log of SET, SET NX, SET XX and DEL by type of event."""
+    t = F.col("event_type")
+    op = F.when(t == "click", "XX").when(t == "view", "NX").when(t == "error", "DEL").otherwise("SET")
+    return K.set_state(_log(spark, base).select("key", "seq", op.alias("op"), "value"), "key", "seq", "op", "value")
+
+
+@R.query("WITH log AS (SELECT o_orderkey AS seq, o_custkey % 500 AS a, o_custkey % 700 AS b, o_totalprice FROM orders), e AS (SELECT seq, 0 AS pos, 'k' || a AS key, o_totalprice AS value FROM log UNION ALL SELECT seq, 1, 'k' || b, -o_totalprice FROM log) SELECT key, value FROM e QUALIFY row_number() OVER (PARTITION BY key ORDER BY seq DESC, pos DESC) = 1")
+def mset_frames(spark: SparkSession, base: str) -> DataFrame:
+    """MSET of two keys per order: a frame of effects in order, of which a later one of the same key holds."""
+    c, v = F.col("o_custkey"), F.col("o_totalprice")
+    pair = lambda pos, n, x: F.struct(F.lit(pos).alias("pos"), F.concat(F.lit("k"), (c % n).cast("string")).alias("key"), x.alias("value"))
+    e = table(spark, base, "orders").select(F.col("o_orderkey").alias("seq"), F.explode(F.array(pair(0, 500, v), pair(1, 700, -v))).alias("e")).select("seq", "e.*")
+    return K.latest(e.withColumn("at", F.struct("seq", "pos")), ["key"], "at", "value")
+
+
+_FLUSH = "WITH l AS (SELECT event_id AS seq, user_id % 7 AS db, user_id, CASE WHEN event_type = 'error' AND event_id % 50 = 0 THEN CASE WHEN event_id % 400 = 0 THEN 'all' ELSE 'db' END ELSE 'set' END AS op FROM events)\n"
+
+
+@R.query(_FLUSH + ", f AS (SELECT db, max(seq) AS f FROM l WHERE op = 'db' GROUP BY db), a AS (SELECT max(seq) AS f FROM l WHERE op = 'all') SELECT seq, l.db, user_id FROM l LEFT JOIN f ON f.db = l.db, a WHERE op = 'set' AND (f.f IS NULL OR seq > f.f) AND (a.f IS NULL OR seq > a.f)")
+def flush_db_all(spark: SparkSession, base: str) -> DataFrame:
+    """The sets that outlive the last FLUSHDB of their database and the last FLUSHALL."""
+    i, err = F.col("seq"), F.col("event_type") == "error"
+    op = F.when(err & (i % 400 == 0), "all").when(err & (i % 50 == 0), "db").otherwise("set")
+    l = table(spark, base, "events").select(F.col("event_id").alias("seq"), (F.col("user_id") % 7).alias("db"), "user_id", "event_type").withColumn("op", op)  # noqa: E741
+    return K.flushed(l, "db", "seq", F.col("op") == "db", F.col("op") == "all").select("seq", "db", "user_id")
+
+
+@R.query(_TYPED + "SELECT count(*) AS n FROM typed")
+def db_size(spark: SparkSession, base: str) -> DataFrame:
+    return _typed(spark, base).agg(F.count(F.lit(1)).alias("n"))
+
+
+@R.query(_LOG + f"SELECT key, floor(({NOW_US} + 1500000000000 - max(us)) / 1000000)::BIGINT AS idle, 1::INTEGER AS refcount FROM log GROUP BY key")
+def object_idle(spark: SparkSession, base: str) -> DataFrame:
+    e = table(spark, base, "events").select(F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"), micros("ts").alias("us"))
+    return K.idle_seconds(e, "key", "us", F.lit(NOW_US + 1500000000000))
+
+
+@R.query("WITH m AS (SELECT (max(event_id) // 2)::BIGINT AS m FROM events) SELECT user_id, event_id, value FROM events, m WHERE event_id <= m")
+def mvcc_history_at(spark: SparkSession, base: str) -> DataFrame:
+    """All versions at or before the middle one."""
+    e = table(spark, base, "events").select("user_id", "event_id", "value")
+    return K.history_at(e, "event_id", e.agg(F.max("event_id")).first()[0] // 2)
+
+
+@R.query("WITH m AS (SELECT (max(event_id) // 2)::BIGINT AS m FROM events) SELECT user_id, count(*) AS versions, min(event_id) AS oldest FROM events, m WHERE event_id >= m GROUP BY user_id")
+def mvcc_gc(spark: SparkSession, base: str) -> DataFrame:
+    """What a collection of the versions before the middle one leaves, by key."""
+    e = table(spark, base, "events").select("user_id", "event_id")
+    kept = K.collected(e, "event_id", e.agg(F.max("event_id")).first()[0] // 2)
+    return kept.groupBy("user_id").agg(F.count(F.lit(1)).alias("versions"), F.min("event_id").alias("oldest"))
+
+
+@R.query("""WITH w AS (SELECT event_id AS txn, user_id AS key, event_id - 40 AS seen, event_id AS upto FROM events WHERE event_type = 'purchase' UNION ALL SELECT event_id, (user_id + 1) % 150, event_id - 40, event_id FROM events WHERE event_type = 'purchase'),
+p AS (SELECT txn, key, coalesce(bool_or(e.event_id > seen AND e.event_id <= upto), false) AS m FROM w LEFT JOIN events e ON e.user_id = w.key AND e.event_type = 'error' GROUP BY txn, key)
+SELECT txn, bool_or(m) AS aborted, count_if(m)::BIGINT AS moved FROM p GROUP BY txn""")
+def watch_aborts(spark: SparkSession, base: str) -> DataFrame:
+    """Purchases as transactions that watched two users for 40 versions; errors write."""
+    e = table(spark, base, "events")
+    b = e.where("event_type = 'purchase'")
+    one = lambda k: b.select(F.col("event_id").alias("txn"), k.alias("user_id"), (F.col("event_id") - 40).alias("seen"), F.col("event_id").alias("at"))
+    watches = one(F.col("user_id")).unionAll(one((F.col("user_id") + 1) % 150))
+    return K.watch_results(watches, e.where("event_type = 'error'").select("user_id", "event_id"), "user_id", "event_id")
+
+
 @R.query(_LOG + "SELECT CASE WHEN key = 'user:1' THEN 'user:2' ELSE key END AS key, value, expires_at FROM kv WHERE key <> 'user:2'")
 def rename_keys(spark: SparkSession, base: str) -> DataFrame:
     return K.renamed(_kv(spark, base), "user:1", "user:2").select("key", "value", "expires_at")

@@ -68,9 +68,22 @@ def acl_prefix_filter(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "changelog").where(T.allowed(F.col("key"), ["doc:legal*", "cfg:*"])).select("tenant_id", "key").distinct()
 
 
-@R.query()
+# CRC-16, bit by bit, over the bytes of the tag; the tag is found by walking the braces.
+_SLOT_SQL = """WITH k AS (SELECT DISTINCT key FROM changelog WHERE key IS NOT NULL UNION SELECT DISTINCT 'a{' || key || '{' || tenant_id || '}}' FROM changelog WHERE key IS NOT NULL AND tenant_id IS NOT NULL),
+p AS (SELECT key, position('{' IN key) AS o FROM k), c AS (SELECT key, o, CASE WHEN o > 0 AND contains(substr(key, o), '}') THEN o + position('}' IN substr(key, o)) - 1 ELSE 0 END AS e FROM p),
+t AS (SELECT key, CASE WHEN e > 0 AND length(string_split(left(key, e - 1), '{')[-1]) > 0 THEN string_split(left(key, e - 1), '{')[-1] ELSE key END AS tag FROM c),
+d AS (SELECT DISTINCT tag FROM t),
+x AS (SELECT tag, list_reduce(list_prepend(0::BIGINT, list_transform(range(1, length(hex(encode(tag))) // 2 + 1), lambda i: ('0x' || hex(encode(tag))[(2 * i - 1):(2 * i)])::BIGINT)),
+  lambda c, b: list_reduce([xor(c, b << 8), 1, 1, 1, 1, 1, 1, 1, 1], lambda a, one: (CASE WHEN (a & 32768) > 0 THEN xor(a << 1, 4129) ELSE a << 1 END) & 65535)) AS crc FROM d)
+SELECT key, (crc % 16384)::INTEGER AS slot FROM t JOIN x USING (tag)"""
+
+
+@R.query(_SLOT_SQL)
 def hash_slot(spark: SparkSession, base: str) -> DataFrame:
-    return table(spark, base, "changelog").select("key").where("key IS NOT NULL").distinct().withColumn("slot", T.hash_slot("key"))
+    """Slots of all keys, and of keys with braces within braces."""
+    k = table(spark, base, "changelog").where("key IS NOT NULL")
+    nested = k.where("tenant_id IS NOT NULL").select(F.concat(F.lit("a{"), "key", F.lit("{"), "tenant_id", F.lit("}}")).alias("key"))
+    return k.select("key").unionAll(nested).distinct().withColumn("slot", T.hash_slot("key"))
 
 
 _NODES = ["n1", "n2", "n3", "n4", "n5"]
@@ -105,12 +118,6 @@ def lag_quorum(spark: SparkSession, base: str) -> DataFrame:
     return T.lag_and_quorum(acks, F.lit(top), top - 200, 5)
 
 
-@R.query("SELECT event_id, least(30000, 100 * 2 ** least(user_id % 12, 30))::BIGINT AS next_wait_ms FROM events WHERE event_type = 'error' AND event_id <= 5000")
-def retry_backoff(spark: SparkSession, base: str) -> DataFrame:
-    jobs = table(spark, base, "events").where("event_type = 'error'").select("event_id", F.col("event_id").alias("run_at"), (F.col("user_id") % 12).alias("attempt"))
-    return T.due_jobs(jobs, F.lit(5000)).select("event_id", "next_wait_ms")
-
-
 _JOBS = "WITH j AS (SELECT event_id, epoch_us(ts) AS us, least(30000, 100 * 2 ** least(user_id % 12, 30))::BIGINT AS wait FROM events WHERE event_type = 'error')\n"
 
 
@@ -124,13 +131,40 @@ def retry_due(spark: SparkSession, base: str) -> DataFrame:
     return T.due_jobs(jobs, F.lit(now).cast("bigint")).select("event_id", "next_wait_ms")
 
 
-@R.query()
+@R.query("""WITH RECURSIVE e AS (SELECT user_id, epoch_us(ts) AS us, row_number() OVER (PARTITION BY user_id ORDER BY ts) AS i FROM events WHERE user_id IS NOT NULL AND ts IS NOT NULL),
+f AS (SELECT user_id, us, i, 2.0::DOUBLE AS tokens, 1 AS ok FROM e WHERE i = 1
+  UNION ALL SELECT e.user_id, e.us, e.i, CASE WHEN least(3.0, f.tokens + (e.us - f.us) / 1e6 / 20000) >= 1 THEN least(3.0, f.tokens + (e.us - f.us) / 1e6 / 20000) - 1 ELSE least(3.0, f.tokens + (e.us - f.us) / 1e6 / 20000) END,
+    CASE WHEN least(3.0, f.tokens + (e.us - f.us) / 1e6 / 20000) >= 1 THEN 1 ELSE 0 END FROM f JOIN e ON e.user_id = f.user_id AND e.i = f.i + 1)
+SELECT user_id, sum(ok)::BIGINT AS n_allowed, count(*) AS n FROM f GROUP BY user_id""")
 def rate_limit(spark: SparkSession, base: str) -> DataFrame:
     """Events a day that pass a token bucket of 1 per 20,000 s with a burst of 3, by user."""
     e = table(spark, base, "events").select("user_id", micros("ts").alias("us"))
     return T.rate_limited(e, "user_id", "us", 1 / 20000, 3.0).groupBy("user_id").agg(F.count_if("allowed").alias("n_allowed"), F.count(F.lit(1)).alias("n"))
 
 
+@R.query("""WITH a AS (SELECT user_id, event_id, event_type IN ('error', 'view', 'click') AS failed FROM events), ok AS (SELECT user_id, max(event_id) AS ok FROM a WHERE NOT failed GROUP BY user_id)
+SELECT user_id, count(*) AS failures, max(event_id) AS "at" FROM a LEFT JOIN ok USING (user_id) WHERE failed AND (ok IS NULL OR event_id > ok) GROUP BY user_id HAVING count(*) > 2 ORDER BY "at" DESC, user_id LIMIT 20""")
+def dead_letter_queue(spark: SparkSession, base: str) -> DataFrame:
+    """Users as jobs; clicks, views and errors are failures: what more than two in a row left in a queue of 20."""
+    return T.dead_letters(table(spark, base, "events"), "user_id", "event_id", F.col("event_type").isin("error", "view", "click"), 2, 20)
+
+
+@R.query("""WITH w AS (SELECT user_id, (event_id * 6) // (SELECT max(event_id) + 1 FROM events) AS w, count(*) AS n FROM events GROUP BY ALL), k AS (SELECT DISTINCT user_id FROM w),
+h AS (SELECT k.user_id, list(coalesce(w.n, 0)::BIGINT ORDER BY t.i) AS c FROM k CROSS JOIN range(6) t(i) LEFT JOIN w ON w.user_id = k.user_id AND w.w = t.i GROUP BY k.user_id)
+SELECT user_id, list_reduce(c, lambda a, x: a // 2 + x)::BIGINT AS count FROM h""")
+def cache_admission(spark: SparkSession, base: str) -> DataFrame:
+    """Access counts that are halved at the end of each sixth of the log."""
+    e = table(spark, base, "events")
+    n = e.agg(F.max("event_id") + 1).first()[0]
+    return T.admitted(e, "user_id", F.floor(F.col("event_id") * 6 / F.lit(n)), 6)
+
+
+@R.query("SELECT user_id, max(event_id) AS last FROM events GROUP BY user_id ORDER BY last DESC, user_id LIMIT 40")
+def cache_lru(spark: SparkSession, base: str) -> DataFrame:
+    """What a cache of 40 users holds after the log."""
+    return T.least_recent(table(spark, base, "events"), "user_id", "event_id", 40)
+
+
 @R.query(_U + "SELECT coalesce(status, 'unknown') AS status, sum(keys)::BIGINT AS keys, sum(memory_used_bytes)::BIGINT AS memory, count(*) AS n, grouping(status)::INTEGER AS is_total FROM u GROUP BY ROLLUP (status)")
 def usage_rollup(spark: SparkSession, base: str) -> DataFrame:
     """Usage by status and in total."""

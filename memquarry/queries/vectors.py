@@ -7,11 +7,14 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memquarry.functions import vector_columns as V
+from memquarry.operators import blocks, ivf
 from memquarry.operators import vectors as S
 from memquarry.queries import Registry
+from memquarry.sources import binary
 from memquarry.sources.tables import table
 
 R = Registry()
+DIM = 64
 _HITS = "WITH q AS (SELECT embedding::DOUBLE[] AS v FROM embeddings WHERE vec_id = 0), s AS (SELECT vec_id AS id, round(list_cosine_similarity(embedding::DOUBLE[], v), 6) AS score FROM embeddings, q)\n"
 
 
@@ -73,8 +76,41 @@ FROM embeddings q, embeddings e WHERE q.vec_id % 20 = 0 AND e.vec_id <> q.vec_id
 SELECT query, id, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 3""")
 def knn_join(spark: SparkSession, base: str) -> DataFrame:
     """The 3 nearest of every row whose id is divisible by 20, against all rows."""
+    return blocks.nearest(_index(spark, base), F.col("id") % 20 == 0, 3, DIM)
+
+
+def _exact(spark: SparkSession, base: str) -> DataFrame:
+    return blocks.nearest(_index(spark, base), F.col("id") % 20 == 0, 10, DIM)
+
+
+def _probed(spark: SparkSession, base: str, cells: int, probes: int) -> DataFrame:
+    rows = _index(spark, base)
+    index = ivf.CellIndex.build(rows, DIM, cells)
+    return index.search(S.stored(rows, [0, 7, 11]), 10, probes, exclude_self=True)
+
+
+@R.query("""WITH s AS (SELECT q.vec_id AS query, e.vec_id AS id, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS score
+FROM embeddings q, embeddings e WHERE q.vec_id IN (0, 7, 11) AND e.vec_id <> q.vec_id)
+SELECT query, id, score FROM s QUALIFY row_number() OVER (PARTITION BY query ORDER BY score DESC, id) <= 10""")
+def vsearch_ivf_all(spark: SparkSession, base: str) -> DataFrame:
+    """The index with every cell probed, which is exact."""
+    return _probed(spark, base, 16, 16)
+
+
+@R.query()
+def vsearch_ivf(spark: SparkSession, base: str) -> DataFrame:
+    """The index with half of its cells probed."""
+    return _probed(spark, base, 16, 8)
+
+
+@R.query()
+def ivf_recall(spark: SparkSession, base: str) -> DataFrame:
+    """Recall at 10 of the index with half of its cells probed, for the rows whose id is
+    divisible by 20: mean and 5th percentile."""
     rows = _index(spark, base)
-    return S.search(rows, S.query_set(rows), 3, exclude_self=True)
+    index = ivf.CellIndex.build(rows, DIM, 16)
+    queries = rows.where("id % 20 = 0")
+    return ivf.recall_summary(S.recall(index.search_many(queries, 10, 8), _exact(spark, base), 10))
 
 
 def _fuse_sql(w1: float, w2: float, tail: str) -> str:
@@ -142,9 +178,18 @@ r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY a DESC, id) AS ra
 SELECT query, round(count_if(ra <= 10 AND rx <= 10) / 10, 6) AS recall FROM r GROUP BY query""")
 def recall_at_k_sq8(spark: SparkSession, base: str) -> DataFrame:
     """Recall at 10 of the quantised search, by query."""
-    rows = _index(spark, base)
-    queries = S.query_set(rows)
-    return S.recall(S.search(_decoded(spark, base), queries, 10, exclude_self=True), S.search(rows, queries, 10, exclude_self=True), 10)
+    asks = F.col("id") % 20 == 0
+    return S.recall(blocks.nearest(_decoded(spark, base), asks, 10, DIM, queries=_index(spark, base).where(asks)), _exact(spark, base), 10)
+
+
+@R.query(_DECODED + """, pairs AS (SELECT q.vec_id AS query, d.id, round(list_cosine_similarity(v, q.embedding::DOUBLE[]), 6) AS a, round(list_cosine_similarity(e.embedding::DOUBLE[], q.embedding::DOUBLE[]), 6) AS x
+  FROM d JOIN embeddings e ON e.vec_id = d.id, embeddings q WHERE q.vec_id % 20 = 0 AND q.vec_id <> d.id),
+r AS (SELECT *, row_number() OVER (PARTITION BY query ORDER BY a DESC, id) AS ra, row_number() OVER (PARTITION BY query ORDER BY x DESC, id) AS rx FROM pairs),
+k AS (SELECT query, round(count_if(ra <= 10 AND rx <= 10) / 10, 6) AS recall FROM r GROUP BY query)
+SELECT count(*) AS n, round(avg(recall), 6) AS mean, round(quantile_cont(recall, 0.05), 6) AS p05 FROM k""")
+def recall_summary_sq8(spark: SparkSession, base: str) -> DataFrame:
+    """Mean and 5th percentile of the recall of the quantised search."""
+    return ivf.recall_summary(recall_at_k_sq8(spark, base))
 
 
 @R.query("""SELECT label, count(*) AS n, min(len(embedding))::INTEGER AS dim, round(avg(sqrt(list_sum(list_transform(embedding::DOUBLE[], lambda x: x * x)))), 6) AS mean_norm,
@@ -225,12 +270,12 @@ late AS (SELECT 1000000 + vec_id AS id, embedding AS v FROM embeddings WHERE vec
 """
 
 
-def _migration(spark: SparkSession, base: str):
+def _migration(spark: SparkSession, base: str) -> tuple[S.Migration, DataFrame]:
     e = _index(spark, base)
     again = e.select((F.col("id") + 1).alias("id"), "embedding").where("id % 4 = 1").join(e.select("id"), "id", "left_semi")
-    shadow = e.where("id % 2 = 1").select("id", F.col("id").alias("seq"), "embedding").unionAll(again.select("id", F.col("id") + 10000000, "embedding"))
     late = e.where("id % 50 = 0").select((F.col("id") + 1000000).alias("id"), "embedding")
-    return e, shadow.groupBy("id").agg(F.max_by("embedding", "seq").alias("embedding")), late
+    m = S.Migration(e).start().add(e.where("id % 2 = 1").withColumn("seq", F.col("id"))).add(again.withColumn("seq", F.col("id") + 10000000))
+    return m, late
 
 
 _HEAD = "SELECT id, round(v[1]::DOUBLE, 6) AS first_value FROM "
@@ -243,15 +288,32 @@ def _heads(rows: DataFrame) -> DataFrame:
 @R.query(_MIGRATION + _HEAD + "(SELECT id, v FROM shadow QUALIFY row_number() OVER (PARTITION BY id ORDER BY seq DESC) = 1 UNION ALL SELECT id, v FROM late)")
 def vmigrate_swap(spark: SparkSession, base: str) -> DataFrame:
     """After the swap the shadow's rows and the later ones live; the old ones are gone."""
-    _, shadow, late = _migration(spark, base)
-    return _heads(shadow.unionAll(late))
+    m, late = _migration(spark, base)
+    return _heads(m.swap().live.unionByName(late))
 
 
 @R.query(_MIGRATION + _HEAD + "(SELECT vec_id AS id, embedding AS v FROM embeddings UNION ALL SELECT id, v FROM late)")
 def vmigrate_cancel(spark: SparkSession, base: str) -> DataFrame:
     """After a cancel the old rows and the later ones live."""
-    live, _, late = _migration(spark, base)
-    return _heads(live.unionAll(late))
+    m, late = _migration(spark, base)
+    return _heads(m.cancel().live.unionByName(late))
+
+
+@R.query("""WITH b AS (SELECT vec_id % 100 AS id, vec_id AS pos, embedding AS v FROM embeddings WHERE vec_id % 3 = 0), n AS (SELECT id, v FROM b QUALIFY row_number() OVER (PARTITION BY id ORDER BY pos DESC) = 1)
+""" + _HEAD + "(SELECT vec_id AS id, embedding AS v FROM embeddings WHERE vec_id NOT IN (SELECT id FROM n) UNION ALL SELECT id, v FROM n)")
+def vadd_batch(spark: SparkSession, base: str) -> DataFrame:
+    """A batch that overwrites the first hundred ids, some of them several times."""
+    e = _index(spark, base)
+    batch = e.where("id % 3 = 0").select((F.col("id") % 100).alias("id"), "embedding", F.col("id").alias("pos"))
+    return _heads(S.upserted(e, batch))
+
+
+@R.query("SELECT vec_id::VARCHAR AS id, round(embedding[1]::DOUBLE, 6) AS first_value, len(embedding)::INTEGER AS dim FROM embeddings")
+def vadd_binary(spark: SparkSession, base: str) -> DataFrame:
+    """The vectors packed into binary rows and read again."""
+    blobs = binary.packed(_index(spark, base), "id", "embedding", "blob")
+    rows = binary.vectors_of(blobs, "blob", DIM)
+    return rows.select("id", F.round(F.element_at("embedding", 1).cast("double"), 6).alias("first_value"), F.size("embedding").alias("dim"))
 
 
 @R.query("""WITH h AS (SELECT label, ('0x' || substr(sha256(vec_id::VARCHAR), 1, 15))::BIGINT AS h FROM embeddings)

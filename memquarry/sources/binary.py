@@ -53,6 +53,17 @@ def vectors_of(blobs: DataFrame, blob_col: str, dim: int) -> DataFrame:
     return blobs.select(blob_col).mapInPandas(work, "id string, embedding array<float>")
 
 
+def packed(rows: DataFrame, id_col: str, vector_col: str, blob: str) -> DataFrame:
+    """A blob per batch of rows: the form that ``vectors_of`` reads."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p):
+                yield pd.DataFrame({blob: [encode_vectors(list(zip(p["id"], p["v"])))]})
+
+    return rows.select(F.col(id_col).cast("string").alias("id"), F.col(vector_col).alias("v")).mapInPandas(work, f"{blob} binary")
+
+
 def encode_frame(frame: dict) -> bytes:
     body = json.dumps(frame, sort_keys=True).encode()
     return HEAD.pack(MAGIC, len(body), zlib.crc32(body)) + body

@@ -63,10 +63,31 @@ def p7_found(spark: SparkSession, base: str) -> DataFrame:
     return _shared_spans(spark, base).pairs().select(F.col("kind").alias("rec_kind"), F.col("id_a").alias("rec_a"), F.col("id_b").alias("rec_b"))
 
 
-@R.query()
+_P7_ISLANDS = """
+WITH recs AS (SELECT 'documents' AS k, doc_id AS id, doc_id AS g, text FROM documents WHERE length(text) >= 300 UNION SELECT 'hits', hit_id, doc_id, text FROM hits WHERE length(text) >= 300),
+copies AS (SELECT a.k, a.id, length(a.text) AS size, count(*) FILTER (b.g IS DISTINCT FROM a.g) AS n FROM recs a JOIN recs b ON a.k = b.k AND a.text = b.text GROUP BY ALL),
+texts AS (SELECT k, text, min(id) AS rep FROM recs GROUP BY ALL),
+w AS (SELECT k, rep, i - 1 AS first, hash(substring(text, i, 300)) AS h FROM (SELECT *, unnest(range(1, length(text) - 298)) AS i FROM texts)),
+several AS (SELECT w.k, h FROM w JOIN texts t ON t.k = w.k AND t.rep = w.rep JOIN recs r ON r.k = t.k AND r.text = t.text GROUP BY ALL HAVING count(DISTINCT w.rep) > 1 AND count(DISTINCT r.g) > 1),
+s AS (SELECT w.k, rep, first, first - lag(first) OVER (PARTITION BY w.k, rep ORDER BY first) <= 300 AS joined FROM w JOIN several USING (k, h)),
+n AS (SELECT *, sum(CASE WHEN joined THEN 0 ELSE 1 END) OVER (PARTITION BY k, rep ORDER BY first) AS island FROM s),
+islands AS (SELECT k, rep, min(first) AS first, max(first) + 300 AS past FROM n GROUP BY k, rep, island)
+"""
+
+
+@R.query(_P7_ISLANDS + """, part AS (SELECT k, rep, sum(past - first) AS chars, count(*) AS spans FROM islands GROUP BY ALL)
+SELECT DISTINCT c.k AS rec_kind, c.id AS rec_id, c.n AS n_copies, (CASE WHEN c.n > 0 THEN size ELSE coalesce(chars, 0) END)::BIGINT AS shared_chars, (CASE WHEN c.n > 0 THEN 1 ELSE coalesce(spans, 0) END)::BIGINT AS n_spans
+FROM copies c JOIN recs r ON r.k = c.k AND r.id = c.id JOIN texts t ON t.k = r.k AND t.text = r.text LEFT JOIN part p ON p.k = t.k AND p.rep = t.rep""")
 def p7_shared(spark: SparkSession, base: str) -> DataFrame:
     """For each record of at least 300 characters, how much of its text occurs elsewhere."""
-    return _shared_spans(spark, base).shared_by_record().select(F.col("kind").alias("rec_kind"), F.col("id").alias("rec_id"), "n_linked", "n_copies", "shared_chars", "n_spans")
+    return _shared_spans(spark, base).shared_by_record().select(F.col("kind").alias("rec_kind"), F.col("id").alias("rec_id"), "n_copies", "shared_chars", "n_spans")
+
+
+@R.query(_P7_ISLANDS + """SELECT DISTINCT c.k AS rec_kind, c.id AS rec_id, CASE WHEN c.n > 0 THEN 0 ELSE first END AS first, CASE WHEN c.n > 0 THEN size ELSE past END AS past
+FROM copies c JOIN recs r ON r.k = c.k AND r.id = c.id JOIN texts t ON t.k = r.k AND t.text = r.text LEFT JOIN islands i ON i.k = t.k AND i.rep = t.rep WHERE c.n > 0 OR first IS NOT NULL""")
+def p7_spans(spark: SparkSession, base: str) -> DataFrame:
+    """The passages of each record that occur elsewhere, from ``first`` up to ``past``."""
+    return _shared_spans(spark, base).spans_by_record().select(F.col("kind").alias("rec_kind"), F.col("id").alias("rec_id"), "first", "past")
 
 
 DOC_LIMIT, DOC_OVERLAP = 4000, 200

@@ -10,10 +10,12 @@ windows of the full length, at every position around it, in both texts.
 The cover is a perfect difference set (a line of the projective plane over a prime
 field): q + 1 of q*q + q + 1 remainders, the fewest possible.
 
-A passage shorter than a span but longer than a window may stand in very many texts.
-Pairs are not made from an anchor that more than ``HOT`` texts share; instead, the
-windows of the full length around it are hashed, which is linear in the texts, and
-those that are shared make the pairs. Windows with the same set of texts count once.
+A passage may stand in very many texts. Pairs are not made from an anchor that more
+than ``HOT`` texts share; instead, the windows of the full length around it are hashed,
+which is linear in the texts. What a record shares is told from these windows and from
+the pairs of the other anchors, at most ``HOT`` for each, so its cost does not grow with
+the square of a group. Only where all pairs are asked for do shared windows make pairs
+too; windows with the same set of texts count once.
 
 Records with the same text are one class: a task lists the windows of a text once,
 and lists are reduced to classes before pairs are made. Pairs are between classes;
@@ -125,7 +127,7 @@ def _list_anchors(min_chars: int):
 
 
 def _windows_around(min_chars: int):
-    """(window, id) of all windows of the full length around the given anchors of each text."""
+    """(window, id, start) of all windows of the full length around the given anchors of each text."""
     q, window = plan(min_chars)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -138,7 +140,7 @@ def _windows_around(min_chars: int):
                 h = h & np.uint64(0xFFFFFFFFFFFFFFFF - MAX_KINDS + 1) | np.uint64(kind)
                 s = _starts_around(start[np.isin(h, np.array(wanted, np.int64).view(np.uint64))], len(text), min_chars, window)
                 w = textops.span_hashes(p, s, s + min_chars) & np.uint64(0xFFFFFFFFFFFFFFFF - MAX_KINDS + 1) | np.uint64(kind)
-                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), rep))], names=["anchor", "id"])
+                yield pa.RecordBatch.from_arrays([pa.array(w.view(np.int64)), pa.array(np.full(len(w), rep)), pa.array(s)], names=["anchor", "id", "start"])
 
     return work
 
@@ -222,9 +224,8 @@ class SharedSpans:
 
     ``tables`` maps a kind to (rows, id column, text column, column of the group or
     None): records of one group are not compared with each other. ``members`` has a
-    row per record that is long enough: kind, id, grp, rep (smallest id with the same
-    text). ``links`` has the pairs of classes that share a span: kind, id_a < id_b
-    (representatives), spans_a, spans_b."""
+    row per record that is long enough: kind, id, grp, size (characters), rep (smallest
+    id with the same text)."""
 
     def __init__(self, tables: dict[str, tuple[DataFrame, str, str, str | None]], min_chars: int = 300) -> None:
         if len(tables) > MAX_KINDS:
@@ -240,41 +241,64 @@ class SharedSpans:
                 F.col(text_col).alias("text"),
             ).where(F.col("id").isNotNull() & (F.length("text") >= min_chars))
             records = part if records is None else records.unionAll(part)
+        self.records = records
         text_id = F.xxhash64("text", F.length("text"))
-        ids = records.select("kind", "id", "grp", text_id.alias("text_id")).distinct()
+        ids = records.select("kind", "id", "grp", F.length("text").alias("size"), text_id.alias("text_id")).distinct()
         first = ids.groupBy("kind", "text_id").agg(F.min("id").alias("rep"))
-        self.members = written(ids.join(first, ["kind", "text_id"]).select("kind", "id", "grp", "rep"), "members")
+        self.members = written(ids.join(first, ["kind", "text_id"]).select("kind", "id", "grp", "size", "rep"), "members")
         anchors = records.select("kind", "id", text_id.alias("text_id"), "text").mapInArrow(_list_anchors(min_chars), "anchor bigint, id bigint")
-        w = Window.partitionBy("anchor")
-        shared = anchors.withColumns({"low": F.min("id").over(w), "high": F.max("id").over(w)}).where("low < high").select("anchor", "id")
+        # One shuffle serves both: what is shared is counted in it, and joined to it.
+        anchors = anchors.repartition("anchor")
+        shared = anchors.join(anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "anchor", "left_semi")
         kind_of = F.col("anchor").bitwiseAND(MAX_KINDS - 1)
         reps = self.members.select("kind", "id", "rep").distinct()
-        lists = written(shared.withColumn("kind", kind_of).join(reps, ["kind", "id"]).select("anchor", "kind", "rep").distinct(), "anchors")
-        hot = lists.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
-        hot_of = written(lists.join(hot, "anchor", "left_semi").groupBy("kind", "rep").agg(F.collect_list("anchor").alias("anchors")), "hot")
+        self.lists = written(shared.withColumn("kind", kind_of).join(reps, ["kind", "id"]).select("anchor", "kind", "rep").distinct(), "anchors")
+        groups = self.members.groupBy("kind", "rep").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"))
+        self.groups = groups
+        self.hot = self.lists.groupBy("anchor").agg(F.count(F.lit(1)).alias("n")).where(F.col("n") > HOT).select("anchor")
+        hot_of = written(self.lists.join(self.hot, "anchor", "left_semi").groupBy("kind", "rep").agg(F.collect_list("anchor").alias("anchors")), "hot")
         texts_of_hot = records.where(id_filter(hot_of, "rep")("id")).select("kind", F.col("id").alias("rep"), "text")
-        around = texts_of_hot.join(hot_of, ["kind", "rep"]).select("kind", "rep", "text", "anchors").mapInArrow(_windows_around(min_chars), "anchor bigint, id bigint")
-        whole = around.withColumns({"low": F.min("id").over(w), "high": F.max("id").over(w)}).where("low < high").select("anchor", kind_of.alias("kind"), F.col("id").alias("rep")).distinct()
-        whole = written(whole, "windows")
-        member = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "rep"))
-        once = whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), member(1).alias("x"), member(2).alias("y")).groupBy("n", "x", "y").agg(F.min("anchor").alias("anchor")).select("anchor")
-        keyed = lists.join(hot, "anchor", "left_anti").select("anchor", "kind", "rep").unionAll(whole.join(once, "anchor", "left_semi").select("anchor", "kind", "rep"))
+        around = texts_of_hot.join(hot_of, ["kind", "rep"]).select("kind", "rep", "text", "anchors").mapInArrow(_windows_around(min_chars), "anchor bigint, rep bigint, start bigint")
+        around = around.withColumn("kind", kind_of).dropDuplicates(["anchor", "kind", "rep", "start"]).join(groups, ["kind", "rep"])
+        # A window counts if texts of two groups have it.
+        around = written(around, "windows")
+        none = lambda c: F.coalesce(c, F.lit(""))
+        several = around.groupBy("anchor").agg(F.min("rep").alias("r0"), F.max("rep").alias("r1"), F.min(none("g0")).alias("m0"), F.max(none("g1")).alias("m1")).where("r0 < r1 AND m0 < m1").select("anchor")
+        self.windows = around.join(several, "anchor", "left_semi").select("anchor", "kind", "rep", "start")
+        self._close: DataFrame | None = None
+
+    def _verified(self, keyed: DataFrame) -> DataFrame:
+        """(kind, id_a < id_b, spans_a, spans_b): the pairs of classes that share a key and,
+        in fact, a span."""
         a, b = keyed.select("anchor", "kind", F.col("rep").alias("id_a")), keyed.select("anchor", F.col("rep").alias("id_b"))
         pairs = a.join(b, "anchor").where("id_a < id_b").select("kind", "id_a", "id_b").distinct()
-        groups = self.members.groupBy("kind", "rep").agg(F.min("grp").alias("g0"), F.max("grp").alias("g1"))
-        ga = groups.select("kind", F.col("rep").alias("id_a"), F.col("g0").alias("a0"), F.col("g1").alias("a1"))
-        gb = groups.select("kind", F.col("rep").alias("id_b"), F.col("g0").alias("b0"), F.col("g1").alias("b1"))
+        ga = self.groups.select("kind", F.col("rep").alias("id_a"), F.col("g0").alias("a0"), F.col("g1").alias("a1"))
+        gb = self.groups.select("kind", F.col("rep").alias("id_b"), F.col("g0").alias("b0"), F.col("g1").alias("b1"))
         one_group = F.col("a0").eqNullSafe(F.col("a1")) & F.col("b0").eqNullSafe(F.col("b1")) & F.col("a0").eqNullSafe(F.col("b0"))
         candidates = written(pairs.join(ga, ["kind", "id_a"]).join(gb, ["kind", "id_b"]).where(~one_group).select("kind", "id_a", "id_b"), "candidates")
-        self.candidates = candidates
         wanted = id_filter(candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")), "id")
-        texts = records.select("kind", "id", "text").where(wanted("id"))
+        texts = self.records.select("kind", "id", "text").where(wanted("id"))
         # A record may be delivered twice: one row of each is enough.
         left = candidates.join(texts.select("kind", F.col("id").alias("id_a"), F.col("text").alias("text_a")), ["kind", "id_a"])
         both = left.join(texts.select("kind", F.col("id").alias("id_b"), F.col("text").alias("text_b")), ["kind", "id_b"])
         span = "array<struct<first bigint, past bigint>>"
-        found = both.select("kind", "id_a", "id_b", "text_a", "text_b").mapInArrow(_extend(min_chars), f"kind bigint, id_a bigint, id_b bigint, spans_a {span}, spans_b {span}")
-        self.links = written(found.dropDuplicates(["kind", "id_a", "id_b"]), "links")
+        found = both.select("kind", "id_a", "id_b", "text_a", "text_b").mapInArrow(_extend(self.min_chars), f"kind bigint, id_a bigint, id_b bigint, spans_a {span}, spans_b {span}")
+        return written(found.dropDuplicates(["kind", "id_a", "id_b"]), "links")
+
+    @property
+    def close(self) -> DataFrame:
+        """The pairs of classes that share an anchor of at most ``HOT`` texts and a span."""
+        if self._close is None:
+            self._close = self._verified(self.lists.join(self.hot, "anchor", "left_anti"))
+        return self._close
+
+    def links(self) -> DataFrame:
+        """All pairs of classes that share a span: kind, id_a < id_b (representatives)."""
+        whole = self.windows.select("anchor", "kind", "rep").distinct()
+        member = lambda seed: F.bit_xor(F.xxhash64(F.lit(seed), "rep"))
+        once = whole.groupBy("anchor").agg(F.count(F.lit(1)).alias("n"), member(1).alias("x"), member(2).alias("y")).groupBy("n", "x", "y").agg(F.min("anchor").alias("anchor")).select("anchor")
+        keyed = self.lists.join(self.hot, "anchor", "left_anti").select("anchor", "kind", "rep").unionAll(whole.join(once, "anchor", "left_semi").select("anchor", "kind", "rep"))
+        return self._verified(keyed).select("kind", "id_a", "id_b")
 
     def _named(self):
         return F.element_at(F.array(*[F.lit(k) for k in self.kinds]), F.col("kind").cast("int") + 1).alias("kind")
@@ -284,33 +308,44 @@ class SharedSpans:
         a = self.members.select("kind", F.col("rep").alias("id_a"), F.col("id").alias("x"), F.col("grp").alias("gx"))
         b = self.members.select("kind", F.col("rep").alias("id_b"), F.col("id").alias("y"), F.col("grp").alias("gy"))
         apart = ~F.col("gx").eqNullSafe(F.col("gy"))
-        linked = self.links.select("kind", "id_a", "id_b").join(a, ["kind", "id_a"]).join(b, ["kind", "id_b"]).where(apart)
+        linked = self.links().join(a, ["kind", "id_a"]).join(b, ["kind", "id_b"]).where(apart)
         copied = self.members.groupBy("kind", "rep").agg(F.count(F.lit(1)).alias("n")).where("n > 1").select("kind", "rep")
         again = self.members.join(copied, ["kind", "rep"])
         same = again.select("kind", "rep", F.col("id").alias("x"), F.col("grp").alias("gx")).join(again.select("kind", "rep", F.col("id").alias("y"), F.col("grp").alias("gy")), ["kind", "rep"]).where(apart & (F.col("x") < F.col("y")))
         every = linked.select("kind", F.least("x", "y").alias("id_a"), F.greatest("x", "y").alias("id_b")).unionAll(same.select("kind", "x", "y"))
         return every.where("id_a < id_b").distinct().select(self._named(), "id_a", "id_b")
 
-    def shared_by_record(self) -> DataFrame:
-        """Per record that is long enough: kind, id, n_linked (classes of other texts it
-        shares a span with), n_copies (other records with the same text, of another
-        group), shared_chars and n_spans (characters of its text that lie in spans shared
-        with other texts, and how many stretches they form; if n_copies > 0, all of its
-        text occurs elsewhere besides)."""
-        l = self.links
-        sides = l.select("kind", F.col("id_a").alias("rep"), F.col("id_b").alias("other"), F.explode("spans_a").alias("s")).unionAll(l.select("kind", F.col("id_b"), F.col("id_a"), F.explode("spans_b")))
-        by = Window.partitionBy("kind", "rep").orderBy("s.first", "s.past")
-        reach = F.max("s.past").over(by.rowsBetween(Window.unboundedPreceding, -1))
-        part = sides.withColumn("reach", F.coalesce(reach, F.lit(-1)))
-        spans_of = part.groupBy("kind", "rep").agg(
-            F.sum(F.greatest(F.col("s.past") - F.greatest("s.first", "reach"), F.lit(0))).alias("shared_chars"),
-            F.sum((F.col("s.first") > F.col("reach")).cast("bigint")).alias("n_spans"),
-            F.countDistinct("other").alias("n_linked"),
-        )
+    def _copies(self) -> DataFrame:
+        """members with ``n_copies``: other records with the same text, of another group."""
         sizes = self.members.groupBy("kind", "rep").agg(F.count(F.lit(1)).alias("n"))
         in_group = self.members.groupBy("kind", "rep", "grp").agg(F.count(F.lit(1)).alias("n_grp")).select(F.col("kind").alias("k"), F.col("rep").alias("r"), F.col("grp").alias("g"), "n_grp")
         same_group = (F.col("kind") == F.col("k")) & (F.col("rep") == F.col("r")) & F.col("grp").eqNullSafe(F.col("g"))
-        out = self.members.join(sizes, ["kind", "rep"]).join(in_group, same_group).select("kind", "rep", "id", (F.col("n") - F.col("n_grp")).alias("n_copies"))
-        out = out.join(spans_of, ["kind", "rep"], "left")
-        zero = lambda c: F.coalesce(c, F.lit(0)).cast("bigint").alias(c)
-        return out.select(self._named(), "id", zero("n_linked"), zero("n_copies"), zero("shared_chars"), zero("n_spans"))
+        return self.members.join(sizes, ["kind", "rep"]).join(in_group, same_group).select("kind", "rep", "id", "size", (F.col("n") - F.col("n_grp")).alias("n_copies"))
+
+    def _islands(self) -> DataFrame:
+        """(kind, rep, first, past): the stretches of each class that stand in other texts."""
+        span = lambda side, rep: self.close.select("kind", F.col(rep).alias("rep"), F.explode(side).alias("s")).select("kind", "rep", "s.first", "s.past")
+        parts = span("spans_a", "id_a").unionAll(span("spans_b", "id_b"))
+        parts = parts.unionAll(self.windows.select("kind", "rep", F.col("start").alias("first"), (F.col("start") + self.min_chars).alias("past"))).distinct()
+        by = Window.partitionBy("kind", "rep").orderBy("first", "past")
+        fresh = F.col("first") > F.coalesce(F.max("past").over(by.rowsBetween(Window.unboundedPreceding, -1)), F.lit(-1))
+        numbered = parts.withColumn("new", fresh.cast("int")).withColumn("island", F.sum("new").over(by.rowsBetween(Window.unboundedPreceding, 0)))
+        return numbered.groupBy("kind", "rep", "island").agg(F.min("first").alias("first"), F.max("past").alias("past")).drop("island")
+
+    def spans_by_record(self) -> DataFrame:
+        """(kind, id, first, past): the stretches of each record's text that occur in other
+        records, from 0, ``past`` excluded; the whole text of a record that has copies in
+        another group."""
+        out = self._copies()
+        apart = out.where("n_copies = 0").join(self._islands(), ["kind", "rep"]).select("kind", "id", "first", "past")
+        whole = out.where("n_copies > 0").select("kind", "id", F.lit(0).cast("bigint").alias("first"), F.col("size").cast("bigint").alias("past"))
+        return apart.unionAll(whole).distinct().select(self._named(), "id", "first", "past")
+
+    def shared_by_record(self) -> DataFrame:
+        """Per record that is long enough: kind, id, n_copies, shared_chars and n_spans
+        (characters of its text that occur in other records, and how many stretches they
+        form; a record with copies in another group is shared whole)."""
+        n = self._islands().groupBy("kind", "rep").agg(F.sum(F.col("past") - F.col("first")).alias("chars"), F.count(F.lit(1)).alias("spans"))
+        out = self._copies().join(n, ["kind", "rep"], "left")
+        of = lambda whole, part, name: F.when(F.col("n_copies") > 0, whole).otherwise(F.coalesce(part, F.lit(0))).cast("bigint").alias(name)
+        return out.select(self._named(), "id", F.col("n_copies").cast("bigint").alias("n_copies"), of(F.col("size"), F.col("chars"), "shared_chars"), of(F.lit(1), F.col("spans"), "n_spans")).distinct()

@@ -106,7 +106,7 @@ def _list_anchors(min_chars: int):
     q, window = plan(min_chars)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        cover = _Cover(q)
+        cover, routes = _Cover(q), textops.Routes()
         seen: set[tuple[int, int]] = set()
         for b in batches:
             kinds, ids, hashes, texts = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(2).to_pylist(), b.column(3)
@@ -121,7 +121,8 @@ def _list_anchors(min_chars: int):
                 cp, off = textops.codepoints(texts[x:y])
                 doc, _, h = _anchors(textops.prefix_hashes(cp), off, cover, window)
                 h = h & np.uint64(0xFFFFFFFFFFFFFFFF - MAX_KINDS + 1) | kinds[x:y][doc]
-                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(ids[x:y][doc])], names=["anchor", "id"])
+                own = ids[x:y][doc]
+                yield pa.RecordBatch.from_arrays([pa.array(h.view(np.int64)), pa.array(own), pa.array(routes.of(h, own))], names=["anchor", "id", "route"])
 
     return work
 
@@ -246,10 +247,9 @@ class SharedSpans:
         ids = records.select("kind", "id", "grp", F.length("text").alias("size"), text_id.alias("text_id")).distinct()
         first = ids.groupBy("kind", "text_id").agg(F.min("id").alias("rep"))
         self.members = written(ids.join(first, ["kind", "text_id"]).select("kind", "id", "grp", "size", "rep"), "members")
-        anchors = records.select("kind", "id", text_id.alias("text_id"), "text").mapInArrow(_list_anchors(min_chars), "anchor bigint, id bigint")
-        # One shuffle serves both: what is shared is counted in it, and joined to it.
-        anchors = anchors.repartition("anchor")
-        shared = anchors.join(anchors.groupBy("anchor").agg(F.min("id").alias("low"), F.max("id").alias("high")).where("low < high").select("anchor"), "anchor", "left_semi")
+        anchors = records.select("kind", "id", text_id.alias("text_id"), "text").mapInArrow(_list_anchors(min_chars), "anchor bigint, id bigint, route int")
+        w = Window.partitionBy("anchor", "route")
+        shared = anchors.withColumns({"low": F.min("id").over(w), "high": F.max("id").over(w)}).where("route > 0 OR low < high").select("anchor", "id")
         kind_of = F.col("anchor").bitwiseAND(MAX_KINDS - 1)
         reps = self.members.select("kind", "id", "rep").distinct()
         self.lists = written(shared.withColumn("kind", kind_of).join(reps, ["kind", "id"]).select("anchor", "kind", "rep").distinct(), "anchors")

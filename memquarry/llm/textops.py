@@ -134,3 +134,39 @@ def shingles(texts: list[str], n_words: int) -> tuple[np.ndarray, np.ndarray]:
     if not docs:
         return np.zeros(0, np.int64), np.zeros(0, np.uint64)
     return np.concatenate(docs), np.concatenate(values)
+
+
+class Routes:
+    """Keeps keys that many texts share from meeting in one task.
+
+    A key's rows come together where it is told whether two owners have it. Where a task
+    sees that for itself (``SURE`` rows of two owners in a batch), it sends two rows of
+    two owners there for the sake of the other tasks, and the rest, with all later rows
+    of the key, elsewhere. So the place of a key gets a few rows from each task."""
+
+    SURE, KNOWN, WAYS = 8, 1 << 20, 4096
+
+    def __init__(self) -> None:
+        self.known = np.zeros(0, np.uint64)
+
+    def of(self, keys: np.ndarray, owners: np.ndarray) -> np.ndarray:
+        """0 for rows that are to be counted by key, above 0 for rows of keys that are shared."""
+        route = np.zeros(len(keys), np.int32)
+        if not len(keys):
+            return route
+        way = 1 + (mix64(owners.view(np.uint64)) % np.uint64(self.WAYS)).astype(np.int32)
+        old = np.zeros(len(keys), bool)
+        if len(self.known):
+            at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
+            old = self.known[at] == keys
+        order = np.lexsort((owners, keys))
+        first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+        past = np.append(first[1:], len(keys))
+        low, high = order[first], order[past - 1]
+        sure = (past - first >= self.SURE) & (owners[low] != owners[high]) & ~old[low]
+        route[order] = np.where(np.repeat(sure, past - first), way[order], 0)
+        route[low[sure]] = route[high[sure]] = 0
+        route[old] = way[old]
+        if sure.any() and len(self.known) < self.KNOWN:
+            self.known = np.union1d(self.known, keys[low[sure]])
+        return route

@@ -102,10 +102,12 @@ def list_entries(docs: DataFrame, n_words: int, k: int = SKETCH) -> DataFrame:
     """The entries of the inverted lists of the documents (id, text): run, set_id, n
     (size of the set), with null id; and for each document with a non-empty set one
     more row with its id, under a key of its own. Of the texts with one set, a task
-    enters the runs of the first only."""
+    enters the runs of the first only; ``route`` parts the rows of runs that very many
+    texts share."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         seen: set[int] = set()
+        routes = textops.Routes()
         for b in batches:
             texts = [t or "" for t in b.column(1).to_pylist()]
             size, set_id, counts, runs = sketch_runs(texts, n_words, k)
@@ -121,12 +123,13 @@ def list_entries(docs: DataFrame, n_words: int, k: int = SKETCH) -> DataFrame:
             row = np.concatenate((filled, doc))
             key = np.concatenate((textops.mix64(own.view(np.uint64)), runs[np.repeat(fresh, counts)]))
             id_of = np.concatenate((own, np.zeros(len(doc), np.int64)))
+            route = np.concatenate((np.zeros(len(own), np.int32), routes.of(key[len(own) :], ids[doc])))
             yield pa.RecordBatch.from_arrays(
-                [pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(size[row].astype(np.int32)), pa.array(id_of, mask=np.arange(len(row)) >= len(own))],
-                names=["run", "set_id", "n", "id"],
+                [pa.array(key.view(np.int64)), pa.array(ids[row]), pa.array(size[row].astype(np.int32)), pa.array(id_of, mask=np.arange(len(row)) >= len(own)), pa.array(route)],
+                names=["run", "set_id", "n", "id", "route"],
             )
 
-    return docs.mapInArrow(work, "run bigint, set_id bigint, n int, id bigint")
+    return docs.mapInArrow(work, "run bigint, set_id bigint, n int, id bigint, route int")
 
 
 def _verify(threshold: float, n_words: int, k: int):
@@ -167,9 +170,9 @@ class NearDuplicates:
         if threshold < 0.55:
             raise ValueError("the threshold must be at least 0.55")
         docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
-        w = Window.partitionBy("run")
+        w = Window.partitionBy("run", "route")
         entries = list_entries(docs, n_words, k).withColumns({"low": F.min("set_id").over(w), "high": F.max("set_id").over(w)})
-        kept = written(entries.where(F.col("id").isNotNull() | (F.col("low") < F.col("high"))).select("run", "set_id", "n", "id").distinct(), "lists")
+        kept = written(entries.where(F.col("id").isNotNull() | (F.col("route") > 0) | (F.col("low") < F.col("high"))).select("run", "set_id", "n", "id").distinct(), "lists")
         self.classes = kept.where(F.col("id").isNotNull()).select("id", "set_id")
         shared = kept.where(F.col("id").isNull()).select("run", "set_id", "n")
         a = shared.select("run", F.col("set_id").alias("set_a"), F.col("n").alias("n_a"))

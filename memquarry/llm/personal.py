@@ -112,6 +112,7 @@ _ODD = re.compile("[" + re.escape("".join(LOOKALIKES)) + INVISIBLE + "]")
 _DIGIT_RUN = re.compile(rf"{_any_of(DIGIT_WORDS)}(?:[\s,.-]{{1,3}}(?:double |triple )?{_any_of(DIGIT_WORDS)}){{5,}}\b")
 _DIGIT_WORD = re.compile(r"[^\W\d_]+")
 _AT = re.compile(rf"\s*[\[({{<]\s*(?:{AT_WORDS}|a)\s*[\])}}>]\s*|(?:&#64;|%40)|\s+(?:{AT_WORDS})\s+(?=[\w-]+(?:\s+[\w-]+)?\s*(?:[\[({{]\s*(?:{DOT_WORDS})\s*[\])}}]|\s(?:{DOT_WORDS})\s))")
+_HOST = re.compile(r"[\w.-]*")
 _DOT = re.compile(rf"\s*[\[({{<]\s*(?:{DOT_WORDS}|\.)\s*[\])}}>]\s*|\s+(?:{DOT_WORDS})\s+")
 #: One of these stands in every text in which an "at" is disguised.
 _HINTS = ("at)", "at]", "at}", "at>", "at )", "at ]", "ät)", "ät]", "(a)", "[a]", "{a}", "arroba", "arobase", "klammeraffe", "chez", "&#64;", "%40", *(f"{c}{w}{d}" for w in DOT_WORDS.split("|") for c, d in ((" ", " "), ("(", ")"), ("[", "]"))))
@@ -154,14 +155,11 @@ class Normal:
         if any(h in low for h in _HINTS):
             for m in _AT.finditer(low):
                 edits.append((m.start(), m.end(), "@"))
-                # The dots that follow, as far as the address may reach.
+                # The dots that follow, as far as the address goes.
                 past = m.end()
-                for d in _DOT.finditer(low, past, past + 120):
-                    if re.fullmatch(r"[\w.-]*", low[past : d.start()]):
-                        edits.append((d.start(), d.end(), "."))
-                        past = d.end()
-                    else:
-                        break
+                while d := _DOT.match(low, _HOST.match(low, past).end()):
+                    edits.append((d.start(), d.end(), "."))
+                    past = d.end()
         self.low = low
         if edits:
             self._rewrite(sorted(edits), True)
@@ -216,7 +214,10 @@ class Normal:
 
 # Detectors ----------------------------------------------------------------------
 
-_LOCAL = re.compile(r"[\w.+%'-]*\w$")
+#: Marks within the part of an address before the "@".
+_LOCAL_MARKS = frozenset("_.+%'-")
+#: A stretch of so many characters, white space not counted.
+_NEAR, _NEARER = re.compile(r"(?:\s*\S){0,48}\s*"), re.compile(r"(?:\s*\S){0,16}\s*")
 _DOMAIN = re.compile(r"(?:[^\W_](?:[\w-]*[^\W_])?\.)+[^\W\d_]{2,24}\b")
 _EXT = r"(?:\s*(?:ext\.?|extension|x|durchwahl|poste)\s*\d{1,5}\b)?"
 _PHONE = re.compile(
@@ -273,7 +274,7 @@ _BEFORE_D = re.compile(r"(?:[:(,]|\b(?:según|a|de|con|por|para|y|e))\s+$")
 _AFTER_D = re.compile(rf"\s+{_FIRST}\s+(?:[A-Z]\.\s?)?({_SUR})")
 _AFTER_GIVEN = re.compile(rf"(?:-{_FIRST})?\s+(?:[A-Z]\.\s?)?({_SUR})")
 _AFTER_LOUD = re.compile(r"\s+(?:[A-Z]\.\s)?([A-ZÀ-Þ]{3,}(?:-[A-ZÀ-Þ]{3,})?)(?!\w)")
-_BEFORE_COMMA = re.compile(rf"(?<![\w-]){_NAME},\s$")
+_BEFORE_COMMA = re.compile(rf"{_NAME},\s")
 _INITIAL = re.compile(r"\s+[A-Z]\.(?=\s)")
 _FIRM = re.compile(rf"(?:\s+[A-Z]\w+)?,?\s+{COMPANY}")
 _DIGITS = re.compile(r"\d")
@@ -282,10 +283,12 @@ _DIGITS = re.compile(r"\d")
 def _emails(t: str) -> Iterator[tuple[int, int]]:
     at = t.find("@")
     while at >= 0:
-        local = _LOCAL.search(t, max(0, at - 80), at)
+        first = at
+        while first and (t[first - 1].isalnum() or t[first - 1] in _LOCAL_MARKS):
+            first -= 1
         domain = _DOMAIN.match(t, at + 1)
-        if local and domain:
-            yield local.start(), domain.end()
+        if first < at and domain and (t[at - 1].isalnum() or t[at - 1] == "_"):
+            yield first, domain.end()
         at = t.find("@", at + 1)
 
 
@@ -301,7 +304,7 @@ def _hits(low: str, words: tuple[str, ...]) -> Iterator[tuple[int, int]]:
 def _id_numbers(n: Normal) -> Iterator[tuple[int, int]]:
     t, seen = n.text, set()
     for i, j in _hits(n.low, _ID_HINTS):
-        for m in _ID.finditer(t, max(0, i - 32), min(len(t), j + 48)):
+        for m in _ID.finditer(t, max(0, i - 32), _NEAR.match(t, j).end()):
             if m.end() not in seen:
                 seen.add(m.end())
                 v = _ID_VALUE.match(t, m.end())
@@ -320,7 +323,7 @@ def _phones(n: Normal) -> Iterator[tuple[int, int]]:
     t = n.text
     for a, b in n.numbers:
         found = False
-        for m in _PHONE.finditer(t, a, min(len(t), b + 16)):
+        for m in _PHONE.finditer(t, a, _NEARER.match(t, b).end()):
             if m.start() >= b:
                 break
             if not (_MONEY.search(t, max(0, m.start() - 5), m.start()) or _MONEY_AFTER.match(t, m.end())):
@@ -371,10 +374,12 @@ def _persons(n: Normal) -> Iterator[tuple[int, int]]:
         if m and m[1].split()[-1].lower() not in NOT_SURNAMES and not _FIRM.match(t, m.end()):
             yield a, m.end()
         elif given and t[a - 2 : a - 1] == "," and not (t[b : b + 1] == "-" and t[b + 1 : b + 2].isdigit()):
-            before = _BEFORE_COMMA.search(t, max(0, a - 48), a)
-            if before and before[0].rstrip(", \n").lower() not in NOT_SURNAMES and not _FIRM.match(t, b):
+            first = a - 2
+            while first and (t[first - 1].isalpha() or t[first - 1] in "'’-"):
+                first -= 1
+            if _BEFORE_COMMA.fullmatch(t, first, a) and t[first : a - 2].lower() not in NOT_SURNAMES and not _FIRM.match(t, b):
                 more = _INITIAL.match(t, b)
-                yield before.start(), more.end() if more else b
+                yield first, more.end() if more else b
 
 
 def find(text: str) -> list[tuple[int, int, str]]:
@@ -382,12 +387,14 @@ def find(text: str) -> list[tuple[int, int, str]]:
     n = Normal(text)
     t = n.text
     n.numbers = [m.span() for m in _NUMBER.finditer(t)]
-    taken: list[tuple[int, int, str]] = []
+    firsts: list[int] = []
+    taken: list[tuple[int, int, str]] = []  # in order, none overlapping
     for kind, spans in (("email", _emails(t)), ("id_number", _id_numbers(n)), ("phone", _phones(n)), ("address", _addresses(n)), ("person", _persons(n))):
-        before = list(taken)
         for a, b in spans:
-            if not any(x < b and a < y for x, y, _ in before) and not any(x < b and a < y for x, y, k in taken if k == kind):
-                taken.append((a, b, kind))
+            k = bisect_right(firsts, a)
+            if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= firsts[k]):
+                firsts.insert(k, a)
+                taken.insert(k, (a, b, kind))
     return sorted((*n.span(a, b), kind) for a, b, kind in taken)
 
 

@@ -40,10 +40,22 @@ def _whole(text: str, at: int) -> bool:
     return at >= len(text) or not (unicodedata.combining(text[at]) or text[at] in "‍️" or text[at - 1] == "‍")
 
 
+def _before(text: str, at: int) -> int:
+    """Where the white space and the marks end that lie before ``at``: what stands there
+    decides how strong a boundary is, however long the white space is."""
+    block = 64
+    while at > 0 and text[max(0, at - block) : at].isspace():
+        at = max(0, at - block)
+        block *= 2
+    while at > 0 and not text[at - 1].isalnum():
+        at -= 1
+    return at
+
+
 def _cut(text: str, target: int, low: int, high: int) -> int:
     """The strongest boundary in low..high, the nearest of equals, the first of ties."""
-    seen = text[max(0, low - 80) : high + 80]
-    base = max(0, low - 80)
+    base = _before(text, low)
+    seen = text[base : high + 1]
     for kind in BOUNDARIES:
         best = None
         for m in kind.finditer(seen):

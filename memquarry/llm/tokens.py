@@ -17,9 +17,6 @@ TOKENIZERS = "/opt/tokenizers"
 VOCABULARY = "byte_bpe_50k.tiktoken"
 #: Fixed value: how the public byte-level vocabulary divides a text before merging.
 PATTERN = r"'s|'t|'re|'ve|'m|'ll|'d| ?\p{L}+| ?\p{N}+| ?[^\s\p{L}\p{N}]+|\s+(?!\S)|\s+"
-#: Text handed to the tokenizer at once: its run time grows faster than the text
-#: where there is no place to divide.
-CHUNK = 1 << 16
 
 
 @lru_cache(maxsize=4)
@@ -32,20 +29,9 @@ def encoding(folder: str = TOKENIZERS, vocabulary: str = VOCABULARY):
 
 
 def count(text: str | None, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> int:
-    """Tokens of the text; null has none. A stretch without white space longer than
-    CHUNK is counted in parts of that length."""
-    if not text:
-        return 0
-    enc, total, first = encoding(folder, vocabulary), 0, 0
-    while len(text) - first > CHUNK:
-        # A part ends before white space that follows a word, where the pattern divides anyway.
-        at = max(text.rfind(" ", first + 1, first + CHUNK), first)
-        while at > first and text[at - 1].isspace():
-            at -= 1
-        past = at if at > first else first + CHUNK
-        total += len(enc.encode_ordinary(text[first:past]))
-        first = past
-    return total + len(enc.encode_ordinary(text[first:]))
+    """Tokens of the whole text; null has none. The encoder's time is in proportion to the
+    text, also where nothing divides it."""
+    return len(encoding(folder, vocabulary).encode_ordinary(text)) if text else 0
 
 
 def n_tokens(text_col: str, folder: str = TOKENIZERS, vocabulary: str = VOCABULARY) -> Column:

@@ -77,3 +77,20 @@ def test_table(spark):
     assert by[2][0].text is None and by[2][0].spans == [] and by[3][0].text == "" and by[4][0].text == "nothing"
     assert by[None][0].text == "[PERSON]" and len(by[5][0].spans) == 3000
     assert P.scan(df.limit(0), "notes", "rec_id", "text").count() == 0
+
+
+def test_reaches_are_not_fixed():
+    local = "x" * 300 + ".y"
+    assert kinds(f"to {local}@mail.test now") == [(f"{local}@mail.test", "email")]
+    host = ".".join(["part" * 10] * 6)
+    assert kinds(f"to anna (at) {host} (dot) test now") == [(f"anna (at) {host} (dot) test", "email")]
+    assert kinds("passport number:" + " " * 400 + "P0860560612 is") == [("P0860560612", "id_number")]
+    assert kinds("Call (917) 555-0166" + " " * 60 + "ext. 20 if late") == [("(917) 555-0166" + " " * 60 + "ext. 20", "phone")]
+    name = "Harr" + "bury" * 20
+    assert kinds(f"Signed: {name}, Grace The") == [(f"{name}, Grace", "person")]
+
+
+def test_many_spans_of_a_text_stay_in_order():
+    text = "x@y.test and Call (917) 555-0166, " * 20_000
+    found = P.find(text)
+    assert len(found) == 40_000 and found == sorted(found)

@@ -8,8 +8,10 @@ and their spans are mapped back, so that the rest of the text stays as it was.
 
 Kinds: ``email``, ``phone``, ``id_number`` (tax, social insurance, passport,
 identity card, driving licence), ``address`` (with a house number), ``person`` (a
-name with first name or title). Where spans overlap, the earlier kind of this
-order holds: email, id_number, phone, address, person.
+name with first name or title). A person is told by a title, by a first name of the
+lists, or, whatever the name, by what stands around two capitalised words: a lead that
+only persons have, what only persons do, or weaker signs on both sides. Where spans
+overlap, the earlier kind of this order holds: email, id_number, phone, address, person.
 
 Defined results: null texts give no spans and stay null; texts of any length are
 read whole; repeated rows give the same result.
@@ -266,6 +268,7 @@ _NAME = r"[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'’]+(?:-[A-ZÀ-ÖØ-Þ][a-zà-öø-ÿ'
 _SUR = rf"(?:(?:von|van|de|del|di|du|la|le|der|zu|O['’]|Mc|Mac)\s?)*{_NAME}"
 _FIRST = _any_of(sorted(set(GIVEN + MORE_GIVEN)))
 _LEAD = re.compile(_any_of(sorted({*GIVEN, *MORE_GIVEN, *TITLES, "M.", "D."} | {w.upper() for w in GIVEN + MORE_GIVEN})))
+_TITLES = {*TITLES}
 _ALL_GIVEN = {*GIVEN, *MORE_GIVEN}
 _AFTER_TITLE = re.compile(rf"\.?\s+(?:(?:{_any_of(TITLES)})\.?\s+)?(?:{_NAME}\s+)?(?:[A-Z]\.\s?)?({_SUR})")
 _TITLE_ONLY = re.compile(rf"\.?\s+(?:(?:{_any_of(TITLES)})\.?\s+)?(?:[A-Z]\.\s?)?({_SUR})")
@@ -278,6 +281,23 @@ _BEFORE_COMMA = re.compile(rf"{_NAME},\s")
 _INITIAL = re.compile(r"\s+[A-Z]\.(?=\s)")
 _FIRM = re.compile(rf"(?:\s+[A-Z]\w+)?,?\s+{COMPANY}")
 _DIGITS = re.compile(r"\d")
+# Names that no list holds are told by what stands around them. Words that
+# lead in a person, in the four languages; words that may lead in a company as well; what
+# only persons do; what persons and companies do.
+LEADS = set(
+    """dear hi hello regards, sincerely, cheers, signed: signed attn. attn: attention: from: to: cc: bcc: author: witness: name: contact: gezeichnet: gez. von: an:
+    ansprechpartner: ansprechpartnerin: hallo liebe lieber name: zeuge: grüßen, signé: contact: auteur: témoin: bonjour chère cher cordialement, firmado: contacto: autor: testigo:
+    hola querida querido estimada estimado atentamente, nombre:""".split()
+) | {
+    "spoke with", "spoke to", "speak with", "speak to", "talked with", "talked to", "talk to", "met with", "meet with", "meeting with", "interview with", "interviewed", "named", "signed by", "witnessed by", "written by", "reported by", "handed to",
+    "witness details:", "my colleague", "our colleague", "his wife", "her husband", "ansprechpartner ist", "ansprechpartnerin ist", "gespräch mit", "gesprochen mit", "sprach mit", "spreche mit", "telefonat mit", "kollege", "kollegin", "schlüssel bekam",
+    "parlé avec", "parlé à", "parler à", "entretien avec", "collègue", "remises à", "hablé con", "hablado con", "hablar con", "reunión con", "entregaron a", "colega",
+}
+WEAK_LEADS = {"according to", "delivery for", "verify that", "go to", "sent by", "approved by", "prepared by", "reviewed by", "call", "ask", "asked", "told", "laut", "auskunft von", "post für", "selon", "según"}
+DOES = {"lives", "lived", "resides", "ever", "wohnt", "wohnte", "habite", "habitait", "vive", "vivía", "reside", "phoned", "smiled", "retired", "née", "born", "geboren", "né", "nacida", "nacido"}
+MAY_DO = {"said", "says", "wrote", "writes", "asked", "told", "called", "replied", "answered", "thinks", "confirmed", "signed", "gave", "nobody", "sagte", "schrieb", "hat", "bestätigte", "fragte", "a", "écrit", "dit", "confirme", "dijo", "escribió", "confirmó", "firmó", "aprobó", "reachable", "tel", "tel.", "tél.", "phone"}
+_TWO_NAMES = re.compile(rf"(?<![\w-])({_NAME})\s+(?:[A-Z]\.\s?)?({_SUR})(?![\w-])")
+_CONTACT = re.compile(r"\s*[,/:]?\s*[<(]?\s*(?:mailto:)?[\w.+%'-]+@")
 
 
 def _emails(t: str) -> Iterator[tuple[int, int]]:
@@ -382,6 +402,34 @@ def _persons(n: Normal) -> Iterator[tuple[int, int]]:
                 yield first, more.end() if more else b
 
 
+def _lead(low: str, at: int) -> int:
+    """2 if what stands before leads in a person, 1 if a person or a company, else 0."""
+    before = low[max(0, at - 40) : at].split()
+    if before and before[-1] == ":":
+        before[-2:] = ["".join(before[-2:])]
+    one, two = before[-1:] or [""], " ".join(before[-2:])
+    return 2 if one[0] in LEADS or two in LEADS else int(one[0] in WEAK_LEADS or two in WEAK_LEADS)
+
+
+def _named_by_context(n: Normal) -> Iterator[tuple[int, int]]:
+    """Two capitalised words in a place for persons: a lead that only persons have, or what
+    only persons do after it, or a weaker sign on both sides."""
+    t, m = n.text, _TWO_NAMES.search(n.text)
+    while m:
+        first = m.span(1)
+        words = m[1], m[2].split()[-1]
+        if t[slice(*first)].lower() in LEADS or m[1] in _TITLES:  # the name begins with the next word
+            m = _TWO_NAMES.search(t, first[1])
+            continue
+        if not any(w.lower() in NOT_SURNAMES or w in _TITLES for w in words) and not _FIRM.match(t, m.end()):
+            lead = _lead(n.low, m.start())
+            after = n.low[m.end() : m.end() + 24].lstrip(" ,:").split(None, 1)[:1] or [""]
+            does = 2 if after[0] in DOES or _CONTACT.match(t, m.end()) else int(after[0] in MAY_DO or after[0][:1].isdigit() or after[0] in ("at", "flat"))
+            if lead == 2 or does == 2 or lead and does:
+                yield m.span()
+        m = _TWO_NAMES.search(t, m.end())
+
+
 def find(text: str) -> list[tuple[int, int, str]]:
     """(first, past, kind) of the spans in the source text, in order, none overlapping."""
     n = Normal(text)
@@ -389,7 +437,7 @@ def find(text: str) -> list[tuple[int, int, str]]:
     n.numbers = [m.span() for m in _NUMBER.finditer(t)]
     firsts: list[int] = []
     taken: list[tuple[int, int, str]] = []  # in order, none overlapping
-    for kind, spans in (("email", _emails(t)), ("id_number", _id_numbers(n)), ("phone", _phones(n)), ("address", _addresses(n)), ("person", _persons(n))):
+    for kind, spans in (("email", _emails(t)), ("id_number", _id_numbers(n)), ("phone", _phones(n)), ("address", _addresses(n)), ("person", _persons(n)), ("person", _named_by_context(n))):
         for a, b in spans:
             k = bisect_right(firsts, a)
             if (k == 0 or taken[k - 1][1] <= a) and (k == len(taken) or b <= firsts[k]):

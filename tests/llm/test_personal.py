@@ -94,3 +94,26 @@ def test_many_spans_of_a_text_stay_in_order():
     text = "x@y.test and Call (917) 555-0166, " * 20_000
     found = P.find(text)
     assert len(found) == 40_000 and found == sorted(found)
+
+
+@pytest.mark.parametrize(
+    ("text", "name"),
+    [
+        ("I spoke with Priya Raman yesterday", "Priya Raman"),
+        ("Dear Kwame Mensah, the annex", "Kwame Mensah"),
+        ("Signed: Giulia Bianchi", "Giulia Bianchi"),
+        ("Best regards,\nYuki Tanaka", "Yuki Tanaka"),
+        ("Torsten Wagner wohnt in", "Torsten Wagner"),
+        ("Oluwaseun Adebayo (see x@y.test)", None),
+        ("According to Aarav Patel-Singh, nobody had", "Aarav Patel-Singh"),
+        ("Nous avons parlé avec Ngozi Okafor hier", "Ngozi Okafor"),
+        ("Ayer hablé con Xiu O'Brien y", "Xiu O'Brien"),
+        ("I spoke with Zinlund Marine Ltd yesterday", None),
+        ("According to Belontvia Goods, nobody had", None),
+        ("approved by Quarterly Review of the board", None),
+    ],
+)
+def test_names_that_no_list_holds(text, name):
+    listed = {*P.GIVEN, *P.MORE_GIVEN}
+    assert name is None or name.split()[0] not in listed
+    assert [s for s, k in kinds(text) if k == "person"] == ([name] if name else [])

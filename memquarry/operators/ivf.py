@@ -18,7 +18,7 @@ from dataclasses import dataclass
 
 import numpy as np
 import pyarrow as pa
-from pyspark.sql import DataFrame
+from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memquarry.operators import vectors
@@ -74,8 +74,35 @@ class CellIndex:
         kind = dict(rows.dtypes)["embedding"]
         placed = usable.mapInArrow(assign, f"id bigint, embedding {kind}, cell int")
         path = path or new_path(spark, "cells")
-        placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.parquet(path)
-        return CellIndex(spark.read.schema(placed.schema).parquet(path), c, path)
+        placed.repartitionByRange("cell", "id").sortWithinPartitions("cell", "id").write.parquet(f"{path}/rows")
+        spark.createDataFrame([(i, v.tolist()) for i, v in enumerate(c)], "cell int, centroid array<double>").coalesce(1).write.parquet(f"{path}/centroids")
+        return CellIndex.open(spark, path)
+
+    @staticmethod
+    def open(spark: SparkSession, path: str) -> "CellIndex":
+        """An index that was built before. Its centroids are written last: without them it is
+        not whole and cannot be opened."""
+        c = spark.read.parquet(f"{path}/centroids").orderBy("cell").limit(MOST_CELLS).toPandas()
+        return CellIndex(spark.read.parquet(f"{path}/rows"), np.array(c["centroid"].tolist(), np.float64), path)
+
+    def faults(self, rows: DataFrame) -> DataFrame:
+        """(id, fault) where the index and the usable rows (id, embedding) it was built from
+        differ: \"missing\", \"extra\", \"changed\", or \"cell\" for a row in the wrong cell."""
+        dim, shared = self.centroids.shape[1], rows.sparkSession.sparkContext.broadcast(self.centroids)
+
+        def off(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+            for b in batches:
+                _, x = unit_rows(b.column(1), dim)
+                best = (x @ shared.value.T).max(1, initial=-2)
+                own = (x * shared.value[b.column(2).to_numpy()]).sum(1)
+                yield pa.RecordBatch.from_arrays([b.column(0), b.column(1), pa.array(own < best - 1e-9)], names=["id", "mine", "off"])
+
+        kind = dict(self.rows.dtypes)["embedding"]
+        mine = self.rows.mapInArrow(off, f"id bigint, mine {kind}, off boolean")
+        usable = rows.select(F.col("id").cast("bigint").alias("id"), F.col("embedding").alias("theirs")).where((F.size("embedding") == dim) & ~F.exists("embedding", lambda v: v.isNull() | F.isnan(v) | F.abs(v).isin(float("inf"))))
+        both = mine.join(usable, "id", "full_outer")
+        fault = F.when(F.col("mine").isNull(), "missing").when(F.col("theirs").isNull(), "extra").when(F.col("mine") != F.col("theirs"), "changed").when(F.col("off"), "cell")
+        return both.select("id", fault.alias("fault")).where("fault IS NOT NULL")
 
     def search(self, queries: list[tuple[int, list[float]]], k: int, probes: int, min_score: float | None = None, exclude_self: bool = False) -> DataFrame:
         """(query, id, score) for a block of queries; the cells probed are a filter of the scan."""

@@ -14,7 +14,7 @@ import uuid
 from pyspark.sql import DataFrame, SparkSession
 
 _local: list[str] = []
-_written: list[tuple[SparkSession, str]] = []
+_written: list[tuple] = []
 
 
 def shared_dir(spark: SparkSession) -> str:
@@ -32,7 +32,8 @@ def shared_dir(spark: SparkSession) -> str:
 def new_path(spark: SparkSession, label: str) -> str:
     """A path in the shared folder that nothing uses yet; removed when the driver ends."""
     path = f"{shared_dir(spark)}/{label}-{uuid.uuid4().hex}"
-    _written.append((spark, path))
+    # Kept as objects of the JVM, which outlives the session: a session that was stopped leaves nothing behind.
+    _written.append((spark.sparkContext._jvm.org.apache.hadoop.fs.Path(path), spark.sparkContext._jsc.hadoopConfiguration()))
     return path
 
 
@@ -45,11 +46,12 @@ def written(df: DataFrame, label: str) -> DataFrame:
 
 
 @atexit.register
-def _remove() -> None:
-    for spark, path in _written:
+def release() -> None:
+    """Removes everything written so far. A program that runs many queries may call it
+    between two of them, once their results have been taken."""
+    while _written:
+        path, conf = _written.pop()
         try:
-            jvm = spark.sparkContext._jvm
-            p = jvm.org.apache.hadoop.fs.Path(path)
-            p.getFileSystem(spark.sparkContext._jsc.hadoopConfiguration()).delete(p, True)
-        except Exception:  # the session has ended: nothing to do
+            path.getFileSystem(conf).delete(path, True)
+        except Exception:  # the JVM has ended: nothing can be done
             pass

@@ -6,7 +6,9 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memquarry.operators import change_store, row_errors
+from memquarry.plans.scratch import new_path, written
 from memquarry.queries import Registry
+from memquarry.sources import binary, snapshots
 from memquarry.sources.tables import micros, table
 
 R = Registry()
@@ -70,6 +72,31 @@ def p1_compacted(spark: SparkSession, base: str) -> DataFrame:
     return change_store.ChangeStore(spark, store.path).state(NOW_NS)
 
 
+@R.query(_P1_SQL)
+def snapshot_restored(spark: SparkSession, base: str) -> DataFrame:
+    """The state written as a snapshot and read through its pointer."""
+    path = new_path(spark, "snapshot")
+    snapshots.write_snapshot(_fed(spark, base, change_store.ChangeStore(spark), 1).state(NOW_NS), path, 1, keep_tenants_apart=False)
+    return snapshots.read_snapshot(spark, path)[0]
+
+
+@R.query(_P1_SQL)
+def backup_restored(spark: SparkSession, base: str) -> DataFrame:
+    """The state copied with its manifest, checked and read from the copy."""
+    state = written(_fed(spark, base, change_store.ChangeStore(spark), 1).state(NOW_NS), "state")
+    copy = new_path(spark, "backup")
+    snapshots.backup(spark, state.inputFiles()[0].rsplit("/", 1)[0], copy)
+    return snapshots.restore(spark, copy)
+
+
+@R.query("""WITH e AS (SELECT DISTINCT tenant_id, seq, effect_no, type, key, space, id, value, expires_at, vector FROM changelog WHERE seq IS NOT NULL)
+SELECT tenant_id, seq, (row_number() OVER (PARTITION BY tenant_id, seq ORDER BY effect_no, type, key, space, id, value, vector, expires_at) - 1)::INTEGER AS effect_no, type::INTEGER AS type, key, id, value, len(vector)::INTEGER AS dim FROM e""")
+def wal_scan(spark: SparkSession, base: str) -> DataFrame:
+    """The log packed into checked frames and read again."""
+    blobs = binary.packed_frames(table(spark, base, "changelog").where("seq IS NOT NULL"), "blob")
+    return binary.frames_of(blobs, "blob").select("tenant_id", "seq", "effect_no", "type", "key", "id", "value", F.when(F.col("vector").isNotNull(), F.size("vector")).alias("dim"))
+
+
 _FIELD = r"""("(?:[^"]|"")*"|[^",][^,]*|)"""
 _P4_CHECKED = rf"""
 WITH records AS (

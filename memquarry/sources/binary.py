@@ -88,16 +88,47 @@ def decode_frames(data: bytes, torn_end: bool) -> Iterator[dict]:
 FRAME_ROWS = "tenant_id string, seq bigint, effect_no int, ts_ns bigint, type int, key string, space string, id string, value string, vector array<float>, expires_at bigint"
 
 
+_NAMES = [c.split()[0] for c in FRAME_ROWS.split(", ")]
+
+
+def _rows(frames: Iterator[dict]) -> pd.DataFrame:
+    rows = [[f.get("tenant_id"), f["seq"], i, f.get("ts_ns"), *(e.get(k) for k in _NAMES[4:])] for f in frames for i, e in enumerate(f["effects"])]
+    return pd.DataFrame(rows, columns=_NAMES).astype({"seq": "int64", "effect_no": "int32", "ts_ns": "Int64", "type": "Int32", "expires_at": "Int64"})
+
+
 def read_log(spark: SparkSession, folder: str, current: str = "log.current") -> DataFrame:
     """The effects of all log files of a folder, a row each. Only the file being written
     (``current``) may end with a torn frame."""
     files = spark.read.format("binaryFile").option("pathGlobFilter", "log.*").load(folder).select("path", "content")
-    names = [c.split()[0] for c in FRAME_ROWS.split(", ")]
 
     def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
         for p in parts:
             for path, data in zip(p["path"], p["content"]):
-                rows = [[f.get("tenant_id"), f["seq"], i, f.get("ts_ns"), *(e.get(k) for k in names[4:])] for f in decode_frames(bytes(data), path.endswith("/" + current)) for i, e in enumerate(f["effects"])]
-                yield pd.DataFrame(rows, columns=names).astype({"seq": "int64", "effect_no": "int32", "ts_ns": "Int64", "type": "Int32", "expires_at": "Int64"})
+                yield _rows(decode_frames(bytes(data), path.endswith("/" + current)))
 
     return files.mapInPandas(work, FRAME_ROWS)
+
+
+def packed_frames(changes: DataFrame, blob: str) -> DataFrame:
+    """A blob of frames per batch of transactions (tenant_id, seq), effects in order."""
+    frames = changes.groupBy("tenant_id", "seq").agg(F.max("ts_ns").alias("ts_ns"), F.to_json(F.array_sort(F.collect_set(F.struct("effect_no", *_NAMES[4:])))).alias("effects"))
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            if len(p):
+                made = (encode_frame({"tenant_id": t, "seq": s, "ts_ns": None if pd.isna(n) else int(n), "effects": json.loads(e)}) for t, s, n, e in zip(p["tenant_id"], p["seq"].tolist(), p["ts_ns"], p["effects"]))
+                yield pd.DataFrame({blob: [b"".join(made)]})
+
+    return frames.mapInPandas(work, f"{blob} binary")
+
+
+def frames_of(blobs: DataFrame, blob: str) -> DataFrame:
+    """The effects of all frames of all blobs, which must be whole; null blobs give nothing."""
+
+    def work(parts: Iterator[pd.DataFrame]) -> Iterator[pd.DataFrame]:
+        for p in parts:
+            for b in p[blob]:
+                if b is not None:
+                    yield _rows(decode_frames(bytes(b), False))
+
+    return blobs.select(blob).mapInPandas(work, FRAME_ROWS)

@@ -7,9 +7,6 @@ another trigger; its checkpoint lies in the shared folder.
 
 from __future__ import annotations
 
-from collections.abc import Iterator
-
-import pandas as pd
 from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
@@ -28,44 +25,33 @@ def table_stream(spark: SparkSession, base: str, name: str, files_per_batch: int
     return reader.parquet(f"{base}/{name}.parquet") if folder else reader.option("pathGlobFilter", f"{name}.parquet").parquet(base)
 
 
-def follow(feed: DataFrame, store: ChangeStore, trigger: dict | None = None) -> ChangeStore:
-    """Appends a feed to a store, a run per task and batch. A batch that is repeated
-    after a failure leaves the state as it was: applying a change twice does nothing."""
-    q = feed.writeStream.foreachBatch(lambda batch, _: store.append(batch)).option("checkpointLocation", new_path(feed.sparkSession, "feed")).trigger(**(trigger or NOW)).start()
+def follow(feed: DataFrame, store: ChangeStore, trigger: dict | None = None, checkpoint: str | None = None) -> ChangeStore:
+    """Appends a feed to a store, a run per batch. How far the feed has been read is kept
+    in ``checkpoint``, a folder of the store if not given, so a feed that is followed again
+    goes on where it was. A batch that is repeated after a failure leaves the state as it
+    was: applying a change twice does nothing."""
+    q = feed.writeStream.foreachBatch(lambda batch, _: store.append(batch)).option("checkpointLocation", checkpoint or f"{store.path}/followed").trigger(**(trigger or NOW)).start()
     q.awaitTermination()
     return store
 
 
-GROUP_STATE = "cursor bigint, pending array<bigint>, delivered bigint"
-GROUP_RESULT = "stream string, cursor bigint, delivered bigint, n_pending bigint"
-
-
-def consumer_group(entries: DataFrame, trigger: dict | None = None) -> DataFrame:
-    """The state of a group on each stream after all (stream, entry, acked): entries are
-    delivered in order behind the group's cursor, what is not acknowledged stays pending.
+def consumer_group(entries: DataFrame, trigger: dict | None = None, folder: str | None = None) -> DataFrame:
+    """(stream, cursor, delivered, n_pending) of a group on each stream after all (stream,
+    entry, acked): entries are delivered once, in order; what is not acknowledged in any
+    row stays pending.
 
-    The pending list is the group's state; a consumer that never acknowledges makes it grow."""
+    The state is kept by entry, not by stream: a stream with most of the entries is spread
+    over all tasks, and its rows are combined before the shuffle. ``folder`` keeps state
+    and results from one call to the next."""
     spark = entries.sparkSession
-    out = new_path(spark, "groups")
-
-    def step(key: tuple, parts: Iterator[pd.DataFrame], state) -> Iterator[pd.DataFrame]:
-        cursor, waiting, delivered = state.get if state.exists else (-1, [], 0)
-        waiting = set(waiting)
-        rows = pd.concat(list(parts)).sort_values("entry")
-        for e, acked in zip(rows["entry"].tolist(), rows["acked"].tolist()):
-            if e > cursor:
-                cursor, delivered = e, delivered + 1
-                waiting.add(e)
-            if acked:
-                waiting.discard(e)
-        state.update((cursor, sorted(waiting), delivered))
-        yield pd.DataFrame({"stream": [key[0]], "cursor": [cursor], "delivered": [delivered], "n_pending": [len(waiting)]})
-
-    states = entries.groupBy("stream").applyInPandasWithState(step, GROUP_RESULT, GROUP_STATE, "update", "NoTimeout")
-    q = states.writeStream.outputMode("update").foreachBatch(lambda b, i: b.withColumn("batch", F.lit(i)).write.mode("append").parquet(out)).option("checkpointLocation", new_path(spark, "groups-state")).trigger(**(trigger or NOW)).start()
+    folder = folder or new_path(spark, "groups")
+    seen = entries.groupBy("stream", "entry").agg(F.bool_or("acked").alias("acked"))
+    put = lambda b, i: b.write.mode("overwrite").parquet(f"{folder}/entries/batch={i}")
+    q = seen.writeStream.outputMode("update").foreachBatch(put).option("checkpointLocation", f"{folder}/state").trigger(**(trigger or NOW)).start()
     q.awaitTermination()
-    seen = spark.read.schema(GROUP_RESULT + ", batch bigint").parquet(out)
-    return seen.groupBy("stream").agg(F.max_by(F.struct("cursor", "delivered", "n_pending"), "batch").alias("s")).select("stream", "s.*")
+    kind = ", ".join(f"{c} {t}" for c, t in entries.select("stream", "entry", "acked").dtypes)
+    last = spark.read.schema(kind).parquet(f"{folder}/entries").groupBy("stream", "entry").agg(F.bool_or("acked").alias("acked"))
+    return last.groupBy("stream").agg(F.max("entry").alias("cursor"), F.count(F.lit(1)).alias("delivered"), F.count_if(~F.coalesce("acked", F.lit(False))).alias("n_pending"))
 
 
 # Time windows: the same transformations on a table and on a stream (with a watermark).

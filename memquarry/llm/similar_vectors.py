@@ -2,25 +2,32 @@
 
 Multi-index hashing: rotations learned on a bounded sample (iterative
 quantisation: the rotation for which the signs lose least) turn each vector into
-a binary code of ``tables`` substrings of 16 bits, and each substring has its own
-index. A pair is retrieved if some substring differs in at most one bit. By the
+a binary code of ``tables`` substrings, and each substring has its own index. A
+pair is retrieved if some substring differs in at most ``reach`` bits. By the
 pigeonhole principle that finds every pair of codes within a Hamming radius of
-2 * tables - 1; what it finds beyond is kept up to ``max_hamming`` and all of it
-is ranked again with the vectors themselves. A pair with cosine 0.9 has the
-chance of about 0.31 to be found by one table and of 0.99 by twelve; closer pairs
-have more. Cosines reported are exact.
+(reach + 1) * tables - 1; what it finds beyond is kept up to ``max_hamming`` and
+all of it is ranked again with the vectors themselves. Cosines reported are exact.
+
+Substrings are 8 * (reach + 1) bits: 16 bits and one bit of difference, 24 and two,
+32 and three. Each of these finds a pair with cosine 0.9 by one table with a chance
+of about 0.31 and by twelve with 0.99; closer pairs have more. What differs is the
+work: short substrings share their values with n / 2**16 others, long ones are
+looked up under more masks. ``reach_for`` takes the cheaper for the size of the
+largest collection, so the recall is the same at every size and the compares of a
+vector do not grow in step with its collection.
+
+Within a substring the pigeonhole principle holds once more: a pair within reach
+agrees in one of its reach + 1 bytes. An index is divided into cells by each of
+them, so every code has tables * (reach + 1) entries, however large its collection.
+A cell that is too large for one task, as when many vectors share a byte, is
+divided into blocks, each pair of which is one unit of work. A collection that fits
+one cell is not divided. Equal vectors are one class, which has one entry however
+many they are.
 
 That gives the neighbours above a cosine. ``complete`` gives every vector its k: those
 for which the index has fewer are compared with their whole collection, exactly, in
 blocks of queries and rows.
 
-The index of a collection is divided into cells by the leading bits of the
-substring, more of them the larger the collection, so that a cell stays small; a
-code whose leading bits differ in one bit from a cell's visits it. A cell that is
-still too large, as when many vectors share a substring, is divided into blocks,
-each pair of which is one unit of work. Equal vectors are one class, which has
-one entry however many they are.
-
 Defined results: of each id the row with the highest generation counts (null is
 lowest; of equal ones any repeat, or else the one that hashes highest); it is live
 if not a tombstone (null: it is not) and its embedding has ``dim`` finite numbers
@@ -31,6 +38,8 @@ cosine are ranked by id.
 from __future__ import annotations
 
 from collections.abc import Iterator
+from functools import lru_cache
+from itertools import combinations
 
 import numpy as np
 import pyarrow as pa
@@ -38,18 +47,24 @@ import pyarrow.compute
 from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
+from memquarry.operators import blocks
 from memquarry.plans.bloom import id_filter
 from memquarry.plans.scratch import written
 
-BITS = 16
 #: Rows of the sample on which the rotations are learned.
 SAMPLE = 4096
-#: Codes that a cell should have, and that a unit of work may have at most.
-CELL, UNIT = 8192, 32768
+#: Codes of a collection that is not divided, and codes that a unit of work may have.
+CELL, UNIT = 8192, 1 << 16
+#: Sizes of a collection above which longer substrings are cheaper: a compare takes about
+#: 5 ns, a look-up 100 ns.
+LONGER = (1 << 25, 1 << 33)
 #: Pairs compared at once.
 CHUNK = 1 << 20
-#: Queries and rows of a unit of the exact pass.
-SCAN = 1 << 17
+
+
+def reach_for(n: int) -> int:
+    """The reach that costs least for collections of up to ``n`` vectors."""
+    return 1 + sum(n > size for size in LONGER)
 
 
 def learn_rotations(sample: np.ndarray, bits: int, seed: int = 11, rounds: int = 20) -> np.ndarray:
@@ -94,34 +109,27 @@ def _codes(rotations: np.ndarray, dim: int):
     return work
 
 
-def _spread(tables: int):
-    """The rows of the index: of each code its own cells and those it visits."""
+def _bytes(codes: np.ndarray) -> np.ndarray:
+    """The codes' bytes, a row each; substring t has those from t * (reach + 1) on."""
+    return np.ascontiguousarray(codes).view(np.uint8).reshape(len(codes), 8 * codes.shape[1])
+
+
+def _spread(tables: int, reach: int):
+    """The rows of the index: of each code its cells, or the one of its whole collection."""
+    n_bytes = tables * (reach + 1)
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            ids, coll, lead = b.column(0).to_numpy(), b.column(1).to_numpy(), b.column(3).to_numpy()
-            words = b.column(2)
-            n_words = len(words.values) // max(len(words), 1) if len(words) else 0
-            codes = words.flatten().to_numpy().reshape(len(ids), n_words).view(np.uint64)
-            parts = []  # row, table, prefix, visits
-            whole = np.flatnonzero(lead == 0)
-            parts.append((whole, np.full(len(whole), -1), np.zeros(len(whole), np.int64), np.zeros(len(whole), bool)))
-            for bits in np.unique(lead[lead > 0]).tolist():
-                rows = np.flatnonzero(lead == bits)
-                for t in range(tables):
-                    top = (codes[rows, t // 4] >> np.uint64(16 * (t % 4)) & np.uint64(0xFFFF)).astype(np.int64) >> (BITS - bits)
-                    parts.append((rows, np.full(len(rows), t), top, np.zeros(len(rows), bool)))
-                    for j in range(bits):
-                        zero = (top >> j & 1) == 0
-                        parts.append((rows[zero], np.full(int(zero.sum()), t), top[zero] | 1 << j, np.ones(int(zero.sum()), bool)))
-            row, table, prefix, visits = (np.concatenate(c) for c in zip(*parts))
+            coll, words, whole = b.column(1).to_numpy(), b.column(2), b.column(3).to_numpy(zero_copy_only=False)
+            codes = words.flatten().to_numpy().reshape(len(coll), -1).view(np.uint64) if len(coll) else np.zeros((0, 1), np.uint64)
+            divided = np.flatnonzero(~whole)
+            row = np.concatenate((np.flatnonzero(whole), np.repeat(divided, n_bytes)))
+            part = np.concatenate((np.full(int(whole.sum()), -1), np.tile(np.arange(n_bytes), len(divided))))
+            value = np.concatenate((np.zeros(int(whole.sum()), np.int64), _bytes(codes[divided])[:, :n_bytes].ravel().astype(np.int64)))
             with np.errstate(over="ignore"):
-                cell = coll[row].view(np.uint64) + (table + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (prefix + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
+                cell = coll[row].view(np.uint64) + (part + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (value + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             where = pa.array(row)
-            yield pa.RecordBatch.from_arrays(
-                [pa.array(cell.view(np.int64)), b.column(0).take(where), words.take(where), pa.array(table.astype(np.int32)), pa.array(lead[row].astype(np.int32)), pa.array(visits)],
-                names=["cell", "id", "words", "tab", "lead", "visits"],
-            )
+            yield pa.RecordBatch.from_arrays([pa.array(cell.view(np.int64)), b.column(0).take(where), words.take(where), pa.array(part.astype(np.int32))], names=["cell", "id", "words", "part"])
 
     return work
 
@@ -150,42 +158,47 @@ def _expand(codes: np.ndarray, x: np.ndarray, start: np.ndarray, count: np.ndarr
         first = past
 
 
-def _pairs_of_table(codes: np.ndarray, table: int, lead: int, visits: np.ndarray, most: int):
-    """Near pairs whose substring ``table`` differs in at most one bit."""
-    value = (codes[:, table // 4] >> np.uint64(16 * (table % 4)) & np.uint64(0xFFFF)).astype(np.int64)
-    low_mask = (1 << (BITS - lead)) - 1
-    low = value & low_mask
-    own = np.flatnonzero(~visits)
-    order = own[np.argsort(low[own], kind="stable")]
-    sorted_low = low[order]
-
-    def lookup(x: np.ndarray, wanted: np.ndarray):
-        a, b = np.searchsorted(sorted_low, wanted, side="left"), np.searchsorted(sorted_low, wanted, side="right")
-        return _expand(codes, x, a, b - a, order, most)
-
-    # Equal substrings: each with those after it in the order.
-    past = np.searchsorted(sorted_low, sorted_low, side="right")
-    place = np.arange(len(order))
-    yield from _expand(codes, order, place + 1, past - place - 1, order, most)
-    for j in range(BITS - lead):
-        x = own[(low[own] >> j & 1) == 0]
-        yield from lookup(x, low[x] | 1 << j)
-    guests = np.flatnonzero(visits)
-    if len(guests):
-        yield from lookup(guests, low[guests])
-
-
-def _pairs_of_cell(codes: np.ndarray, table: int, lead: int, visits: np.ndarray, tables: int, most: int):
-    n = len(codes)
-    if table < 0 and n <= 256:
-        x, y = np.triu_indices(n, 1)
-        yield _near(codes, x, y, most)
+@lru_cache(maxsize=None)
+def masks(bits: int, reach: int) -> np.ndarray:
+    """All differences of 1 to ``reach`` of so many bits."""
+    return np.array([sum(1 << j for j in js) for k in range(1, reach + 1) for js in combinations(range(bits), k)], np.int64)
+
+
+def _pairs_by(codes: np.ndarray, value: np.ndarray, bits: int, reach: int, most: int):
+    """Near pairs whose values of so many bits differ in at most ``reach``. Few codes are
+    compared all with all, which costs less than the look-ups and finds no less."""
+    n, order = len(value), np.argsort(value, kind="stable")
+    place = np.arange(n)
+    if 8 * (1 + len(masks(bits, reach))) >= n:
+        yield from _expand(codes, order, place + 1, n - place - 1, order, most)
+        return
+    ordered = value[order]
+    # Equal values: each with those after it in the order.
+    yield from _expand(codes, order, place + 1, np.searchsorted(ordered, ordered, side="right") - place - 1, order, most)
+    for m in masks(bits, reach).tolist():
+        x = order[ordered ^ m > ordered]
+        wanted = value[x] ^ m
+        first = np.searchsorted(ordered, wanted, side="left")
+        yield from _expand(codes, x, first, np.searchsorted(ordered, wanted, side="right") - first, order, most)
+
+
+def _pairs_of_cell(codes: np.ndarray, part: int, tables: int, reach: int, most: int):
+    """Near pairs of the codes of a cell, which agree in byte ``part``, or of a collection."""
+    wide = reach + 1
+    own = _bytes(codes)
+    join = lambda columns: sum((own[:, c].astype(np.int64) << (8 * i) for i, c in enumerate(columns)), np.zeros(len(own), np.int64))
+    if part < 0:
+        for t in range(tables):
+            yield from _pairs_by(codes, join(range(t * wide, (t + 1) * wide)), 8 * wide, reach, most)
         return
-    for t in range(tables) if table < 0 else (table,):
-        yield from _pairs_of_table(codes, t, lead, visits, most)
+    table = part // wide * wide
+    for x, y in _pairs_by(codes, join(c for c in range(table, table + wide) if c != part), 8 * reach, reach, most):
+        # Those that agree in an earlier byte too are found by its cell.
+        new = (own[x, table:part] != own[y, table:part]).all(1)
+        yield x[new], y[new]
 
 
-def _search(tables: int, most: int):
+def _search(tables: int, reach: int, most: int):
     """Reads rows sorted by unit of work and gives each unit's pairs."""
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
@@ -193,12 +206,10 @@ def _search(tables: int, most: int):
 
         def unit(parts: list[pa.RecordBatch]):
             t = pa.Table.from_batches(parts).combine_chunks()
-            ids = t["id"].to_numpy()
-            codes = t["words"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64)
-            table, lead = t["tab"][0].as_py(), t["lead"][0].as_py()
-            visits, side = t["visits"].to_numpy().astype(bool), t["side"].to_numpy()
+            ids, side = t["id"].to_numpy(), t["side"].to_numpy()
+            codes = np.ascontiguousarray(t["words"].combine_chunks().flatten().to_numpy().reshape(len(ids), -1).view(np.uint64))
             seen = []
-            for x, y in _pairs_of_cell(codes, table, lead, visits, tables, most):
+            for x, y in _pairs_of_cell(codes, t["part"][0].as_py(), tables, reach, most):
                 apart = (side[x] != side[y]) | (side[x] == 0)  # of two blocks, only pairs between them
                 a, b = ids[x[apart]], ids[y[apart]]
                 seen.append(np.stack((np.minimum(a, b), np.maximum(a, b)), 1))
@@ -235,12 +246,8 @@ class SimilarVectors:
     ``members``: id, coll, same, rep (the smallest id with the same vector in the
     collection). ``edges``: rep_a < rep_b, cosine >= min_cosine."""
 
-    def __init__(self, vectors: DataFrame, dim: int = 64, k: int = 10, min_cosine: float = 0.9, tables: int = 12, max_hamming: int | None = None) -> None:
+    def __init__(self, vectors: DataFrame, dim: int = 64, k: int = 10, min_cosine: float = 0.9, tables: int = 12, max_hamming: int | None = None, reach: int | None = None) -> None:
         self.k, self.dim, self.min_cosine, self.tables = k, dim, min_cosine, tables
-        bits = tables * BITS
-        # Bits at which a pair with the least cosine would differ, and four deviations more.
-        share = np.arccos(min_cosine) / np.pi
-        most = max_hamming if max_hamming is not None else int(np.ceil(bits * share + 4 * np.sqrt(bits * share * (1 - share)) + 6))
         self.vectors = vectors.where(F.col("id").isNotNull()).select(
             F.col("id").cast("bigint").alias("id"),
             F.xxhash64("tenant_id", "index_name", F.coalesce("space", F.lit(""))).alias("coll"),
@@ -248,6 +255,12 @@ class SimilarVectors:
             "generation",
             F.coalesce("tombstone", F.lit(False)).alias("tombstone"),
         )
+        if reach is None:
+            reach = reach_for(self.vectors.groupBy("coll").agg(F.count(F.lit(1)).alias("n")).agg(F.max("n")).first()[0] or 0)
+        bits = tables * 8 * (reach + 1)
+        # Bits at which a pair with the least cosine would differ, and four deviations more.
+        share = np.arccos(min_cosine) / np.pi
+        most = max_hamming if max_hamming is not None else int(np.ceil(bits * share + 4 * np.sqrt(bits * share * (1 - share)) + 6))
         sample = self.vectors.where(F.size("embedding") == dim).select("id", "embedding").orderBy(F.xxhash64("id"), "id").limit(SAMPLE).toArrow()
         _, rows = _unit(sample["embedding"].combine_chunks(), dim) if sample.num_rows else (None, np.zeros((0, dim)))
         rotations = learn_rotations(rows, bits)
@@ -256,8 +269,8 @@ class SimilarVectors:
         first = codes.groupBy("coll", "same").agg(F.min("id").alias("rep"))
         self.members = codes.select("id", "coll", "same").join(first, ["coll", "same"])
         entries = codes.join(first.select("coll", "same", F.col("rep").alias("id")), ["coll", "same", "id"], "left_semi")
-        sizes = first.groupBy("coll").agg(F.least(F.lit(BITS - 2), F.greatest(F.lit(0), F.ceil(F.log2(F.count(F.lit(1)) / CELL)))).cast("int").alias("lead"))
-        spread = entries.join(sizes, "coll").select("id", "coll", "words", "lead").mapInArrow(_spread(tables), "cell bigint, id bigint, words array<bigint>, tab int, lead int, visits boolean")
+        whole = first.groupBy("coll").agg((F.count(F.lit(1)) <= CELL).alias("whole"))
+        spread = entries.join(whole, "coll").select("id", "coll", "words", "whole").mapInArrow(_spread(tables, reach), "cell bigint, id bigint, words array<bigint>, part int")
         hot = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > UNIT).select("cell", F.ceil(F.col("rows") / (UNIT // 2)).cast("int").alias("blocks"))
         hot = written(hot, "hot-cells")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")
@@ -266,9 +279,9 @@ class SimilarVectors:
         units = (
             spread.join(hot, "cell", "left")
             .withColumn("u", F.explode(F.when(F.col("blocks").isNull(), F.array(F.struct(F.lit(0).alias("unit"), F.lit(0).alias("side")))).otherwise(others)))
-            .select("cell", "u.unit", "id", "words", "tab", "lead", "visits", "u.side")
+            .select("cell", "u.unit", "id", "words", "part", "u.side")
         )
-        pairs = units.repartition("cell", "unit").sortWithinPartitions("cell", "unit").mapInArrow(_search(tables, most), "id_a bigint, id_b bigint")
+        pairs = units.repartition("cell", "unit").sortWithinPartitions("cell", "unit").mapInArrow(_search(tables, reach, most), "id_a bigint, id_b bigint")
         self.candidates = written(pairs.distinct(), "candidates")
         wanted = id_filter(self.candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")), "id")
         vectors_of = self._live(self.vectors.where(wanted("id"))).select("id", "embedding")
@@ -317,86 +330,11 @@ class SimilarVectors:
     def _scanned(self, members: DataFrame, reps: DataFrame) -> DataFrame:
         """(rep, to, cosine): of each block of its collection the k classes most similar to
         each of ``reps``."""
-        rows = members.where(F.col("id") == F.col("rep")).select("id", "coll").join(reps.select(F.col("rep").alias("id"), F.lit(True).alias("asks")), "id", "left")
-        rows = written(rows.select("id", "coll", F.coalesce("asks", F.lit(False)).alias("asks")), "classes")
-        blocks = [F.ceil(F.col(c) / SCAN).cast("int").alias(c) for c in ("q", "r")]
-        sizes = rows.groupBy("coll").agg(F.count_if("asks").alias("q"), F.count(F.lit(1)).alias("r")).where("q > 0 AND r > 1").select("coll", *blocks)
-        at = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-        asked = F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda j: F.struct(at("q").alias("qb"), j.alias("rb"), F.lit(0).alias("side")))
-        searched = F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda i: F.struct(i.alias("qb"), at("r").alias("rb"), F.lit(1).alias("side")))
-        units = (
-            rows.join(sizes, "coll")
-            .join(self._live(self.vectors).select("id", "embedding"), "id")
-            .withColumn("u", F.explode(F.when(F.col("asks"), F.concat(asked, searched)).otherwise(searched)))
-            .select("coll", "u.qb", "u.rb", "u.side", "id", "embedding")
-        )
-        parts = units.repartition("coll", "qb", "rb").sortWithinPartitions("coll", "qb", "rb", "side")
-        return written(parts.mapInArrow(_scan(self.dim, self.k), "rep bigint, to bigint, cosine double"), "scanned")
-
-
-class _Best:
-    """The k most similar of the rows seen so far, for a block of queries."""
-
-    def __init__(self, ids: np.ndarray, x: np.ndarray, k: int) -> None:
-        self.ids, self.x, self.k = ids, x, k
-        self.cosine = np.full((len(ids), k), -np.inf)
-        self.other = np.full((len(ids), k), np.iinfo(np.int64).max)
-
-    def see(self, ids: np.ndarray, x: np.ndarray) -> None:
-        step = max(1, CHUNK // max(len(ids), 1))
-        for first in range(0, len(self.ids), step):
-            past = min(first + step, len(self.ids))
-            # Rounded, so that equal cosines stay equal in any block.
-            s = np.round(self.x[first:past] @ x.T, 12) + 0.0
-            s[self.ids[first:past, None] == ids[None, :]] = -np.inf
-            least = self.cosine[first:past, -1]
-            if self.k < len(ids) and np.isneginf(least).any():
-                least = np.maximum(least, np.partition(s, len(ids) - self.k, axis=1)[:, len(ids) - self.k])
-            q, r = np.nonzero((s >= least[:, None]) & (s > -np.inf))
-            if not len(q):
-                continue
-            met = np.unique(q)
-            q_all = np.concatenate((np.repeat(met, self.k), q))
-            c_all = np.concatenate((self.cosine[first + met].ravel(), s[q, r]))
-            o_all = np.concatenate((self.other[first + met].ravel(), ids[r]))
-            order = np.lexsort((o_all, -c_all, q_all))
-            begin = np.searchsorted(q_all[order], met)
-            take = order[begin[:, None] + np.arange(self.k)]
-            self.cosine[first + met], self.other[first + met] = c_all[take], o_all[take]
-
-    def batch(self) -> pa.RecordBatch:
-        q, c = np.nonzero(self.cosine > -np.inf)
-        return pa.RecordBatch.from_arrays([pa.array(self.ids[q]), pa.array(self.other[q, c]), pa.array(self.cosine[q, c])], names=["rep", "to", "cosine"])
-
-
-def _scan(dim: int, k: int):
-    """Reads rows sorted by unit, its queries first, and gives each query's best in the unit."""
-
-    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
-        current, asking, best = None, [], None
-        for b in batches:
-            key = np.stack([b.column(i).to_numpy() for i in range(4)], 1)
-            ids = b.column(4).to_numpy()
-            _, x = _unit(b.column(5), dim)
-            cuts = np.flatnonzero((key[1:] != key[:-1]).any(1)) + 1
-            for i, j in zip([0, *cuts.tolist()], [*cuts.tolist(), len(key)]):
-                if j <= i:
-                    continue
-                *unit, side = key[i].tolist()
-                if unit != current:
-                    if best is not None:
-                        yield best.batch()
-                    current, asking, best = unit, [], None
-                if side == 0:
-                    asking.append((ids[i:j], x[i:j]))
-                elif asking:
-                    if best is None:
-                        best = _Best(np.concatenate([a for a, _ in asking]), np.concatenate([a for _, a in asking]), k)
-                    best.see(ids[i:j], x[i:j])
-        if best is not None:
-            yield best.batch()
-
-    return work
+        rows = members.where(F.col("id") == F.col("rep")).select("id", "coll").join(self._live(self.vectors).select("id", "embedding"), "id")
+        rows = written(rows.select("coll", "id", "embedding"), "classes")
+        asked = rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
+        hits = blocks.hits_by_unit(rows, F.lit(False), self.k, self.dim, digits=12, queries=asked)
+        return written(hits.select(F.col("query").alias("rep"), F.col("id").alias("to"), F.col("score").alias("cosine")), "scanned")
 
 
 def _cosines(dim: int):

@@ -1,5 +1,7 @@
 """Neighbours against brute force."""
 
+from math import comb
+
 import numpy as np
 import pytest
 
@@ -55,17 +57,60 @@ def test_recall_and_exactness(spark):
     assert len(want) > 200 and len(got & want) >= 0.97 * len(want) and got <= want
 
 
-def test_cells_and_blocks_find_the_same(spark, monkeypatch):
+@pytest.mark.parametrize("reach", [1, 2, 3])
+def test_cells_and_blocks_find_the_same(spark, monkeypatch, reach):
     from memquarry.llm import similar_vectors as m
 
     rng = np.random.default_rng(5)
     x = clustered(rng, 600)
     rows = [("t", "a", None, i, [float(v) for v in x[i]], 1, False) for i in range(len(x))]
-    whole, _ = found(spark, rows)
+    want = truth(rows, 10, 0.9)
+    whole, _ = found(spark, rows, reach=reach)
     monkeypatch.setattr(m, "CELL", 64)
-    monkeypatch.setattr(m, "UNIT", 48)
-    parted, _ = found(spark, rows)
+    monkeypatch.setattr(m, "UNIT", 16)
+    parted, _ = found(spark, rows, reach=reach)
     assert len(whole ^ parted) <= 0.03 * len(whole)
+    assert whole <= want and parted <= want and min(len(whole), len(parted)) >= 0.97 * len(want)
+
+
+@pytest.mark.parametrize("reach", [1, 2, 3])
+def test_a_cell_gives_all_pairs_within_reach_of_a_substring(reach):
+    """Cells by each byte together find exactly the pairs of the pigeonhole principle."""
+    from memquarry.llm import similar_vectors as m
+
+    rng = np.random.default_rng(reach)
+    tables, wide, n = 3, reach + 1, 3000
+    own = np.zeros((n, 16), np.uint8)
+    own[:, : tables * wide] = rng.integers(0, 256, (n, tables * wide))
+    for i in range(0, n, 2):  # close partners
+        own[i + 1] = own[i]
+        for _ in range(rng.integers(1, 9)):
+            own[i + 1, rng.integers(0, tables * wide)] ^= np.uint8(1 << rng.integers(0, 8))
+    codes = own.view(np.uint64)
+    got = set()
+    for part in range(tables * wide):
+        for v in np.unique(own[:, part]):
+            at = np.flatnonzero(own[:, part] == v)
+            for x, y in m._pairs_of_cell(codes[at], part, tables, reach, 1000):
+                new = {(min(a, b), max(a, b)) for a, b in zip(at[x].tolist(), at[y].tolist())}
+                got |= new
+    x, y = np.triu_indices(n, 1)
+    least = np.min([np.bitwise_count(own[x, t * wide : (t + 1) * wide] ^ own[y, t * wide : (t + 1) * wide]).sum(1) for t in range(tables)], 0)
+    want = set(zip(x[least <= reach].tolist(), y[least <= reach].tolist()))
+    assert want <= got and len(want) > n // 4
+    whole = {(min(a, b), max(a, b)) for p, q in m._pairs_of_cell(codes, -1, tables, reach, 1000) for a, b in zip(p.tolist(), q.tolist())}
+    assert want <= whole
+
+
+def test_reach_grows_with_the_collection():
+    from memquarry.llm import similar_vectors as m
+
+    assert [m.reach_for(n) for n in (0, 10**6, 10**8, 10**11)] == [1, 1, 2, 3]
+    p = np.arccos(0.9) / np.pi  # a table finds a pair at the cosine with about the same chance
+    for reach in (1, 2, 3):
+        w = 8 * (reach + 1)
+        chance = sum(comb(w, k) * p**k * (1 - p) ** (w - k) for k in range(reach + 1))
+        assert 1 - (1 - chance) ** 12 > 0.985 and len(m.masks(w, reach)) == sum(comb(w, k) for k in range(1, reach + 1))
 
 
 def test_generations_and_bad_rows(spark):
@@ -116,7 +161,8 @@ def ranks(rows, k):
 def test_every_vector_gets_its_k(spark, monkeypatch, block):
     from memquarry.llm import similar_vectors as m
 
-    monkeypatch.setattr(m, "SCAN", block)
+    monkeypatch.setattr(m.blocks, "UNIT_ROWS", block)
+    monkeypatch.setattr(m.blocks, "UNIT_QUERIES", block)
     rng = np.random.default_rng(13)
     x = clustered(rng, 200)
     x[7] = x[3] = x[1]

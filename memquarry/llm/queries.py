@@ -114,6 +114,23 @@ def p2_pieces(spark: SparkSession, base: str) -> DataFrame:
     return _pieces(spark, base).dropDuplicates(["rec_kind", "rec_id", "piece_no"])
 
 
+@R.query(f"""
+WITH items AS (SELECT 'documents' AS rec_kind, doc_id AS rec_id, {_TRIM.format("text")} AS t, {DOC_LIMIT} AS most FROM documents UNION SELECT 'hits', hit_id, {_TRIM.format("text")}, {HIT_LIMIT} FROM hits)
+SELECT rec_kind, rec_id, sha256(t) AS digest, true AS within_limit, length(t) > most AS cut FROM items WHERE t <> ''""")
+def p2_rejoined(spark: SparkSession, base: str) -> DataFrame:
+    """The pieces of every item put together again without their overlaps: a digest of the
+    text that results, whether all pieces are within the limit, and whether there are several."""
+    p = p2_pieces(spark, base)
+    is_doc = F.col("rec_kind") == "documents"
+    fresh = F.when(F.col("piece_no") == 0, F.col("text")).otherwise(F.substring(F.col("text"), F.when(is_doc, DOC_OVERLAP + 1).otherwise(HIT_OVERLAP + 1), F.length("text")))
+    whole = p.groupBy("rec_kind", "rec_id").agg(
+        F.array_sort(F.collect_list(F.struct("piece_no", fresh.alias("text")))).alias("parts"),
+        F.bool_and(F.length("text") <= F.when(is_doc, DOC_LIMIT).otherwise(HIT_LIMIT)).alias("within_limit"),
+        (F.max("n_pieces") > 1).alias("cut"),
+    )
+    return whole.select("rec_kind", "rec_id", F.sha2(F.array_join(F.transform("parts", lambda x: x["text"]), ""), 256).alias("digest"), "within_limit", "cut")
+
+
 CAPACITY = 2048
 
 
@@ -136,6 +153,17 @@ def p8_containers(spark: SparkSession, base: str) -> DataFrame:
     return packing.containers(packing.pack(docs, "doc_id", "size", CAPACITY), CAPACITY)
 
 
+@R.query("SELECT doc_id, true AS in_order, true AS cut_only_if_too_large, true AS within_capacity FROM documents WHERE length(text) > 0")
+def p8_checked(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold for every document: its parts are numbered from 0 without a gap, all
+    but the last are full, and no container it is in holds more than its capacity."""
+    packed = written(p8_packed(spark, base), "packed")
+    used = packed.groupBy("container").agg(F.sum("n_tokens").alias("used"))
+    per = packed.join(used, "container").groupBy("doc_id")
+    n, last = F.count(F.lit(1)), F.max("part")
+    return per.agg((last + 1 == n).alias("in_order"), (F.count_if(F.col("n_tokens") == CAPACITY) >= n - 1).alias("cut_only_if_too_large"), (F.max("used") <= CAPACITY).alias("within_capacity"))
+
+
 @R.query()
 def p9_mixed(spark: SparkSession, base: str) -> DataFrame:
     """Every use of a document in the mix, in its global order."""
@@ -152,6 +180,19 @@ def p9_shares(spark: SparkSession, base: str) -> DataFrame:
     return mixing.report(mixing.mix(docs, planned), planned)
 
 
+@R.query("""WITH best AS (SELECT source, max(struct_pack(s := coalesce(target_share, 0), r := coalesce(max_repeats, 0))) AS t FROM mix_targets WHERE source IS NOT NULL GROUP BY source)
+SELECT source, t.r AS max_repeats, true AS within_repeats, true AS only_its_own FROM best""")
+def p9_checked(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold for every target: no document is used more often than allowed, and
+    every use is one of a document of its source."""
+    docs = _sized(spark, base)
+    planned = written(mixing.plan(docs, table(spark, base, "mix_targets")), "plan")
+    uses = mixing.mix(docs, planned).groupBy("source", "doc_id").agg(F.count(F.lit(1)).alias("k"), F.max("copy_no").alias("top"))
+    known = docs.select("doc_id", F.col("source").alias("own"))
+    per = uses.join(known, "doc_id", "left").groupBy("source").agg(F.max(F.greatest("k", F.col("top") + 1)).alias("most"), F.bool_and(F.col("source").eqNullSafe(F.col("own"))).alias("same"))
+    return planned.select("source", "max_repeats").join(per, "source", "left").select("source", "max_repeats", (F.coalesce("most", F.lit(0)) <= F.col("max_repeats")).alias("within_repeats"), F.coalesce("same", F.lit(True)).alias("only_its_own"))
+
+
 @R.query("""
 WITH best AS (SELECT *, row_number() OVER (PARTITION BY id ORDER BY generation DESC NULLS LAST) AS r FROM vectors WHERE id IS NOT NULL),
 live AS (
@@ -208,6 +249,23 @@ def p6_found(spark: SparkSession, base: str) -> DataFrame:
     return found.distinct()
 
 
+@R.query("SELECT 'documents' AS rec_kind, doc_id AS rec_id, true AS rest_is_kept FROM documents WHERE text IS NOT NULL UNION SELECT 'notes', note_id, true FROM notes WHERE text IS NOT NULL")
+def p6_checked(spark: SparkSession, base: str) -> DataFrame:
+    """What must hold for every text: with the placeholders put back to what the spans held,
+    the redacted text is the source."""
+    both = None
+    for kind, id_col in (("documents", "doc_id"), ("notes", "note_id")):
+        rows = table(spark, base, kind).where("text IS NOT NULL")
+        rows = rows.select(F.lit(kind).alias("rec_kind"), F.col(id_col).alias("rec_id"), F.col("text").alias("source")).dropDuplicates(["rec_kind", "rec_id"])
+        both = rows if both is None else both.unionAll(rows)
+    red = _scanned(spark, base, True).where("text IS NOT NULL").dropDuplicates(["rec_kind", "rec_id"])
+    mark = lambda s: F.concat(F.lit("["), F.upper(s["kind"]), F.lit("]"))
+    # (text so far, place in the source) over the spans in order.
+    step = lambda a, s: F.struct(F.concat(a["text"], F.substring(F.col("source"), a["at"] + 1, s["first"] - a["at"]), mark(s)).alias("text"), s["past"].alias("at"))
+    made = F.aggregate("spans", F.struct(F.lit("").alias("text"), F.lit(0).alias("at")), step, lambda a: F.concat(a["text"], F.substring(F.col("source"), a["at"] + 1, F.length("source"))))
+    return red.join(both, ["rec_kind", "rec_id"]).select("rec_kind", "rec_id", (made == F.col("text")).alias("rest_is_kept"))
+
+
 @R.query()
 def p6_redacted(spark: SparkSession, base: str) -> DataFrame:
     """Every text with typed placeholders, and how many there are; of repeated deliveries one."""

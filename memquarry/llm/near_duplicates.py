@@ -132,7 +132,34 @@ def list_entries(docs: DataFrame, n_words: int, k: int = SKETCH) -> DataFrame:
     return docs.mapInArrow(work, "run bigint, set_id bigint, n int, id bigint, route int")
 
 
-def _verify(threshold: float, n_words: int, k: int):
+def prefix_entries(docs: DataFrame, n_words: int, threshold: float) -> DataFrame:
+    """The entries of lists that lose nothing: of each set (run, set_id, n) its rarest
+    shingles, as many as a set may lack and still reach the threshold, and one more. Two
+    similar sets share one of them, whatever the hash does."""
+
+    def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
+        seen: set[int] = set()
+        for b in batches:
+            texts = [t or "" for t in b.column(1).to_pylist()]
+            size, set_id, _, _ = sketch_runs(texts, n_words, 1)
+            doc, value = textops.shingles(texts, n_words)
+            fresh = np.zeros(len(texts), bool)
+            for i, x in enumerate(set_id.tolist()):
+                if size[i] and x not in seen:
+                    seen.add(x)
+                    fresh[i] = True
+            keep = fresh[doc]
+            doc, value = doc[keep], value[keep]
+            yield pa.RecordBatch.from_arrays([pa.array(value.view(np.int64)), pa.array(set_id.view(np.int64)[doc]), pa.array(size[doc].astype(np.int32))], names=["run", "set_id", "n"])
+
+    every = written(docs.mapInArrow(work, "run bigint, set_id bigint, n int").distinct(), "shingles")
+    counts = every.groupBy("run").agg(F.count(F.lit(1)).alias("f"))
+    rank = F.row_number().over(Window.partitionBy("set_id").orderBy("f", "run"))
+    few = F.col("r") <= F.col("n") - F.ceil(F.col("n") * threshold - 1e-9) + 1
+    return every.join(counts, "run").withColumn("r", rank).where(few & (F.col("f") > 1)).select("run", "set_id", "n")
+
+
+def _verify(threshold: float, n_words: int, k: int, estimate: bool = True):
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
             a_text, b_text = b.column("text_a").to_pylist(), b.column("text_b").to_pylist()
@@ -145,11 +172,12 @@ def _verify(threshold: float, n_words: int, k: int):
             sims = np.zeros(len(a_text))
             for i, (x, y) in enumerate(zip(a_text, b_text)):
                 x, y = sets[x], sets[y]
-                low = np.union1d(x[:k], y[:k])[:k]
-                est = np.isin(low, x[:k], assume_unique=True) & np.isin(low, y[:k], assume_unique=True)
-                e = est.mean() if len(low) else 0.0
-                if e + 4 * np.sqrt(max(e * (1 - e), 0.05) / max(len(low), 1)) < threshold:
-                    continue
+                if estimate:
+                    low = np.union1d(x[:k], y[:k])[:k]
+                    est = np.isin(low, x[:k], assume_unique=True) & np.isin(low, y[:k], assume_unique=True)
+                    e = est.mean() if len(low) else 0.0
+                    if e + 4 * np.sqrt(max(e * (1 - e), 0.05) / max(len(low), 1)) < threshold:
+                        continue
                 common = len(np.intersect1d(x, y, assume_unique=True))
                 sims[i] = common / max(len(x) + len(y) - common, 1)
             keep = sims >= threshold
@@ -164,17 +192,21 @@ class NearDuplicates:
     ``docs`` needs the columns named; others are ignored. ``classes`` has a row per
     document with a non-empty set: id, set_id. ``links`` has the pairs of classes
     with similarity >= threshold: set_a < set_b, similarity. Nothing is lost between
-    different texts; copies are not expanded unless :meth:`pairs` is asked for."""
+    different texts; copies are not expanded unless :meth:`pairs` is asked for.
+
+    With ``exact`` the lists hold the rarest shingles of each set instead of runs, and
+    every candidate is verified: no link is lost to chance, at the price of every shingle
+    being counted and of far more candidates."""
 
-    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8, k: int = SKETCH) -> None:
-        if threshold < 0.55:
-            raise ValueError("the threshold must be at least 0.55")
+    def __init__(self, docs: DataFrame, id_col: str = "doc_id", text_col: str = "text", n_words: int = 5, threshold: float = 0.8, k: int = SKETCH, exact: bool = False) -> None:
+        if threshold < 0.55 and not exact or not 0 < threshold <= 1:
+            raise ValueError("the threshold must be at least 0.55, or above 0 with exact")
         docs = docs.select(F.col(id_col).cast("bigint").alias("id"), F.col(text_col).alias("text")).where(F.col("id").isNotNull())
         w = Window.partitionBy("run", "route")
         entries = list_entries(docs, n_words, k).withColumns({"low": F.min("set_id").over(w), "high": F.max("set_id").over(w)})
         kept = written(entries.where(F.col("id").isNotNull() | (F.col("route") > 0) | (F.col("low") < F.col("high"))).select("run", "set_id", "n", "id").distinct(), "lists")
         self.classes = kept.where(F.col("id").isNotNull()).select("id", "set_id")
-        shared = kept.where(F.col("id").isNull()).select("run", "set_id", "n")
+        shared = written(prefix_entries(docs, n_words, threshold), "prefixes") if exact else kept.where(F.col("id").isNull()).select("run", "set_id", "n")
         a = shared.select("run", F.col("set_id").alias("set_a"), F.col("n").alias("n_a"))
         b = shared.select("run", F.col("set_id").alias("set_b"), F.col("n").alias("n_b"))
         compatible = (F.col("set_a") < F.col("set_b")) & (F.least("n_a", "n_b") >= F.lit(threshold) * F.greatest("n_a", "n_b"))
@@ -188,7 +220,7 @@ class NearDuplicates:
         wanted = id_filter(candidates.select(F.explode(F.array("id_a", "id_b")).alias("id")), "id")
         texts = docs.where(wanted("id"))
         both = candidates.join(texts.select(F.col("id").alias("id_a"), F.col("text").alias("text_a")), "id_a").join(texts.select(F.col("id").alias("id_b"), F.col("text").alias("text_b")), "id_b")
-        self.links = written(both.select("set_a", "set_b", "text_a", "text_b").mapInArrow(_verify(threshold, n_words, k), "set_a bigint, set_b bigint, similarity double"), "links")
+        self.links = written(both.select("set_a", "set_b", "text_a", "text_b").mapInArrow(_verify(threshold, n_words, k, not exact), "set_a bigint, set_b bigint, similarity double"), "links")
 
     def pairs(self) -> DataFrame:
         """All pairs of documents, copies included: id_a < id_b, similarity."""

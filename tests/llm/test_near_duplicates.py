@@ -44,12 +44,12 @@ def corpus(seed, count, lengths):
     return list(enumerate(texts))
 
 
-@pytest.mark.parametrize(("n", "t"), [(3, 0.6), (5, 0.8)])
-def test_pairs_equal_all_pairs(spark, n, t):
+@pytest.mark.parametrize(("n", "t", "exact"), [(3, 0.6, False), (5, 0.8, False), (3, 0.6, True), (2, 0.3, True)])
+def test_pairs_equal_all_pairs(spark, n, t, exact):
     rows = corpus(n, 120, [1, 2, 3, 4, 5, 6, 8, 12, 30, 90, 300])
     rows += [(len(rows) + i, x) for i, x in enumerate([None, "", " \n", "one two", "x y z", "X, y; z!", "x y z", "a " * 20_000])]
     df = spark.createDataFrame([(i, x, "c", 1) for i, x in rows], "doc_id long, text string, set_id string, n int").repartition(3)
-    found = NearDuplicates(df, n_words=n, threshold=t)
+    found = NearDuplicates(df, n_words=n, threshold=t, exact=exact)
     assert {(r.id_a, r.id_b) for r in found.pairs().collect()} == truth(rows, n, t)
 
 

@@ -104,26 +104,55 @@ def _units(dim: int, k: int, digits: int, with_self: bool):
     return work
 
 
-def hits_by_unit(rows: DataFrame, asks: Column, k: int, dim: int, digits: int = 6, with_self: bool = False, queries: DataFrame | None = None) -> DataFrame:
-    """(query, id, score): of each unit the k rows (coll, id, embedding) nearest to each
-    query. The queries are the rows for which ``asks`` holds, or ``queries`` (the same
-    columns), searched among the rows of their collection."""
-    wide = rows.select("coll", F.col("id").cast("bigint").alias("id"), "embedding", F.lit(1).alias("side"))
-    asked = wide.where(asks) if queries is None else queries.select("coll", F.col("id").cast("bigint").alias("id"), "embedding")
-    both = wide.unionByName(asked.select("coll", "id", "embedding", F.lit(0).alias("side")))
-    blocks = lambda side, most: F.greatest(F.lit(1), F.ceil(F.count_if(F.col("side") == side) / most)).cast("int")
-    sizes = both.groupBy("coll").agg(blocks(0, UNIT_QUERIES).alias("q"), blocks(1, UNIT_ROWS).alias("r"), F.count_if(F.col("side") == 0).alias("_asked")).where("_asked > 0").drop("_asked")
+def _blocks(queries: Column, rows: Column) -> list[Column]:
+    """Into how many blocks so many queries and rows are divided."""
+    return [F.greatest(F.lit(1), F.ceil(n / most)).cast("int").alias(c) for n, most, c in ((queries, UNIT_QUERIES, "q"), (rows, UNIT_ROWS, "r"))]
+
+
+def _places(asks: Column, searched: Column) -> Column:
+    """The units (query block, row block, side) that a row takes part in."""
     block = lambda n: F.pmod(F.xxhash64("id"), F.col(n)).cast("int")
-    pairs = F.when(F.col("side") == 0, F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda j: F.struct(block("q").alias("qb"), j.alias("rb"))))
-    pairs = pairs.otherwise(F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda i: F.struct(i.alias("qb"), block("r").alias("rb"))))
-    units = both.join(sizes, "coll").withColumn("u", F.explode(pairs)).select("coll", "u.qb", "u.rb", "side", "id", "embedding")
-    return units.repartition("coll", "qb", "rb").sortWithinPartitions("coll", "qb", "rb", "side").mapInArrow(_units(dim, k, digits, with_self), RESULT)
+    unit = lambda qb, rb, side: F.struct(qb.alias("qb"), rb.alias("rb"), F.lit(side).alias("side"))
+    none = F.array().cast("array<struct<qb: int, rb: int, side: int>>")
+    mine = F.when(asks, F.transform(F.sequence(F.lit(0), F.col("r") - 1), lambda j: unit(block("q"), j, 0))).otherwise(none)
+    theirs = F.when(searched, F.transform(F.sequence(F.lit(0), F.col("q") - 1), lambda i: unit(i, block("r"), 1))).otherwise(none)
+    return F.explode(F.concat(mine, theirs))
+
+
+def _hits(wide: DataFrame, asks: Column, searched: Column, k: int, dim: int, digits: int) -> DataFrame:
+    """``wide``: coll, id, embedding, q, r."""
+    units = wide.withColumn("u", _places(asks, searched)).select("coll", "u.qb", "u.rb", "u.side", "id", "embedding")
+    return units.repartition("coll", "qb", "rb").sortWithinPartitions("coll", "qb", "rb", "side").mapInArrow(_units(dim, k, digits, False), RESULT)
+
+
+def hits_by_unit(ids: DataFrame, embeddings: DataFrame, k: int, dim: int, digits: int = 6) -> DataFrame:
+    """(query, id, score): of each unit the k rows nearest to each query of the same
+    collection, without itself. ``ids``: coll, id, asks (whether the row is a query);
+    ``embeddings``: id, embedding. Sizes meet the ids before the embeddings are moved."""
+    n = F.count(F.lit(1))
+    sizes = ids.groupBy("coll").agg(F.count_if("asks").alias("_q"), n.alias("_r")).where("_q > 0 AND _r > 1").select("coll", *_blocks(F.col("_q"), F.col("_r")))
+    wide = ids.join(sizes, "coll").join(embeddings.select("id", "embedding"), "id")
+    return _hits(wide, F.col("asks"), F.lit(True), k, dim, digits)
+
+
+def hits_of_queries(rows: DataFrame, queries: DataFrame, k: int, dim: int, digits: int = 6) -> DataFrame:
+    """The same for queries (coll, id, embedding) that are no rows; one with the id of a row
+    does not find it."""
+    wide = lambda df, asks: df.select("coll", F.col("id").cast("bigint").alias("id"), "embedding", F.lit(asks).alias("asks"))
+    asked = queries.groupBy("coll").agg(F.count(F.lit(1)).alias("_q"))
+    sizes = rows.groupBy("coll").agg(F.count(F.lit(1)).alias("_r")).join(asked, "coll").select("coll", *_blocks(F.col("_q"), F.col("_r")))
+    return _hits(wide(rows, False).unionByName(wide(queries, True)).join(sizes, "coll"), F.col("asks"), ~F.col("asks"), k, dim, digits)
 
 
 def nearest(rows: DataFrame, asks: Column, k: int, dim: int, queries: DataFrame | None = None) -> DataFrame:
     """(query, id, score): the k nearest others of each row (id, embedding) for which ``asks``
     holds, or of each of ``queries``."""
-    one = lambda df: df.withColumn("coll", F.lit(0).cast("bigint"))
-    hits = hits_by_unit(one(rows), asks, k, dim, queries=None if queries is None else one(queries))
+    one = F.lit(0).cast("bigint").alias("coll")
+    if queries is not None:
+        hits = hits_of_queries(rows.select(one, "id", "embedding"), queries.select(one, "id", "embedding"), k, dim)
+    else:
+        sizes = rows.agg(F.count_if(asks).alias("_q"), F.count(F.lit(1)).alias("_r")).select(*_blocks(F.col("_q"), F.col("_r")))  # one row
+        wide = rows.select(one, F.col("id").cast("bigint").alias("id"), "embedding", F.coalesce(asks, F.lit(False)).alias("asks")).crossJoin(F.broadcast(sizes))
+        hits = _hits(wide, F.col("asks"), F.lit(True), k, dim, 6)
     w = Window.partitionBy("query").orderBy(F.desc("score"), "id")
     return hits.withColumn("_r", F.row_number().over(w)).where(F.col("_r") <= k).drop("_r")

@@ -14,11 +14,12 @@ from pyspark.sql import Column, DataFrame, Window
 from pyspark.sql import functions as F
 
 from memquarry.operators.keyspace import bounds
+from memquarry.plans.ranking import numbered
 
 
 def placed(rows: DataFrame, key: str, *order) -> DataFrame:
     """Adds ``pos`` from 0 within each key, by the given order."""
-    return rows.withColumn("pos", F.row_number().over(Window.partitionBy(key).orderBy(*order)) - 1)
+    return numbered(rows, key, list(order))
 
 
 def ranged(rows: DataFrame, key: str, start: int, stop: int) -> DataFrame:
@@ -36,8 +37,7 @@ def at_index(rows: DataFrame, key: str, index: int) -> DataFrame:
 
 def pushed(rows: DataFrame, key: str, order: str, left: Column) -> DataFrame:
     """Elements pushed to either end: ``pos`` of each in the list that results."""
-    w = Window.partitionBy(key).orderBy(F.when(left, -F.col(order)).otherwise(F.col(order)))
-    return rows.withColumn("pos", F.row_number().over(w) - 1)
+    return numbered(rows, key, [F.when(left, -F.col(order)).otherwise(F.col(order))])
 
 
 def popped(rows: DataFrame, key: str, left: int, right: int = 0) -> DataFrame:
@@ -124,12 +124,12 @@ def spop(sets: DataFrame, key: str, member: str, n: int, seed: int) -> DataFrame
 def ranks(zset: DataFrame, key: str, member: str, score: str) -> DataFrame:
     """Adds ``rank`` by (score, member) and ``revrank``, both from 0."""
     sizes = zset.groupBy(key).agg(F.count(F.lit(1)).alias("_n"))
-    ranked = zset.withColumn("rank", F.row_number().over(Window.partitionBy(key).orderBy(score, member)) - 1)
+    ranked = numbered(zset, key, [score, member], "rank")
     return ranked.join(sizes, key).withColumn("revrank", (F.col("_n") - 1 - F.col("rank")).cast("int")).drop("_n")
 
 
 def reverse_range(zset: DataFrame, key: str, member: str, score: str, start: int, stop: int) -> DataFrame:
-    return ranged(placed(zset, key, F.desc(score), F.desc(member)), key, start, stop)
+    return ranged(numbered(zset, key, [score, member], descending=True), key, start, stop)
 
 
 def scores_of(zset: DataFrame, key: str, member: str, score: str, wanted: list) -> DataFrame:
@@ -152,8 +152,7 @@ def first_one(bits: DataFrame, key: str, offset: str) -> DataFrame:
 def first_zero(bits: DataFrame, key: str, offset: str) -> DataFrame:
     """The first offset that is not set: where the set ones from 0 stop being without a
     gap; -1 where they fill whole bytes."""
-    w = Window.partitionBy(key).orderBy(offset)
-    row = bits.select(key, offset).distinct().withColumn("_r", F.row_number().over(w) - 1)
+    row = numbered(bits.select(key, offset).distinct(), key, [offset], "_r")
     run = row.groupBy(key).agg(F.sum((F.col(offset) == F.col("_r")).cast("bigint")).alias("_run"), F.max(offset).alias("_max"))
     size = (F.floor(F.col("_max") / 8) + 1) * 8
     return run.select(key, F.when(F.col("_run") == size, F.lit(-1)).otherwise(F.col("_run")).cast("bigint").alias("pos"))

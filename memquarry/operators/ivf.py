@@ -22,7 +22,7 @@ from pyspark.sql import DataFrame, SparkSession
 from pyspark.sql import functions as F
 
 from memquarry.operators import vectors
-from memquarry.operators.blocks import RESULT, hits_by_unit, unit_rows
+from memquarry.operators.blocks import RESULT, hits_of_queries, unit_rows
 from memquarry.plans.scratch import new_path
 
 #: Rows that centroids are fitted on, and the most cells there are.
@@ -145,7 +145,7 @@ class CellIndex:
         asked = queries.select(F.col("id").cast("bigint").alias("id"), "embedding").mapInArrow(choose, f"id bigint, embedding {kind}, cells array<int>")
         asked = asked.select("id", "embedding", F.explode(F.col("cells").cast("array<bigint>")).alias("coll"))
         rows = self.rows.select("id", "embedding", F.col("cell").cast("bigint").alias("coll"))
-        hits = hits_by_unit(rows, F.lit(False), k, c.shape[1], queries=asked)
+        hits = hits_of_queries(rows, asked, k, c.shape[1])
         return vectors.top_per_query(hits if min_score is None else hits.where(F.col("score") >= min_score), k)
 
 

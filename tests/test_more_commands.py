@@ -154,3 +154,21 @@ def test_released_tables_are_gone(spark):
     assert files.names(spark, path)
     release()
     assert not files.names(spark, path)
+
+
+def test_places_in_keys_of_any_size(spark):
+    from memquarry.plans.ranking import numbered
+
+    df = spark.range(20_000).select(F.when(F.col("id") % 3 == 0, F.col("id") % 50).otherwise(F.lit(-1)).alias("k"), ((F.col("id") * 7919) % 1000).alias("v"), "id")
+    df = df.unionAll(spark.createDataFrame([(None, 5, -1), (None, None, -2), (-1, None, -3)], "k long, v long, id long"))
+    for falls in (False, True):
+        got = numbered(df, "k", ["v", "id"], descending=falls)
+        groups = {}
+        for r in got.collect():
+            groups.setdefault(r.k, []).append(r)
+        low = lambda x: -1 if x is None else x
+        for rows_of in groups.values():
+            want = sorted(rows_of, key=lambda r: (low(r.v), r.id), reverse=falls)
+            assert [r.pos for r in want] == list(range(len(rows_of)))
+        assert len(groups[-1]) > 13_000 and len(groups[None]) == 2
+    assert numbered(df.limit(0), "k", ["v"]).count() == 0

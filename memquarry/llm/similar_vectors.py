@@ -330,10 +330,10 @@ class SimilarVectors:
     def _scanned(self, members: DataFrame, reps: DataFrame) -> DataFrame:
         """(rep, to, cosine): of each block of its collection the k classes most similar to
         each of ``reps``."""
-        rows = members.where(F.col("id") == F.col("rep")).select("id", "coll").join(self._live(self.vectors).select("id", "embedding"), "id")
-        rows = written(rows.select("coll", "id", "embedding"), "classes")
-        asked = rows.join(reps.select(F.col("rep").alias("id")), "id", "left_semi")
-        hits = blocks.hits_by_unit(rows, F.lit(False), self.k, self.dim, digits=12, queries=asked)
+        asked = reps.select(F.col("rep").alias("id"), F.lit(True).alias("asked"))
+        ids = members.where(F.col("id") == F.col("rep")).select("id", "coll").join(asked, "id", "left")
+        ids = written(ids.select("coll", "id", F.coalesce("asked", F.lit(False)).alias("asks")), "classes")
+        hits = blocks.hits_by_unit(ids, self._live(self.vectors), self.k, self.dim, digits=12)
         return written(hits.select(F.col("query").alias("rep"), F.col("id").alias("to"), F.col("score").alias("cosine")), "scanned")
 
 

@@ -50,6 +50,34 @@ def allowed(key: Column, patterns: list[str]) -> Column:
     return out
 
 
+#: Bits of permissions, and the commands that need more than reading.
+READ, WRITE, ADMIN = 1, 2, 4
+ADMIN_COMMANDS = "ACL BGSAVE CLUSTER CONFIG DEBUG FLUSHALL FLUSHDB REPLICAOF SAVE SHUTDOWN SLAVEOF VCOMPACT".split()
+WRITE_COMMANDS = (
+    "APPEND DECR DECRBY DEL DISCARD EXEC EXPIRE GEOADD GETSET HDEL HINCRBY HMSET HSET INCR INCRBY LPOP LPUSH LREM LSET LTRIM MSET MULTI PERSIST PUBLISH RENAME "
+    "RPOP RPUSH SADD SET SETBIT SETEX SETNX SETRANGE SPOP SREM VADD VADDBIN VADD_BATCH VDEL VMIGRATE XACK XADD XGROUP ZADD ZINCRBY ZREM"
+).split()
+
+
+def permitted(requests: DataFrame, users: DataFrame) -> DataFrame:
+    """Adds ``may_run`` and ``may_touch`` to requests (user, command, key): whether the user
+    (user, enabled, permissions, patterns) may run the command, by its class, and whether the
+    key begins with one of the patterns. Unknown and disabled users may do nothing."""
+    name = F.upper("command")
+    needs = F.when(name.isin(ADMIN_COMMANDS), ADMIN).when(name.isin(WRITE_COMMANDS), WRITE).otherwise(READ)
+    known = requests.join(users.select("user", "enabled", "permissions", "patterns"), "user", "left")
+    on = F.coalesce("enabled", F.lit(False))
+    touch = F.exists("patterns", lambda p: F.startswith(F.col("key"), F.regexp_replace(p, r"\*$", "")))
+    out = known.withColumn("may_run", on & (F.coalesce("permissions", F.lit(0)).bitwiseAND(needs) > 0)).withColumn("may_touch", on & F.coalesce(touch, F.lit(False)))
+    return out.drop("enabled", "permissions", "patterns")
+
+
+def info(usage: DataFrame) -> DataFrame:
+    """(name, value): the totals that INFO reports, a row each."""
+    sums = usage.agg(F.count(F.lit(1)).alias("tenants"), *[F.sum(c).cast("bigint").alias(c) for c in ("keys", "vectors", "memory_used_bytes", "commands", "errors")])
+    return sums.unpivot([], sums.columns, "name", "value")
+
+
 def _crc_table() -> np.ndarray:
     """CRC-16 of every byte (polynomial 0x1021, from 0)."""
     c = np.arange(256, dtype=np.uint32) << 8

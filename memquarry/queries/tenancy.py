@@ -68,6 +68,24 @@ def acl_prefix_filter(spark: SparkSession, base: str) -> DataFrame:
     return table(spark, base, "changelog").where(T.allowed(F.col("key"), ["doc:legal*", "cfg:*"])).select("tenant_id", "key").distinct()
 
 
+@R.query("""WITH u(u, enabled, permissions, patterns) AS (VALUES ('u0', true, 1, ['user:1*']), ('u1', true, 3, ['*']), ('u2', true, 7, ['user:', 'x*']), ('u3', false, 7, ['*'])),
+r AS (SELECT event_id, 'u' || (user_id % 5) AS u, CASE event_type WHEN 'error' THEN 'flushdb' WHEN 'purchase' THEN 'VMIGRATE' WHEN 'click' THEN 'set' ELSE 'GET' END AS command, 'user:' || user_id AS key FROM events)
+SELECT event_id, coalesce(enabled AND (permissions & CASE command WHEN 'flushdb' THEN 4 WHEN 'VMIGRATE' THEN 2 WHEN 'set' THEN 2 ELSE 1 END) > 0, false) AS may_run,
+  coalesce(enabled AND len(list_filter(patterns, lambda p: starts_with(key, rtrim(p, '*')))) > 0, false) AS may_touch FROM r LEFT JOIN u USING (u)""")
+def acl_commands(spark: SparkSession, base: str) -> DataFrame:
+    """Events as commands of five users, one of them unknown and one disabled."""
+    users = spark.createDataFrame([("u0", True, 1, ["user:1*"]), ("u1", True, 3, ["*"]), ("u2", True, 7, ["user:", "x*"]), ("u3", False, 7, ["*"])], "user string, enabled boolean, permissions int, patterns array<string>")
+    t = F.col("event_type")
+    command = F.when(t == "error", "flushdb").when(t == "purchase", "VMIGRATE").when(t == "click", "set").otherwise("GET")
+    e = table(spark, base, "events").select("event_id", F.concat(F.lit("u"), (F.col("user_id") % 5).cast("string")).alias("user"), command.alias("command"), F.concat(F.lit("user:"), F.col("user_id").cast("string")).alias("key"))
+    return T.permitted(e, users).select("event_id", "may_run", "may_touch")
+
+
+@R.query(_U + ", s AS (SELECT count(*)::BIGINT AS tenants, sum(keys)::BIGINT AS keys, sum(vectors)::BIGINT AS vectors, sum(memory_used_bytes)::BIGINT AS memory_used_bytes, sum(commands)::BIGINT AS commands, sum(errors)::BIGINT AS errors FROM u) UNPIVOT s ON COLUMNS(*) INTO NAME name VALUE value")
+def info_rows(spark: SparkSession, base: str) -> DataFrame:
+    return T.info(_usage(spark, base))
+
+
 # CRC-16, bit by bit, over the bytes of the tag; the tag is found by walking the braces.
 _SLOT_SQL = """WITH k AS (SELECT DISTINCT key FROM changelog WHERE key IS NOT NULL UNION SELECT DISTINCT 'a{' || key || '{' || tenant_id || '}}' FROM changelog WHERE key IS NOT NULL AND tenant_id IS NOT NULL),
 p AS (SELECT key, position('{' IN key) AS o FROM k), c AS (SELECT key, o, CASE WHEN o > 0 AND contains(substr(key, o), '}') THEN o + position('}' IN substr(key, o)) - 1 ELSE 0 END AS e FROM p),

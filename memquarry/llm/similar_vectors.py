@@ -18,7 +18,8 @@ vector do not grow in step with its collection.
 
 Within a substring the pigeonhole principle holds once more: a pair within reach
 agrees in one of its reach + 1 bytes. An index is divided into cells by each of
-them, so every code has tables * (reach + 1) entries, however large its collection.
+them (by as many of its bits as make cells of about ``CELL`` codes), so every code has
+tables * (reach + 1) entries, however large its collection.
 A cell that is too large for one task, as when many vectors share a byte, is
 divided into blocks, each pair of which is one unit of work. A collection that fits
 one cell is not divided. Equal vectors are one class, which has one entry however
@@ -120,12 +121,12 @@ def _spread(tables: int, reach: int):
 
     def work(batches: Iterator[pa.RecordBatch]) -> Iterator[pa.RecordBatch]:
         for b in batches:
-            coll, words, whole = b.column(1).to_numpy(), b.column(2), b.column(3).to_numpy(zero_copy_only=False)
+            coll, words, lead = b.column(1).to_numpy(), b.column(2), b.column(3).to_numpy()
             codes = words.flatten().to_numpy().reshape(len(coll), -1).view(np.uint64) if len(coll) else np.zeros((0, 1), np.uint64)
-            divided = np.flatnonzero(~whole)
-            row = np.concatenate((np.flatnonzero(whole), np.repeat(divided, n_bytes)))
-            part = np.concatenate((np.full(int(whole.sum()), -1), np.tile(np.arange(n_bytes), len(divided))))
-            value = np.concatenate((np.zeros(int(whole.sum()), np.int64), _bytes(codes[divided])[:, :n_bytes].ravel().astype(np.int64)))
+            whole, divided = np.flatnonzero(lead == 0), np.flatnonzero(lead)
+            row = np.concatenate((whole, np.repeat(divided, n_bytes)))
+            part = np.concatenate((np.full(len(whole), -1), np.tile(np.arange(n_bytes), len(divided))))
+            value = np.concatenate((np.zeros(len(whole), np.int64), (_bytes(codes[divided])[:, :n_bytes] >> (8 - lead[divided])[:, None]).ravel().astype(np.int64)))
             with np.errstate(over="ignore"):
                 cell = coll[row].view(np.uint64) + (part + 2).astype(np.uint64) * np.uint64(0x9E3779B97F4A7C15) + (value + 1).astype(np.uint64) * np.uint64(0xC2B2AE3D27D4EB4F)
             where = pa.array(row)
@@ -159,23 +160,24 @@ def _expand(codes: np.ndarray, x: np.ndarray, start: np.ndarray, count: np.ndarr
 
 
 @lru_cache(maxsize=None)
-def masks(bits: int, reach: int) -> np.ndarray:
-    """All differences of 1 to ``reach`` of so many bits."""
-    return np.array([sum(1 << j for j in js) for k in range(1, reach + 1) for js in combinations(range(bits), k)], np.int64)
+def masks(wide: int, reach: int, fixed: int = -1) -> np.ndarray:
+    """All differences of 1 to ``reach`` bits in so many bytes, none in the byte ``fixed``."""
+    free = [j for j in range(8 * wide) if j // 8 != fixed]
+    return np.array([sum(1 << j for j in js) for k in range(1, reach + 1) for js in combinations(free, k)], np.int64)
 
 
-def _pairs_by(codes: np.ndarray, value: np.ndarray, bits: int, reach: int, most: int):
-    """Near pairs whose values of so many bits differ in at most ``reach``. Few codes are
+def _pairs_by(codes: np.ndarray, value: np.ndarray, steps: np.ndarray, most: int):
+    """Near pairs whose values are equal or differ by one of the ``steps``. Few codes are
     compared all with all, which costs less than the look-ups and finds no less."""
     n, order = len(value), np.argsort(value, kind="stable")
     place = np.arange(n)
-    if 8 * (1 + len(masks(bits, reach))) >= n:
+    if 8 * (1 + len(steps)) >= n:
         yield from _expand(codes, order, place + 1, n - place - 1, order, most)
         return
     ordered = value[order]
     # Equal values: each with those after it in the order.
     yield from _expand(codes, order, place + 1, np.searchsorted(ordered, ordered, side="right") - place - 1, order, most)
-    for m in masks(bits, reach).tolist():
+    for m in steps.tolist():
         x = order[ordered ^ m > ordered]
         wanted = value[x] ^ m
         first = np.searchsorted(ordered, wanted, side="left")
@@ -183,18 +185,18 @@ def _pairs_by(codes: np.ndarray, value: np.ndarray, bits: int, reach: int, most:
 
 
 def _pairs_of_cell(codes: np.ndarray, part: int, tables: int, reach: int, most: int):
-    """Near pairs of the codes of a cell, which agree in byte ``part``, or of a collection."""
+    """Near pairs of the codes of a cell, which share bits of byte ``part``, or of a collection."""
     wide = reach + 1
     own = _bytes(codes)
-    join = lambda columns: sum((own[:, c].astype(np.int64) << (8 * i) for i, c in enumerate(columns)), np.zeros(len(own), np.int64))
+    substring = lambda t: sum((own[:, t * wide + i].astype(np.int64) << (8 * i) for i in range(wide)), np.zeros(len(own), np.int64))
     if part < 0:
         for t in range(tables):
-            yield from _pairs_by(codes, join(range(t * wide, (t + 1) * wide)), 8 * wide, reach, most)
+            yield from _pairs_by(codes, substring(t), masks(wide, reach), most)
         return
-    table = part // wide * wide
-    for x, y in _pairs_by(codes, join(c for c in range(table, table + wide) if c != part), 8 * reach, reach, most):
+    table, byte = divmod(part, wide)
+    for x, y in _pairs_by(codes, substring(table), masks(wide, reach, byte), most):
         # Those that agree in an earlier byte too are found by its cell.
-        new = (own[x, table:part] != own[y, table:part]).all(1)
+        new = (own[x, table * wide : part] != own[y, table * wide : part]).all(1)
         yield x[new], y[new]
 
 
@@ -269,8 +271,9 @@ class SimilarVectors:
         first = codes.groupBy("coll", "same").agg(F.min("id").alias("rep"))
         self.members = codes.select("id", "coll", "same").join(first, ["coll", "same"])
         entries = codes.join(first.select("coll", "same", F.col("rep").alias("id")), ["coll", "same", "id"], "left_semi")
-        whole = first.groupBy("coll").agg((F.count(F.lit(1)) <= CELL).alias("whole"))
-        spread = entries.join(whole, "coll").select("id", "coll", "words", "whole").mapInArrow(_spread(tables, reach), "cell bigint, id bigint, words array<bigint>, part int")
+        lead = F.ceil(F.log2(F.count(F.lit(1)) / CELL))
+        sizes = first.groupBy("coll").agg(F.least(F.lit(8), F.greatest(F.lit(0), lead)).cast("int").alias("lead"))
+        spread = entries.join(sizes, "coll").select("id", "coll", "words", "lead").mapInArrow(_spread(tables, reach), "cell bigint, id bigint, words array<bigint>, part int")
         hot = spread.groupBy("cell").agg(F.count(F.lit(1)).alias("rows")).where(F.col("rows") > UNIT).select("cell", F.ceil(F.col("rows") / (UNIT // 2)).cast("int").alias("blocks"))
         hot = written(hot, "hot-cells")
         block = F.pmod(F.xxhash64("id"), F.col("blocks")).cast("int")

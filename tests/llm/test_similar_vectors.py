@@ -89,8 +89,9 @@ def test_a_cell_gives_all_pairs_within_reach_of_a_substring(reach):
     codes = own.view(np.uint64)
     got = set()
     for part in range(tables * wide):
-        for v in np.unique(own[:, part]):
-            at = np.flatnonzero(own[:, part] == v)
+        cell = own[:, part] >> 5
+        for v in np.unique(cell):
+            at = np.flatnonzero(cell == v)
             for x, y in m._pairs_of_cell(codes[at], part, tables, reach, 1000):
                 new = {(min(a, b), max(a, b)) for a, b in zip(at[x].tolist(), at[y].tolist())}
                 got |= new
@@ -110,7 +111,8 @@ def test_reach_grows_with_the_collection():
     for reach in (1, 2, 3):
         w = 8 * (reach + 1)
         chance = sum(comb(w, k) * p**k * (1 - p) ** (w - k) for k in range(reach + 1))
-        assert 1 - (1 - chance) ** 12 > 0.985 and len(m.masks(w, reach)) == sum(comb(w, k) for k in range(1, reach + 1))
+        assert 1 - (1 - chance) ** 12 > 0.985 and len(m.masks(reach + 1, reach)) == sum(comb(w, k) for k in range(1, reach + 1))
+        assert len(m.masks(reach + 1, reach, 0)) == sum(comb(w - 8, k) for k in range(1, reach + 1)) and not (m.masks(reach + 1, reach, 0) & 255).any()
 
 
 def test_generations_and_bad_rows(spark):

@@ -10,9 +10,11 @@ from __future__ import annotations
 
 import re
 
-from pyspark.sql import Column, DataFrame, Window
+from pyspark.sql import Column, DataFrame
 from pyspark.sql import functions as F
 
+from memquarry.plans.ranking import last_known, running_sum, value_before
+
 
 def latest(log: DataFrame, keys: list[str], order: str, *values: str) -> DataFrame:
     """The values of the last effect of each key."""
@@ -79,7 +81,7 @@ def appended(log: DataFrame, key: str, order: str, value: str) -> DataFrame:
 
 def previous(log: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """The log with ``old``: the value each set replaced."""
-    return log.withColumn("old", F.lag(value).over(Window.partitionBy(key).orderBy(order)))
+    return value_before(log, key, [order], F.col(value), "old")
 
 
 def first_set(log: DataFrame, key: str, order: str, value: str) -> DataFrame:
@@ -91,9 +93,8 @@ def conditional_sets(log: DataFrame, key: str, order: str, op: str, value: str)
     """Adds ``applied`` to a log of SET, NX (only if the key is absent), XX (only if it is
     there) and DEL. After SET and NX a key is there whatever came before, after DEL it is
     not, and XX leaves that as it is: so only the last row that is not XX decides."""
-    before = Window.partitionBy(key).orderBy(order).rowsBetween(Window.unboundedPreceding, -1)
-    there = F.coalesce(F.last(F.when(F.col(op) != "XX", F.col(op) != "DEL"), ignorenulls=True).over(before), F.lit(False))
-    return log.withColumn("_there", there).withColumn("applied", F.when(F.col(op) == "NX", ~F.col("_there")).when(F.col(op) == "SET", F.lit(True)).otherwise(F.col("_there"))).drop("_there")
+    seen = last_known(log, key, [order], F.when(F.col(op) != "XX", F.col(op) != "DEL"), "_there", inclusive=False)
+    return seen.withColumn("_there", F.coalesce("_there", F.lit(False))).withColumn("applied", F.when(F.col(op) == "NX", ~F.col("_there")).when(F.col(op) == "SET", F.lit(True)).otherwise(F.col("_there"))).drop("_there")
 
 
 def set_state(log: DataFrame, key: str, order: str, op: str, value: str) -> DataFrame:
@@ -121,6 +122,12 @@ def idle_seconds(log: DataFrame, key: str, us: str, now_us: Column) -> DataFrame
     return log.groupBy(key).agg(F.floor((now_us - F.max(us)) / 1000000).cast("bigint").alias("idle"), F.lit(1).alias("refcount"))
 
 
+def read_at(log: DataFrame, key: str, version: str, value: Column, name: str) -> DataFrame:
+    """Adds ``name``: the last written ``value`` (null where a row writes none) of the key at
+    each row's version."""
+    return last_known(log, key, [version], value, name)
+
+
 def history_at(log: DataFrame, version: str, at: int) -> DataFrame:
     """All versions at or before a version."""
     return log.where(F.col(version) <= at)
@@ -139,9 +146,8 @@ def watch_results(watches: DataFrame, log: DataFrame, key: str, version: str) ->
     the first one after a watch. No watch meets all writes of its key."""
     wide = watches.select(key, F.col("seen").alias("_p"), F.lit(0).alias("_w"), "txn", "at")
     wide = wide.unionByName(log.select(key, F.col(version).alias("_p"), F.lit(1).alias("_w")), allowMissingColumns=True)
-    w = Window.partitionBy(key).orderBy(F.desc("_p"), "_w").rowsBetween(Window.unboundedPreceding, -1)
-    after = F.last(F.when(F.col("_w") == 1, F.col("_p")), ignorenulls=True).over(w)
-    per = wide.withColumn("_m", F.coalesce(after <= F.col("at"), F.lit(False))).where("_w = 0").groupBy("txn", key).agg(F.bool_or("_m").alias("_m"))
+    walked = last_known(wide, key, [-F.col("_p"), F.col("_w")], F.when(F.col("_w") == 1, F.col("_p")), "_after", inclusive=False)
+    per = walked.withColumn("_m", F.coalesce(F.col("_after") <= F.col("at"), F.lit(False))).where("_w = 0").groupBy("txn", key).agg(F.bool_or("_m").alias("_m"))
     return per.groupBy("txn").agg(F.bool_or("_m").alias("aborted"), F.count_if("_m").alias("moved"))
 
 
@@ -180,8 +186,7 @@ def cost(key: Column, value: Column) -> Column:
 def admission(log: DataFrame, group: str, order: str, charge: Column, limit: int) -> DataFrame:
     """The log with the group's projected bytes at each write and whether it is rejected.
     Rejected writes count in the projection, as the reference for all writes is the log."""
-    w = Window.partitionBy(group).orderBy(order).rowsBetween(Window.unboundedPreceding, 0)
-    return log.withColumn("projected", F.sum(charge).over(w)).withColumn("rejected", F.col("projected") > limit)
+    return running_sum(log, group, [order], charge, "projected").withColumn("rejected", F.col("projected") > limit)
 
 
 def encoding(kind: Column) -> Column:

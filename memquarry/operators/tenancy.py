@@ -6,9 +6,11 @@ from collections.abc import Iterator
 
 import numpy as np
 import pandas as pd
-from pyspark.sql import Column, DataFrame, SparkSession, Window
+from pyspark.sql import Column, DataFrame, SparkSession
 from pyspark.sql import functions as F
 
+from memquarry.plans.ranking import value_before
+
 SLOTS = 16384
 
 
@@ -38,8 +40,9 @@ def consistency(tenants: DataFrame, usage: DataFrame) -> DataFrame:
 
 def deltas(counts: DataFrame, key: str, order: str, value: str) -> DataFrame:
     """Adds the increase over the row before of the same key; a counter that fell began anew."""
-    before = F.lag(value).over(Window.partitionBy(key).orderBy(order))
-    return counts.withColumn("delta", F.when(before.isNull() | (F.col(value) < before), F.col(value)).otherwise(F.col(value) - before))
+    before = F.col("_before_it")
+    found = value_before(counts, key, [order], F.col(value), "_before_it")
+    return found.withColumn("delta", F.when(before.isNull() | (F.col(value) < before), F.col(value)).otherwise(F.col(value) - before)).drop("_before_it")
 
 
 def allowed(key: Column, patterns: list[str]) -> Column:

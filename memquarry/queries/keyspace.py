@@ -237,11 +237,8 @@ def del_keys(spark: SparkSession, base: str) -> DataFrame:
 @R.query("SELECT e.event_id, h.value AS value_then FROM events e LEFT JOIN LATERAL (SELECT value FROM events p WHERE p.user_id = e.user_id AND p.event_type = 'purchase' AND p.event_id <= e.event_id ORDER BY p.event_id DESC LIMIT 1) h ON true WHERE e.event_type = 'error'")
 def mvcc_read_at(spark: SparkSession, base: str) -> DataFrame:
     """As-of read: for each error the user's last purchase at that version."""
-    from pyspark.sql import Window
-
     e = table(spark, base, "events").where(F.col("event_type").isin("error", "purchase"))
-    w = Window.partitionBy("user_id").orderBy("event_id").rowsBetween(Window.unboundedPreceding, 0)
-    seen = e.withColumn("value_then", F.last(F.when(F.col("event_type") == "purchase", F.col("value")), ignorenulls=True).over(w))
+    seen = K.read_at(e, "user_id", "event_id", F.when(F.col("event_type") == "purchase", F.col("value")), "value_then")
     return seen.where("event_type = 'error'").select("event_id", "value_then")
 
 

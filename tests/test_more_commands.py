@@ -172,3 +172,30 @@ def test_places_in_keys_of_any_size(spark):
             assert [r.pos for r in want] == list(range(len(rows_of)))
         assert len(groups[-1]) > 13_000 and len(groups[None]) == 2
     assert numbered(df.limit(0), "k", ["v"]).count() == 0
+
+
+def test_sums_and_values_before_in_keys_of_any_size(spark):
+    from memquarry.plans.ranking import last_known, running_sum, value_before
+
+    k = F.when(F.col("id") % 4 == 0, F.col("id") % 30).otherwise(F.lit(-1))
+    v = F.when(F.col("id") % 7 < 3, F.lit(None)).otherwise((F.col("id") * 31) % 101)
+    df = spark.range(6_000).select(k.alias("k"), ((F.col("id") * 7919) % 6007).alias("o"), v.alias("v"))
+    df = df.unionAll(spark.createDataFrame([(None, 1, 5), (None, 2, None), (None, 3, 7)], "k long, o long, v long"))
+    groups = {}
+    for r in df.collect():
+        groups.setdefault(r.k, []).append((r.o, r.v))
+    want = {}
+    for key, x in groups.items():
+        total, some, last, before = 0, False, None, None
+        for o, value in sorted(x):
+            want[key, o] = [last, before]
+            total, some = total + (value or 0), some or value is not None
+            last, before = (last if value is None else value), value
+            want[key, o] += [total if some else None, last]
+    got = {(r.k, r.o): [r.x] for r in last_known(df, "k", ["o"], F.col("v"), "x", inclusive=False).collect()}
+    for made in (value_before(df, "k", ["o"], F.col("v"), "x"), running_sum(df, "k", ["o"], F.col("v"), "x"), last_known(df, "k", ["o"], F.col("v"), "x")):
+        assert made.columns == ["k", "o", "v", "x"]
+        for r in made.collect():
+            got[r.k, r.o].append(r.x)
+    assert got == want and len(groups[-1]) == 4500
+    assert running_sum(df.limit(0), "k", ["o"], F.col("v"), "x").count() == 0

@@ -154,19 +154,24 @@ class Routes:
         route = np.zeros(len(keys), np.int32)
         if not len(keys):
             return route
-        way = 1 + (mix64(owners.view(np.uint64)) % np.uint64(self.WAYS)).astype(np.int32)
-        old = np.zeros(len(keys), bool)
+        way = lambda at: 1 + (mix64(owners[at].view(np.uint64)) % np.uint64(self.WAYS)).astype(np.int32)
         if len(self.known):
             at = np.minimum(np.searchsorted(self.known, keys), len(self.known) - 1)
-            old = self.known[at] == keys
-        order = np.lexsort((owners, keys))
-        first = np.flatnonzero(np.concatenate(([True], keys[order][1:] != keys[order][:-1])))
+            old = np.flatnonzero(self.known[at] == keys)
+            route[old] = way(old)
+        order = np.argsort(keys, kind="stable")
+        ordered = keys[order]
+        first = np.flatnonzero(np.concatenate(([True], ordered[1:] != ordered[:-1])))
         past = np.append(first[1:], len(keys))
-        low, high = order[first], order[past - 1]
-        sure = (past - first >= self.SURE) & (owners[low] != owners[high]) & ~old[low]
-        route[order] = np.where(np.repeat(sure, past - first), way[order], 0)
-        route[low[sure]] = route[high[sure]] = 0
-        route[old] = way[old]
-        if sure.any() and len(self.known) < self.KNOWN:
-            self.known = np.union1d(self.known, keys[low[sure]])
+        many = np.flatnonzero((past - first >= self.SURE) & (route[order[first]] == 0))
+        sure = []
+        for i, j in zip(first[many].tolist(), past[many].tolist()):
+            rows = order[i:j]
+            low, high = rows[np.argmin(owners[rows])], rows[np.argmax(owners[rows])]
+            if owners[low] != owners[high]:
+                route[rows] = way(rows)
+                route[low] = route[high] = 0
+                sure.append(keys[low])
+        if sure and len(self.known) < self.KNOWN:
+            self.known = np.union1d(self.known, np.array(sure, np.uint64))
         return route
